@@ -116,8 +116,8 @@ WITH line AS (
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
     length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS upper,
     length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS letters,
-    len(list_filter(words, w -> regexp_matches(w, '{SEPARATOR}'))) AS separators,
-    len(list_filter(words, w -> regexp_matches(w, '{CLOSED.replace("'", "''")}'))) AS closed
+    len(list_filter(words, lambda w: regexp_matches(w, '{SEPARATOR}'))) AS separators,
+    len(list_filter(words, lambda w: regexp_matches(w, '{CLOSED.replace("'", "''")}'))) AS closed
   FROM counted WHERE len(words) > 0
 ), ruled AS (
   SELECT *, 2 * symbols > n OR (separators >= 2 AND 4 * separators >= n) OR (n >= 5 AND 10 * upper > 6 * letters)
