@@ -3,9 +3,10 @@
 A pre-token is held as two parallel arrays: its parts' boundaries and, for every
 part but the last, the rank of the merge with its right neighbour. The smallest
 rank is found by a scan, its right boundary is deleted, and only the two
-neighbouring ranks are refreshed. The scan beats a heap on short words; words
-longer than ``SCAN_LIMIT`` bytes go to a heap over the same ranks, which gives the
-same merges (lowest rank first, leftmost on ties) without quadratic time.
+neighbouring ranks are refreshed. Words of equal length are rows of one array and
+take each step together. The scan beats a heap on short words; words longer than
+``SCAN_LIMIT`` bytes go to a heap over the same ranks, which gives the same merges
+(lowest rank first, leftmost on ties) without quadratic time.
 
 Edge cases: null text encodes to no ids and decodes to the empty text; the
 special tokens' strings inside a text become their single ids; any Unicode text
@@ -30,10 +31,14 @@ from glean.llm.text import as_lists, one_array, ragged, slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SCAN_LIMIT = 128
-#: Units remembered per Python worker; frequent words come early, so a full table just stops growing.
-REMEMBERED = 300_000
-NEVER = 1 << 60
+SCAN_LIMIT = 64
+#: A unit with white space at an edge, or none at all (RE2).
+EDGE = r"^[\s\v\x1c-\x1f\x{85}\p{Z}]|[\s\v\x1c-\x1f\x{85}\p{Z}]$|^$"
+#: Units and pre-tokens remembered per Python worker; frequent ones come early, so a full table just stops growing.
+REMEMBERED = 100_000
+#: Text bytes encoded at once.
+SLICE = 4 << 20
+NEVER = np.iinfo(np.int32).max
 
 
 def byte_letters() -> list[str]:
@@ -61,68 +66,99 @@ class ByteBPE:
             self.token_bytes[i] = bytes(byte_of[c] for c in letters)
         for content, i in self.special.items():
             self.token_bytes[i] = content.encode()
-        self.byte_id = [vocab[c] for c in byte_letters()]
-        self.pair: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pair[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.byte_id = np.array([vocab[c] for c in byte_letters()], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.width = len(self.token_bytes)
+        keys = np.array([vocab[x] * self.width + vocab[y] for x, y in pairs], np.int64)
+        self.rank_of = np.argsort(keys, kind="stable")
+        self.keys = np.append(keys[self.rank_of], np.iinfo(np.int64).max)
+        self.rank_of = np.append(self.rank_of, NEVER).astype(np.int32)
+        self.first_ranks = self.ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.pretoken = regex.compile(PRETOKEN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
-
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        if len(word) > SCAN_LIMIT:
-            return self._merge_long(word)
-        pair, ids = self.pair, [self.byte_id[b] for b in word]
-        ranks = [pair.get(p, (NEVER,))[0] for p in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == NEVER:
-                break
-            i = ranks.index(low)
-            ids[i] = pair[ids[i], ids[i + 1]][1]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = pair.get((ids[i], ids[i + 1]), (NEVER,))[0]
-            if i:
-                ranks[i - 1] = pair.get((ids[i - 1], ids[i]), (NEVER,))[0]
-        return ids
+        self.known: dict[str, bytes] = {}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of neighbours; ``NEVER`` where there is none."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank_of[at], NEVER)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids (as little-endian int32 bytes) of each pre-token."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            if len(word) > SCAN_LIMIT:
+                out[k] = np.array(self._merge_long(word), "<i4").tobytes()
+            else:
+                by_length.setdefault(len(word), []).append(k)
+        for length, which in by_length.items():
+            raw = np.frombuffer(b"".join(words[k] for k in which), np.uint8).reshape(len(which), length)
+            for k, ids in self._merge_rows(raw):
+                for row, i in zip(ids.astype("<i4"), k.tolist()):
+                    out[which[i]] = row.tobytes()
+        return out
+
+    def _merge_rows(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merge equally long words, a merge of each at a time; finished rows come out with their places."""
+        place, ids = np.arange(len(raw)), self.byte_id[raw]
+        ranks = self.first_ranks[raw[:, :-1], raw[:, 1:]]
+        while ranks.shape[1]:
+            spot = ranks.argmin(1)
+            low = ranks[np.arange(len(spot)), spot]
+            over = low == NEVER
+            if over.any():
+                yield place[over], ids[over]
+                place, ids, ranks, spot, low = (x[~over] for x in (place, ids, ranks, spot, low))
+            if not len(place):
+                return
+            row, column = np.arange(len(place)), np.arange(ids.shape[1] - 1)
+            ids[row, spot] = self.made[low]
+            ids = np.take_along_axis(ids, column + (column > spot[:, None]), 1)
+            column = column[:-1]
+            ranks = np.take_along_axis(ranks, column + (column >= spot[:, None]), 1)
+            for off, some in ((-1, spot > 0), (0, spot < len(column))):
+                r, c = row[some], spot[some] + off
+                ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
+        yield place, ids
 
     def _merge_long(self, word: bytes) -> list[int]:
-        ids: list[int | None] = [self.byte_id[b] for b in word]
+        ids: list[int | None] = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(self.pair[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.pair]
+        start = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        heap = [(rank, i, ids[i], ids[i + 1]) for i, rank in enumerate(start) if rank != NEVER]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if ids[i] is not None else -1
-            if j < 0 or self.pair.get((ids[i], ids[j]), (NEVER,))[0] != rank:
-                continue
-            ids[i], ids[j] = self.pair[ids[i], ids[j]][1], None
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j < 0 or ids[j] != right:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j] = int(self.made[rank]), None
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (ids[a], ids[b]) in self.pair:
-                    heapq.heappush(heap, (self.pair[ids[a], ids[b]][0], a))
+                if a >= 0 and b >= 0 and (rank := int(self.ranks(np.int64(ids[a]), np.int64(ids[b])))) != NEVER:
+                    heapq.heappush(heap, (rank, a, ids[a], ids[b]))
         return [i for i in ids if i is not None]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of one text."""
-        out: list[int] = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append(self.special[part])
-                continue
-            for token in self.pretoken.findall(part):
-                ids = self.known.get(token)
-                if ids is None:
-                    ids = self.merge(token.encode())
-                    if len(self.known) < REMEMBERED and len(token) <= SCAN_LIMIT:
-                        self.known[token] = ids
-                out.extend(ids)
-        return out
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian int32 bytes."""
+        found: list[list[str]] = []
+        own = {x: np.array([i], "<i4").tobytes() for x, i in self.special.items()}
+        for text in texts:
+            parts = self.cut.split(text) if self.cut else [text]
+            found.append([t for k, part in enumerate(parts) for t in ([part] if k % 2 else self.pretoken.findall(part))])
+        # a pre-token never equals a special string: the pattern cuts those up
+        missing = [t for t in dict.fromkeys(t for tokens in found for t in tokens) if t not in self.known and t not in own]
+        fresh = dict(zip(missing, self.merge([t.encode() for t in missing]))) | own
+        for t in missing[: max(0, REMEMBERED - len(self.known))]:
+            if len(t) <= SCAN_LIMIT:
+                self.known[t] = fresh[t]
+        known = self.known
+        return [b"".join([known[t] if t in known else fresh[t] for t in tokens]) for tokens in found]
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """Texts of a column of id lists; bytes that are no UTF-8 become U+FFFD."""
@@ -147,8 +183,9 @@ class Units:
     Texts with any other unit are encoded whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known, self.edge = encode, {}, regex.compile(r"^\s|\s$|^$")
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], opens: np.ndarray):
+        """``encode`` gives the ids of whole texts; ``opens`` tells of each id whether its token begins with a space."""
+        self.encode, self.opens, self.known = encode, opens, {}
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
@@ -157,8 +194,7 @@ class Units:
         starts = np.asarray(lists.offsets, dtype=np.int64)
         coded = one_array(pc.dictionary_encode(lists.values))
         codes, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
-        edge = self.edge.search
-        fine = np.fromiter((edge(x) is None for x in names), bool, len(names))
+        fine = ~np.asarray(pc.match_substring_regex(coded.dictionary, EDGE))
         n = len(text)
         row = np.repeat(np.arange(n), np.diff(starts))
         odd = np.bincount(row[~fine[codes]], minlength=n) > 0
@@ -169,35 +205,41 @@ class Units:
         used[codes[later]] = True
         found = self._resolve([f" {names[c]}" for c in np.flatnonzero(used)])
         spot = np.cumsum(used) - 1
-        first = [x.as_py() for x in lists.values.take(pa.array(starts[:-1][~odd]))]
-        heads, whole = self._resolve(first), self.encode([text[int(i)].as_py() for i in np.flatnonzero(odd)])
+        heads = self.encode(lists.values.take(pa.array(starts[:-1][~odd])).to_pylist())
+        whole = self.encode(text.filter(pa.array(odd)).to_pylist())
         table = [*found, *heads, *whole]
         slot = np.where(later, spot[codes], -1)
         slot[starts[:-1][~odd]] = len(found) + np.arange(len(heads))
         slot[starts[:-1][odd]] = len(found) + len(heads) + np.arange(len(whole))
         slot, row = slot[slot >= 0], row[slot >= 0]
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate([np.asarray(x, np.int32) for x in table]) if table else np.zeros(0, np.int32)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<i4")
         each = size[slot]
         counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
         return flat[ragged((np.cumsum(size) - size)[slot], each)], counts
 
-    def _resolve(self, units: list[str]) -> list[np.ndarray]:
+    def _resolve(self, units: list[str]) -> list[bytes]:
+        """Ids of units that begin with a space; those not yet known are encoded as one text."""
         known = self.known
-        missing = [u for u in dict.fromkeys(units) if u not in known]
-        fresh = dict(zip(missing, (np.asarray(x, np.int32) for x in self.encode(missing))))
-        for u, ids in fresh.items():
-            if len(known) >= REMEMBERED:
-                break
+        missing = [u for u in units if u not in known]
+        fresh: dict[str, bytes] = {}
+        for a in range(0, len(missing), 30_000):
+            some = missing[a : a + 30_000]
+            (joined,) = self.encode(["".join(some)])
+            at = np.append(np.flatnonzero(self.opens[np.frombuffer(joined, "<i4")]) * 4, len(joined)).tolist()
+            if len(at) != len(some) + 1:
+                raise ValueError("a unit does not begin with a token that opens with a space")
+            fresh.update(zip(some, (joined[i:j] for i, j in zip(at, at[1:]))))
+        for u in missing[: max(0, REMEMBERED - len(known))]:
             if len(u) <= SCAN_LIMIT:
-                known[u] = ids
+                known[u] = fresh[u]
         return [known[u] if u in known else fresh[u] for u in units]
 
 
 @lru_cache(maxsize=2)
 def _coder(spec: bytes) -> tuple[ByteBPE, Units]:
     bpe = ByteBPE(spec)
-    return bpe, Units(lambda texts: [bpe.encode(x) for x in texts])
+    return bpe, Units(bpe.encode, np.array([t[:1] == b" " for t in bpe.token_bytes]))
 
 
 def read_spec(df: DataFrame, path: str):
@@ -206,16 +248,20 @@ def read_spec(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out array<int>``, the BPE ids of ``text``; other columns pass through unchanged."""
+def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """Add ``out array<int>``, the BPE ids of ``text``; other columns pass through.
+
+    With ``back``, also add the text decoded from those ids, in the same pass.
+    """
     spec = read_spec(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            ids, counts = _coder(spec.value)[1].ids(batch.column(text))
-            yield _with(batch, out, as_lists(ids, counts, pa.int32()))
+        for batch in slices(batches, text, SLICE):
+            bpe, units = _coder(spec.value)
+            ids = as_lists(*units.ids(batch.column(text)), pa.int32())
+            yield _with(batch, {out: ids} | ({back: bpe.decode(ids)} if back else {}))
 
-    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, _schema(df, {out: T.ArrayType(T.IntegerType())} | ({back: T.StringType()} if back else {})))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -224,17 +270,17 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                yield _with(part, out, _coder(spec.value)[0].decode(one_array(part.column(ids))))
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                yield _with(part, {out: _coder(spec.value)[0].decode(one_array(part.column(ids)))})
 
-    return df.mapInArrow(run, _schema(df, out, T.StringType()))
+    return df.mapInArrow(run, _schema(df, {out: T.StringType()}))
 
 
-def _schema(df: DataFrame, out: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, kind)])
+def _schema(df: DataFrame, added: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([f for f in df.schema.fields if f.name not in added] + [T.StructField(k, v) for k, v in added.items()])
 
 
-def _with(batch: pa.RecordBatch, out: str, column: pa.Array) -> pa.RecordBatch:
-    names = [x for x in batch.schema.names if x != out]
-    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), column], [*names, out])
+def _with(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [x for x in batch.schema.names if x not in added]
+    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *added.values()], [*names, *added])

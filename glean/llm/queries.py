@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, quality_rules, tokenfile
+from glean.llm import bpe, quality_rules, substring_dedup, tokenfile
 from glean.llm.shared import new_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def _sha(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.drop("text", "clean_text", "n_lost_lines")
@@ -28,8 +32,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
-    return coded.select(
+    return bpe.encode(docs, VOCABULARY, back="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
@@ -42,5 +45,5 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(docs, new_path(spark, "tokens"), VOCABULARY, END_ID)
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}

@@ -34,6 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass

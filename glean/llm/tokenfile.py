@@ -19,6 +19,7 @@ code; a vocabulary of one used id gets one bit.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glean.llm.bpe import Units
+from glean.llm.bpe import SLICE, Units, byte_letters
 from glean.llm.shared import written
 from glean.llm.text import as_lists, one_array, ragged, slices
 
@@ -45,12 +46,23 @@ BLOCK_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
 @lru_cache(maxsize=2)
 def _library(spec: bytes) -> Units:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(spec.decode())
     made.no_truncation()
     made.no_padding()
-    return Units(lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for a in range(0, len(texts), 1000):  # the library's results are large
+            out += [np.array(x.ids, "<i4").tobytes() for x in made.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False)]
+        return out
+
+    space = byte_letters()[ord(" ")]
+    opens = np.zeros(made.get_vocab_size(), bool)
+    opens[[i for token, i in made.get_vocab().items() if token.startswith(space)]] = True
+    return Units(encode, opens)
 
 
 def tokenize(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +71,7 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", t
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, counts = _library(spec.value).ids(batch.column("text"))
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(np.insert(ids, ends, end_id), counts + 1, pa.int32())], ["doc_id", "ids"])
