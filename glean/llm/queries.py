@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, minhash, quality_rules, substring_dedup, tokenfile
-from glean.llm.shared import new_path
+from glean.llm import bpe, minhash, mixing, quality_rules, substring_dedup, tokenfile
+from glean.llm.shared import new_path, ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +26,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
@@ -49,5 +55,5 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(docs, new_path(spark, "tokens"), VOCABULARY, END_ID)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {"op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}

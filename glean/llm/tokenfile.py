@@ -26,14 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glean.llm.bpe import SLICE, Units, byte_letters
 from glean.llm.shared import written
-from glean.llm.text import as_lists, one_array, ragged, slices
+from glean.llm.text import as_lists, ragged, slices
 
 MAX_BITS = 16
 #: Symbols between two bit-offset checkpoints.
@@ -66,33 +65,36 @@ def _library(spec: bytes) -> Units:
 
 
 def tokenize(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of every text by the tokenizers library, each closed by ``end_id``."""
+    """(doc_id, ids, counts): the ids of every text by the tokenizers library, closed by ``end_id``.
+
+    ``ids`` are little-endian 32-bit integers, or 16-bit ones if the whole
+    vocabulary fits. Each task adds one row without ids, whose ``counts`` tell how
+    often it wrote each id; all other rows have null there.
+    """
     with open(vocabulary, "rb") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _library(spec.value)
+        total = np.zeros(max(len(units.opens), end_id + 1), np.int64)
         for batch in slices(batches, "text", SLICE):
-            ids, counts = _library(spec.value).ids(batch.column("text"))
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(np.insert(ids, ends, end_id), counts + 1, pa.int32())], ["doc_id", "ids"])
+            ids, counts = units.ids(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            kind = _kind(len(total))
+            data = _cut(ids.astype(kind).tobytes(), np.cumsum(counts + 1) * kind.itemsize)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data, pa.nulls(batch.num_rows, pa.list_(pa.int64()))], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.int64()))], ["doc_id", "ids", "counts"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts array<long>")
 
 
-def id_counts(streams: DataFrame) -> DataFrame:
-    """(id, n): counted inside each task, then summed."""
+def _kind(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            part = np.bincount(np.asarray(one_array(batch.column("ids")).flatten()))
-            if len(part) > len(total):
-                total, part = part, total
-            total[: len(part)] += part
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return streams.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def _cut(data: bytes, stops: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(np.r_[0, stops].astype(np.int32)), pa.py_buffer(data)])
 
 
 def code_lengths(counts: dict[int, int], limit: int = MAX_BITS) -> dict[int, int]:
@@ -198,14 +200,16 @@ def _marks(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def write_blocks(streams: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
-    """Write (doc_id, ids) as a token file at ``path``.
+    """Write what ``tokenize`` gives as a token file at ``path``.
 
-    Ids are coded before the one shuffle, so it moves compressed bits; range
-    partitions in doc_id order then join the documents' bits into blocks. Each
-    document starts on a whole byte and has checkpoints of its own.
+    Ids are coded before the one shuffle, so it moves compressed bits; ranges of
+    doc_id then join the documents' bits into blocks. Each document starts on a
+    whole byte and has checkpoints of its own.
     """
     spark = streams.sparkSession
-    found = {r["id"]: r["n"] for r in id_counts(streams).collect()}  # at most the vocabulary
+    summed = streams.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1))).collect()  # the vocabulary
+    found = {r["id"]: r["n"] for r in summed if r["n"]}
+    kind = _kind(len(summed))
     lengths = sorted(code_lengths(found).items())
     spark.createDataFrame([(int(i), int(b)) for i, b in lengths], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(np.array(lengths, np.int64).reshape(-1, 2))
@@ -215,11 +219,10 @@ def write_blocks(streams: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> N
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                lists = one_array(part.column("ids"))
-                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-                data, stops, points = made.pack(np.asarray(lists.flatten(), dtype=np.int64), counts)
-                column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.r_[0, stops].astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), as_lists(points, -(-counts // EVERY), pa.int64()), column], ["doc_id", "n", "points", "data"])
+                raw = part.column("ids").to_pylist()
+                counts = np.array([len(x) // kind.itemsize for x in raw], np.int64)
+                data, stops, points = made.pack(np.frombuffer(b"".join(raw), kind).astype(np.int64), counts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), as_lists(points, -(-counts // EVERY), pa.int32()), _cut(data, stops)], ["doc_id", "n", "points", "data"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, done = TaskContext.get().partitionId(), 0, 0
@@ -247,10 +250,14 @@ def write_blocks(streams: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> N
         if docs:
             yield joined()
 
-    coded = streams.select("doc_id", "ids").mapInArrow(code, "doc_id long, n long, points array<long>, data binary")
-    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("data").asc(), F.col("n").asc()]
+    streams = streams.where("counts IS NULL").select("doc_id", "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(block, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    steps = [k / parts for k in range(1, parts)]
+    edges = streams.agg(F.percentile_approx("doc_id", steps, 100 * parts)).first()[0] if steps else None  # at most the partitions
+    part = F.size(F.filter(F.lit(sorted(set(edges or [])) or [0]), lambda e: e < F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("data").asc(), F.col("n").asc()]
+    coded = streams.mapInArrow(code, "doc_id long, n long, points array<int>, data binary")
+    coded.repartitionById(parts, part).sortWithinPartitions(*by).mapInArrow(block, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
