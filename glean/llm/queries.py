@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, minhash, mixing, quality_rules, substring_dedup, tokenfile
+from glean.llm import bpe, minhash, mixing, permutation_index, quality_rules, substring_dedup, tokenfile
 from glean.llm.shared import new_path, ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,5 +55,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(docs, new_path(spark, "tokens"), VOCABULARY, END_ID)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
