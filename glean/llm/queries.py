@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, minhash, mixing, permutation_index, quality_rules, substring_dedup, tokenfile
+from glean.llm import bpe, language_id, minhash, mixing, permutation_index, quality_rules, substring_dedup, tokenfile
 from glean.llm.shared import new_path, ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "clean_text", "n_lost_lines")
 
 
+def _remainder(key: str, n: int) -> F.Column:
+    """crc32 of the id as text modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_remainder("doc_id", 4) != 2))
+    found = language_id.identify(docs, model, with_spans=False)
+    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, VOCABULARY, back="decoded").select(
@@ -60,5 +72,5 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
+QUERIES = {"op5_language_id": op5_language_id, "op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
