@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, language_id, minhash, mixing, permutation_index, quality_rules, substring_dedup, tokenfile
-from glean.llm.shared import new_path, ship
+from glean.llm import bpe, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
+from glean.llm.shared import new_path, ship, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -67,10 +67,26 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(docs, new_path(spark, "tokens"), VOCABULARY, END_ID)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, with_sentences=False)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = written(quality_classifier.measure(_table(spark, sf_dir, "documents")), "measured")
+    held_out = _remainder("key", 4) == 2
+    model = quality_classifier.fit(measured.where(~held_out), _table(spark, sf_dir, "labels"))
+    found = quality_classifier.score(measured, model)
+    return found.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op10_quality_classifier": op10_quality_classifier, "op8_toxicity": op8_toxicity, "op5_language_id": op5_language_id, "op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
