@@ -1,15 +1,78 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, mixing, BPE."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, mixing, BPE.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns the columns of ``documents``; the last returns token ids. Null
+texts and texts without words fail the quality rules, so later stages see none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glean.llm import bpe, minhash, mixing, quality_rules, queries, substring_dedup
+from glean.llm.shared import ship, written
+
+
+def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars of the present text."""
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return df.select(*[f"`{c}`" for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop rejected documents; the others lose the lines that fail."""
+    ship(spark)
+    judged = quality_rules.clean(docs).where("kept")
+    return _as_documents(judged.withColumn("text", F.col("clean_text")), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of least doc_id stays."""
+    ship(spark)
+    stays = minhash.near_duplicates(docs).where("first").select("doc", "c1", "c2").distinct()
+    keyed = docs.withColumns({"_c1": F.xxhash64("text"), "_c2": F.xxhash64(F.lit("glean"), "text")})
+    kept = keyed.join(stays, keyed.doc_id.cast("long").eqNullSafe(stays.doc) & (keyed["_c1"] == stays.c1) & (keyed["_c2"] == stays.c2))
+    # rows that repeat a whole document are copies of it
+    once = Window.partitionBy("doc", "c1", "c2").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return _as_documents(kept.withColumn("_copy", F.row_number().over(once)).where("_copy = 1"), docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages of 20 words and more that occur earlier; drop documents of which nothing is left."""
+    ship(spark)
+    return _as_documents(substring_dedup.dedup(docs).where("n_words > n_removed"), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat every document as often as its source's target asks."""
+    ship(spark)
+    taken = mixing.mix(docs).where("times > 0")
+    return _as_documents(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every taken document, with digests of ids and decoded text."""
+    ship(spark)
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), queries.VOCABULARY, back="decoded")
+    return coded.select("doc_id", "source", *queries.token_digests(), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring),
+    ("mixing", mix),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
+#: SQL cannot express BPE; tests/llm holds the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,8 +11,8 @@ two texts are linked if their weighted Jaccard similarity is at least
    to a leader before. Candidates are verified on their whole shingle sets.
 3. The rest. Where a bucket still holds several components, its nodes are cut into
    blocks of ``BLOCK``, pairs of blocks meet in separate tasks, and pairs whose
-   signatures do not rule out the similarity (by three standard deviations) and
-   whose components differ are verified too. So no bucket is capped.
+   components differ and whose long signatures (``LONG`` coordinates) do not rule
+   out the similarity are verified too. So no bucket is capped.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 shares no bucket with
 probability 3e-6, and less above.
@@ -40,8 +40,10 @@ COORDINATES = 160
 ROWS = 5
 SIMILARITY = 0.8
 BLOCK = 256
-#: An estimate from the signature this far below the similarity rules a pair out: three standard deviations.
-MARGIN = 3 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
+#: Coordinates of the longer signature by which blocks rule pairs out, and how far
+#: below the similarity its estimate does so: three standard deviations.
+LONG = 640
+MARGIN = 3 * (SIMILARITY * (1 - SIMILARITY) / LONG) ** 0.5
 SLICE = 4 << 20
 
 
@@ -142,7 +144,7 @@ def _weights(count: np.ndarray, weights: str) -> np.ndarray:
 
 
 def sign(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
-    """(doc, c1, c2, size, buckets, prints): the text's 128-bit hash, the signature's bands and its coordinates' last bytes.
+    """(doc, c1, c2, size, buckets): the text's 128-bit hash, its total weight and the signature's bands.
 
     Texts without words have no buckets.
     """
@@ -153,14 +155,12 @@ def sign(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str =
             row, value, count = shingle_sets(words)
             weight = _weights(count, weights)
             n = batch.num_rows
-            signature = signatures(row, value, weight, n)
             some = words.counts > 0
-            each = bands(signature)[some]
+            each = bands(signatures(row, value, weight, n))[some]
             buckets = as_lists(each.ravel().view(np.int64), np.where(some, COORDINATES // ROWS, 0), pa.int64())
-            prints = [x.tobytes() for x in (signature >> np.uint64(20)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("c1"), batch.column("c2"), pa.array(np.bincount(row, weights=weight, minlength=n)), buckets, pa.array(prints, pa.binary())], ["doc", "c1", "c2", "size", "buckets", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("c1"), batch.column("c2"), pa.array(np.bincount(row, weights=weight, minlength=n)), buckets], ["doc", "c1", "c2", "size", "buckets"])
 
-    return _keyed(df, key, text).mapInArrow(run, "doc long, c1 long, c2 long, size double, buckets array<long>, prints binary")
+    return _keyed(df, key, text).mapInArrow(run, "doc long, c1 long, c2 long, size double, buckets array<long>")
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,18 +168,19 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shingles(df: DataFrame, wanted: DataFrame, key: str, text: str, weights: str) -> DataFrame:
-    """(node, shingles, weights) of the wanted nodes, from one document each."""
+    """(node, shingles, weights, prints) of the wanted nodes, from one document each; prints are a byte of each coordinate of the long signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             row, value, count = shingle_sets(split_words(batch.column("text")))
-            each = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), each, pa.int64()), as_lists(_weights(count, weights), each, pa.float64())], ["node", "shingles", "weights"])
+            each, weight = np.bincount(row, minlength=batch.num_rows), _weights(count, weights)
+            prints = (signatures(row, value, weight, batch.num_rows, LONG) >> np.uint64(20)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), each, pa.int64()), as_lists(weight, each, pa.float64()), pa.array([x.tobytes() for x in prints], pa.binary())], ["node", "shingles", "weights", "prints"])
 
     docs = _keyed(df, key, text)
     wanted = wanted.select("node", "rep", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
     found = docs.join(wanted, (docs.c1 == wanted.k1) & (docs.c2 == wanted.k2) & docs.doc.eqNullSafe(wanted.rep)).select("node", "text")
-    made = found.mapInArrow(run, "node long, shingles array<long>, weights array<double>")
+    made = found.mapInArrow(run, "node long, shingles array<long>, weights array<double>, prints binary")
     return made if weights == "count" else made.drop("weights")
 
 
@@ -204,7 +205,7 @@ def _verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
                     out.append(same / (all_ - same))
                 yield pa.RecordBatch.from_arrays([columns["a"], columns["b"], pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    side = lambda s: store.select([F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in store.columns])
+    side = lambda s: store.select([F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in store.columns if c != "prints"])
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -279,7 +280,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 def _columns(table: pa.Table, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     raw = b"".join(table.column("prints").to_pylist())
-    return [table.column(c).to_numpy() for c in names[:-1]], np.frombuffer(raw, np.uint8).reshape(-1, COORDINATES)
+    return [table.column(c).to_numpy() for c in names[:-1]], np.frombuffer(raw, np.uint8).reshape(-1, LONG)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
@@ -289,7 +290,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weig
     ``df``; ``first`` holds for all rows that repeat the document that stays.
     """
     signed = written(sign(df, key, text, weights), "signed")
-    nodes = signed.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.first("prints").alias("prints"))
+    nodes = signed.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the ids are fixed once written
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("lead")).where("n > 1")
@@ -317,7 +318,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weig
     labels = merge_labels(labels, links(again))
 
     done = tested.unionByName(again)
-    rest = _in_blocks(_undecided(members, labels).join(known.select("node", "size", "prints"), "node"))
+    rest = _in_blocks(_undecided(members, labels).join(known.select("node", "size"), "node").join(store.select("node", "prints"), "node"))
     last = written(_verify(rest.join(done, ["a", "b"], "left_anti"), store), "tested")
     labels = merge_labels(labels, links(last))
 

@@ -52,14 +52,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, VOCABULARY, back="decoded").select(
-        "doc_id",
+def token_digests() -> list[F.Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of (ids, decoded)."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         _sha(F.col("decoded")).alias("decoded_sha256"),
-    )
+    ]
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, VOCABULARY, back="decoded").select("doc_id", *token_digests())
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +92,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op10_quality_classifier": op10_quality_classifier, "op8_toxicity": op8_toxicity, "op5_language_id": op5_language_id, "op9_permutation_index": op9_permutation_index, "op2_mixing": op2_mixing, "op1_near_dedup": op1_near_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules, "op6_bpe": op6_bpe, "op7_token_file": op7_token_file}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_bpe": op6_bpe,
+    "op7_token_file": op7_token_file,
+    "op8_toxicity": op8_toxicity,
+    "op9_permutation_index": op9_permutation_index,
+    "op10_quality_classifier": op10_quality_classifier,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE_SQL,
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+}
