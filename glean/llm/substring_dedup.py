@@ -8,14 +8,16 @@ removed. The graph keeps this cheap:
    ties) is its anchor. Equal windows have equal anchors at equal offsets, so only
    about one k-mer in seven is an edge of the graph. An edge row has the k-mer's
    hash, its source coordinates and a hash of the words up to the next anchor.
-2. Compaction. Grouping the edges by k-mer tells how often each occurs, where
-   first, and whether all occurrences go on alike. Two neighbouring anchors lie on
-   a nonbranching path if the first always goes on to the second and both occur
-   equally often; then all their occurrences are in step. Joined back to their
-   documents, such neighbours compact into one path occurrence.
-3. Verification by source coordinates. A window inside a path occurs exactly where
-   the path does, so the path's first coordinate decides it. Windows that reach
-   over a path's end are looked up by a 128-bit hash of all their words.
+2. Compaction. Grouping the edges by k-mer tells how often each occurs and whether
+   all occurrences go on alike. Joined back to the documents, two neighbouring
+   anchors lie on a nonbranching path if the first always goes on to the second and
+   both occur equally often: all their occurrences are in step, and such neighbours
+   compact into one path. The join is a lookup in a broadcast table while the
+   repeated k-mers number at most ``BROADCAST``, and a shuffle join beyond.
+3. Verification by source coordinates. All windows inside a path occur exactly where
+   the path does, so one of them stands for it; windows that reach over a path's end
+   stand for themselves. They meet by anchor, with hashes of all their words, in the
+   order of their source coordinates: all but the first are repeats.
 
 Rows that share doc_id and text are one document and get the same result; rows
 that share only doc_id are ordered by a hash of their text. Null ids come first.
@@ -32,15 +34,19 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glean.llm.shared import written
-from glean.llm.text import WORD_PATTERN, Words, mix, slices, split_words, window_hashes, windows_inside
+from glean.llm.text import WORD_PATTERN, Words, as_lists, mix, slices, split_words, window_hashes, windows_inside
 
 WINDOW = 20
 K = 8
 SLICE = 4 << 20
+#: Repeated k-mers that are broadcast at most (9 bytes each).
+BROADCAST = 6_000_000
+#: Occurrences of a k-mer whose windows meet in one place; commoner k-mers are split by their windows' hashes.
+HOT = 100_000
 _END = np.uint64(0x51ED270B153A4D2F)
 _SECOND = "glean-words-key2"
 
@@ -78,51 +84,118 @@ def _links(words: Words, hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, link) of every anchor."""
     for batch in slices(batches, "text", SLICE):
         words = split_words(batch.column("text"))
         hashes = words.hashes()
         _, _, found, grams = _anchors(words, hashes)
-        row = words.row[found]
-        slot = (np.asarray(batch.column("tie"), dtype=np.int64)[row] << 32) + found - words.starts[row]
-        columns = [pa.array(grams[found].view(np.int64)), batch.column("doc").take(pa.array(row)), pa.array(slot), pa.array(_links(words, hashes, found).view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "slot", "link"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams[found].view(np.int64)), pa.array(_links(words, hashes, found).view(np.int64))], ["gram", "link"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compact each document's anchors into paths; tell what they decide and which windows they leave open."""
-    pair, probe = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, doc, tie, pos) of every anchor."""
     for batch in slices(batches, "text", SLICE):
         words = split_words(batch.column("text"))
-        n, hashes = batch.num_rows, words.hashes()
-        starts, which, found, _ = _anchors(words, hashes)
+        _, _, found, grams = _anchors(words, words.hashes())
         row = words.row[found]
-        times = np.ones(len(found), np.int64)
-        alike, first = np.zeros(len(found), bool), np.ones(len(found), bool)
-        lists = batch.column("anchors")
-        told, size = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-        at = np.searchsorted(found, np.repeat(words.starts[:-1], size) + np.asarray(told.field("pos"), dtype=np.int64))
-        times[at], alike[at], first[at] = np.asarray(told.field("times")), np.asarray(told.field("alike").cast(pa.int8())) > 0, np.asarray(told.field("first").cast(pa.int8())) > 0
-        joined = np.zeros(len(found), bool)  # with the anchor before
-        joined[1:] = (row[1:] == row[:-1]) & alike[:-1] & (times[1:] == times[:-1]) & (times[1:] > 1)
-        path = np.cumsum(~joined) - 1
-        head = np.flatnonzero(~joined)
-        tail = np.append(head[1:], len(found)) - 1 if len(head) else head
-        final = np.ones(len(found), bool)
-        final[:-1] = row[1:] != row[:-1]
-        begin = found[head]
-        stop = np.where(final[tail] & alike[tail] & (times[tail] > 1), words.starts[1:][row[tail]], found[tail] + K)
-        cut = np.flatnonzero((times[head] > 1) & ~first[head] & (stop - begin >= WINDOW))
-        base = words.starts[:-1][row[head[cut]]]
-        spans = pa.StructArray.from_arrays([pa.array((begin[cut] - base).astype(np.int32)), pa.array((stop[cut] - base).astype(np.int32))], fields=list(pair))
-        cuts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[head[cut]], minlength=n))].astype(np.int32)), spans)
-        mine = path[which]
-        left = starts[(times[which] > 1) & ~((starts >= begin[mine]) & (starts + WINDOW <= stop[mine]))] if len(starts) else starts
-        of = words.row[left]
-        second = words.hashes(_SECOND)
-        values = pa.StructArray.from_arrays([pa.array((left - words.starts[of]).astype(np.int32)), pa.array(window_hashes(hashes, WINDOW)[left].view(np.int64)), pa.array(window_hashes(second, WINDOW)[left].view(np.int64))], fields=list(probe))
-        probes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=n))].astype(np.int32)), values)
-        out = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), cuts, probes], ["doc", "tie", "cuts", "probes"])
-        yield out.filter(pa.array((np.diff(np.asarray(cuts.offsets)) > 0) | (np.diff(np.asarray(probes.offsets)) > 0)))
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[found].view(np.int64)), batch.column("doc").take(at), batch.column("tie").take(at), pa.array((found - words.starts[row]).astype(np.int32))], ["gram", "doc", "tie", "pos"])
+
+
+def _probes(known):
+    """Compact each document's anchors into paths and send out the windows that need a verdict.
+
+    ``known``: a broadcast of sorted repeated k-mers, how often each occurs and
+    whether always alike; or None, where the rows bring their anchors' facts along.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            words = split_words(batch.column("text"))
+            hashes = words.hashes()
+            starts, which, found, grams = _anchors(words, hashes)
+            row, times, alike = words.row[found], np.ones(len(found), np.int64), np.zeros(len(found), bool)
+            if known is not None:
+                table, often, same = known.value
+                at = np.minimum(np.searchsorted(table, grams[found].view(np.int64)), max(len(table) - 1, 0))
+                hit = table[at] == grams[found].view(np.int64) if len(table) else alike
+                times[hit], alike[hit] = often[at[hit]], same[at[hit]]
+            else:
+                lists = batch.column("anchors")
+                told, size = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+                at = np.searchsorted(found, np.repeat(words.starts[:-1], size) + np.asarray(told.field("pos"), dtype=np.int64))
+                times[at], alike[at] = np.asarray(told.field("times")), np.asarray(told.field("alike").cast(pa.int8())) > 0
+            joined = np.zeros(len(found), bool)  # with the anchor before
+            joined[1:] = (row[1:] == row[:-1]) & alike[:-1] & (times[1:] == times[:-1]) & (times[1:] > 1)
+            path, head = np.cumsum(~joined) - 1, np.flatnonzero(~joined)
+            tail = np.append(head[1:], len(found)) - 1 if len(head) else head
+            begin, stop = found[head], found[tail] + K
+            # windows to send: those of repeated anchors, but of a path's own only the first
+            sent = np.flatnonzero(times[which] > 1) if len(starts) else np.zeros(0, np.int64)
+            s, mine = starts[sent], path[which[sent]]
+            inside = (s >= begin[mine]) & (s + WINDOW <= stop[mine])
+            keep = ~inside | (s == begin[mine])
+            sent, s, mine, inside = sent[keep], s[keep], mine[keep], inside[keep]
+            anchor, of = which[sent], words.row[s]
+            base = words.starts[of]
+            a, b = s - base, np.where(inside, stop[mine], s + WINDOW) - base
+            key = mix(window_hashes(hashes, WINDOW)[s] ^ window_hashes(words.hashes(_SECOND), WINDOW)[s]).view(np.int64)
+            salt = np.where(times[anchor] > HOT, key.view(np.uint64) % np.maximum(times[anchor] // HOT, 1).astype(np.uint64), 0).astype(np.int32)
+            order = np.lexsort((salt, anchor))
+            anchor, salt, a, b, key, of = anchor[order], salt[order], a[order], b[order], key[order], of[order]
+            new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]) if len(anchor) else np.zeros(0, np.int64)
+            counts = np.diff(np.r_[new, len(anchor)])
+            rows = pa.array(of[new])
+            place = (found[anchor[new]] - words.starts[of[new]]).astype(np.int32)
+            lists = [as_lists(a.astype(np.int32), counts, pa.int32()), as_lists(b.astype(np.int32), counts, pa.int32()), as_lists(key, counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[found[anchor[new]]].view(np.int64)), pa.array(salt[new]), batch.column("doc").take(rows), batch.column("tie").take(rows), pa.array(place), *lists], _PROBE_NAMES)
+
+    return run
+
+
+_PROBES = "gram long, salt int, doc long, tie int, pos int, a array<int>, b array<int>, key array<long>"
+_PROBE_NAMES = [c.split()[0] for c in _PROBES.split(", ")]
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From probes in the order of (gram, salt, doc, tie, pos): the word ranges under windows that came before.
+
+    Only the windows met under the present k-mer are remembered, each once.
+    """
+    seen: dict[int, tuple] = {}
+    last = None
+    for batch in batches:
+        size = np.asarray(batch.column("key").value_lengths(), dtype=np.int64)
+        row = np.repeat(np.arange(batch.num_rows), size)
+        gram, salt = (batch.column(c).to_numpy()[row] for c in ("gram", "salt"))
+        key, a, b = (np.asarray(batch.column(c).flatten()) for c in ("key", "a", "b"))
+        docs = pc.fill_null(batch.column("doc"), 0).to_numpy()
+        none = np.asarray(batch.column("doc").is_null())
+        place = np.stack([none.astype(np.int64), docs, batch.column("tie").to_numpy().astype(np.int64), batch.column("pos").to_numpy().astype(np.int64)], 1)
+        order = np.lexsort((np.arange(len(key)), key, salt, gram))
+        g, t, k = gram[order], salt[order], key[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]) | (k[1:] != k[:-1])] if len(g) else np.zeros(0, bool)
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = np.zeros(len(key), bool)
+        late[order] = (place[row[order]] != place[row[first]]).any(1)
+        if last is not None:
+            for i in np.flatnonzero((gram == last[0]) & (salt == last[1])):
+                before = seen.get(int(key[i]))
+                if before is not None:
+                    late[i] = before != tuple(place[row[i]])
+        if len(gram):
+            end = (int(gram[-1]), int(salt[-1]))
+            if end != last:
+                seen, last = {}, end
+            for i in np.flatnonzero((gram == end[0]) & (salt == end[1])):
+                seen.setdefault(int(key[i]), tuple(place[row[i]]))
+        hit = np.flatnonzero(late)
+        # ranges of one row that touch become one
+        new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (a[hit][1:] > b[hit][:-1])] if len(hit) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        rows = pa.array(row[hit][start])
+        if len(start):
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("tie").take(rows), pa.array(a[hit][start]), pa.array(np.maximum.reduceat(b[hit], start))], ["doc", "tie", "a", "b"])
 
 
 def _keyed(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
@@ -137,28 +210,22 @@ def _by_document(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tie, spans array<struct<a, b>>): the word ranges to remove of each document that has any."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _keyed(df, key, text)
-    edges = docs.mapInArrow(_edges, "gram long, doc long, slot long, link long")
-    alike = Window.partitionBy("gram")
-    here = F.struct("doc", "slot")
-    known = (
-        edges.withColumn("times", F.count(F.lit(1)).over(alike))
-        .withColumn("alike", F.min("link").over(alike) == F.max("link").over(alike))
-        .withColumn("origin", F.min(here).over(alike))
-        .where("times > 1")
-    )
-    anchors = known.select(
-        "doc",
-        F.shiftright("slot", 32).cast("int").alias("tie"),
-        F.struct((F.col("slot") % (1 << 32)).cast("int").alias("pos"), "times", "alike", (here.eqNullSafe(F.col("origin"))).alias("first")).alias("anchor"),
-    )
-    anchors = anchors.groupBy("doc", "tie").agg(F.collect_set("anchor").alias("anchors"))
-    paths = written(_by_document(docs, anchors).where("anchors IS NOT NULL").mapInArrow(_paths, "doc long, tie int, cuts array<struct<a:int,b:int>>, probes array<struct<at:int,hi:long,lo:long>>"), "paths")
-    probes = paths.select("doc", "tie", F.explode("probes").alias("p")).select("doc", (F.shiftleft(F.col("tie").cast("long"), 32) + F.col("p.at")).alias("slot"), "p.hi", "p.lo")
-    same = Window.partitionBy("hi", "lo")
-    late = probes.withColumn("origin", F.min(here).over(same)).where(~here.eqNullSafe(F.col("origin")))
-    found = late.select("doc", F.shiftright("slot", 32).cast("int").alias("tie"), (F.col("slot") % (1 << 32)).cast("int").alias("a")).withColumn("b", F.col("a") + WINDOW)
-    spans = paths.select("doc", "tie", F.inline("cuts")).unionByName(found)
+    edges = docs.select("text").mapInArrow(_edges, "gram long, link long")
+    facts = edges.repartition(parts, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("times"), (F.min("link") == F.max("link")).alias("alike"))
+    facts = written(facts.where("times > 1"), "facts")
+    if facts.count() <= BROADCAST:
+        table = facts.orderBy("gram").toArrow()
+        known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("gram", "times", "alike")))
+        probes = docs.mapInArrow(_probes(known), _PROBES)
+    else:
+        anchors = docs.mapInArrow(_places, "gram long, doc long, tie int, pos int").join(facts, "gram")
+        anchors = anchors.groupBy("doc", "tie").agg(F.collect_set(F.struct("pos", "times", "alike")).alias("anchors"))
+        probes = _by_document(docs, anchors).where("anchors IS NOT NULL").mapInArrow(_probes(None), _PROBES)
+    ordered = probes.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "doc", "tie", "pos")
+    spans = ordered.mapInArrow(_verdicts, "doc long, tie int, a int, b int")
     return spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
