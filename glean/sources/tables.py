@@ -100,7 +100,7 @@ def availability(df: DataFrame, found: Column, error: Column) -> DataFrame:
 
 def source_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC20: (file, sha256, line_no, line) of text files."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("body"))
     return files.select("file", "sha256", F.posexplode(F.split("body", "\n")).alias("at", "line")).select("file", "sha256", (F.col("at") + 1).alias("line_no"), "line")
 
 
