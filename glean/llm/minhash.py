@@ -112,7 +112,7 @@ def _darts(row, element, weight, limit):
     """(row, rank, hash) of the darts below each row's limit, arrival by arrival."""
     low, width, band = 0.0, 1.0, 0
     while len(row):
-        seed = mix(element + np.uint64(0xA24BAED4963EE407) * np.uint64(band + 1))
+        seed = mix(element + np.uint64(0xA24BAED4963EE407 * (band + 1) % (1 << 64)))
         r, s, w, rank, arrival = row, seed, weight, np.zeros(len(row)), 0
         while len(r):
             arrival += 1
@@ -179,7 +179,8 @@ def _shingles(df: DataFrame, wanted: DataFrame, key: str, text: str, weights: st
 
     docs = _keyed(df, key, text)
     wanted = wanted.select("node", "rep", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-    found = docs.join(wanted, (docs.c1 == wanted.k1) & (docs.c2 == wanted.k2) & docs.doc.eqNullSafe(wanted.rep)).select("node", "text")
+    # the texts are dealt out at every size: a plan that changes with the size would hide how it grows
+    found = docs.join(wanted.hint("merge"), (docs.c1 == wanted.k1) & (docs.c2 == wanted.k2) & docs.doc.eqNullSafe(wanted.rep)).select("node", "text")
     made = found.mapInArrow(run, "node long, shingles array<long>, weights array<double>, prints binary")
     return made if weights == "count" else made.drop("weights")
 
