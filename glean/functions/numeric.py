@@ -25,6 +25,13 @@ def cosine(a: Column, b: Column) -> Column:
     return safe_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def rounded(c: Column, digits: int, mode: str = "half_up") -> Column:
+    """PRJ10: ``half_up``, or ``half_even`` as in NumPy."""
+    if mode not in ("half_up", "half_even"):
+        raise ValueError(f"unknown rounding {mode!r}")
+    return F.round(c, digits) if mode == "half_up" else F.bround(c, digits)
+
+
 def clip01(c: Column) -> Column:
     """PRJ11."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))

@@ -59,3 +59,9 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 def max_deviation(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """AU9, JN16."""
     return df.agg(F.round(F.max(F.abs(a - b)), 9).alias("max_abs_diff"), F.count(F.lit(1)).alias("rows"))
+
+
+def compare_configs(frozen: dict, declared: dict) -> dict[str, tuple]:
+    """AU10: names whose values differ, with both values; numbers may differ by 1e-9."""
+    same = lambda a, b: abs(a - b) <= 1e-9 if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b)) else a == b
+    return {k: (frozen.get(k), declared.get(k)) for k in sorted(set(frozen) | set(declared)) if k not in frozen or k not in declared or not same(frozen[k], declared[k])}

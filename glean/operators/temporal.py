@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from glean.functions.numeric import jaccard
 
 
-def overlap_members(segments: DataFrame, chunk_seconds: float, start: str = "start_sec", end: str = "end_sec") -> DataFrame:
+def overlap_members(segments: DataFrame, chunk_seconds: float | Column, start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     """JN7 on a regular grid: a row for each chunk that a segment touches.
 
     A segment belongs to chunk [a, a + C) if it starts before the chunk's end and
     ends at or after ``a``; so one that ends on a boundary is in both chunks. The
     touched chunks follow by arithmetic: no join, no shuffle.
     """
-    first, last = (F.floor(F.col(c) / F.lit(float(chunk_seconds))).cast("int") for c in (start, end))
+    size = chunk_seconds if isinstance(chunk_seconds, Column) else F.lit(float(chunk_seconds))
+    first, last = (F.floor(F.col(c) / size).cast("int") for c in (start, end))
     return segments.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).withColumn("chunk_id", F.explode(F.sequence(first, last)))
 
 

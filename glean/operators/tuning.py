@@ -51,6 +51,13 @@ def grid_search(scores: DataFrame, item: str, by: list[str], a: str, b: str, tru
     return with_rates(pooled).withColumnRenamed("f1", "micro_f1").select(*by, "alpha", "threshold", "macro_f1", "micro_f1")
 
 
+def fold_stability(pairs: DataFrame, fold: str, item: str, by: list[str]) -> DataFrame:
+    """EV24: mean and sample deviation of macro F1 over the folds."""
+    per_item = with_rates(pairs.groupBy(*by, fold, item).agg(*confusion()), 12)
+    per_fold = per_item.groupBy(*by, fold).agg(F.avg("f1").alias("f"))
+    return per_fold.groupBy(*by).agg(F.round(F.avg("f"), 6).alias("mean_macro_f1"), F.round(F.stddev_samp("f"), 6).alias("fold_std"), F.count(F.lit(1)).alias("folds"))
+
+
 def best_settings(found: DataFrame, by: list[str]) -> DataFrame:
     """WN11, ST4: the first setting by falling macro F1, falling micro F1, rising alpha and threshold."""
     order = [F.col("macro_f1").desc(), F.col("micro_f1").desc(), F.col("alpha"), F.col("threshold")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glean.functions import text as X
@@ -159,6 +159,29 @@ def first_middle_last(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), middle.alias("middle_id"), F.max("doc_id").alias("last_id"))
 
 
+@query("SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::int AS place, c_mktsegment IN ('BUILDING', 'FURNITURE') AS in_set FROM customer WHERE regexp_matches(c_name, '^Customer#[0-9]*[05]$')")
+def id_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT3, FLT6, WN5: ids of a valid form, membership, and the place in the group."""
+    found = table(spark, d, "customer").where(F.col("c_name").rlike(r"^Customer#[0-9]*[05]$"))
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
+    return found.select("c_custkey", "c_mktsegment", place.alias("place"), F.col("c_mktsegment").isin("BUILDING", "FURNITURE").alias("in_set"))
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber::varchar, ';' ORDER BY l_linenumber) AS joined, count(*) AS n, '{\"k\":' || l_orderkey || ',\"n\":' || count(*) || '}' AS as_json FROM lineitem GROUP BY l_orderkey")
+def list_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """MA10, MA11: lists joined to text and split again, and JSON of a row."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ";")
+    made = table(spark, d, "lineitem").groupBy("l_orderkey").agg(joined.alias("joined"))
+    n = F.size(F.split("joined", ";")).cast("long")
+    return made.withColumn("n", n).withColumn("as_json", F.to_json(F.struct(F.col("l_orderkey").alias("k"), "n")))
+
+
+@query("SELECT r_regionkey, r_name, strftime(current_date, '%Y-%m-%d') AS retrieval_date FROM region")
+def retrieval_date(spark: SparkSession, d: str) -> DataFrame:
+    """MA9: the day as ISO text."""
+    return table(spark, d, "region").select("r_regionkey", "r_name", F.date_format(F.current_date(), "yyyy-MM-dd").alias("retrieval_date"))
+
+
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 25")
 def sorted_report(spark: SparkSession, d: str) -> DataFrame:
     """ST1, ST7: a top-k report with mixed directions; the limit is the feature."""

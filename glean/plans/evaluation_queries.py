@@ -185,6 +185,12 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
+@query(f"WITH {PAIRS_SQL}, ci AS (SELECT doc_id % 5 AS fold, item, {_COUNTS.format('y_a')} FROM pr GROUP BY ALL), f AS (SELECT fold, avg(round({_F1}, 12)) AS f FROM ci GROUP BY 1) SELECT round(avg(f), 6) AS mean_macro_f1, round(stddev_samp(f), 6) AS fold_std, count(*) AS folds FROM f")
+def fold_stability(spark: SparkSession, d: str) -> DataFrame:
+    """EV24."""
+    return tuning.fold_stability(pairs(spark, d).withColumns({"y_pred": F.col("y_a"), "fold": F.col("doc_id") % 5}), "fold", "item", [])
+
+
 @query(f"WITH {PAIRS_SQL}, {_GRID_SQL} SELECT * FROM gb")
 def best_config(spark: SparkSession, d: str) -> DataFrame:
     """WN11, ST4, EV24."""

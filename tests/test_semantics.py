@@ -145,6 +145,12 @@ def test_terms_stand_free(spark):
     assert value(spark, X.has_alias(F.lit("The LEFT  join"), "left join")) and not value(spark, X.has_alias(F.lit("leftjoin"), "left join"))
 
 
+def test_rounding_modes(spark):
+    assert value(spark, numeric.rounded(F.lit(2.5), 0)) == 3 and value(spark, numeric.rounded(F.lit(2.5), 0, "half_even")) == 2
+    with pytest.raises(ValueError):
+        numeric.rounded(F.lit(1.0), 0, "down")
+
+
 def test_safe_divide_and_hhmmss(spark):
     assert value(spark, numeric.safe_divide(F.lit(1), F.lit(0))) == 0.0
     assert value(spark, X.hhmmss(F.lit(3725.9))) == "01:02:05"
