@@ -3,8 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from glean.operators import models
-from glean.sources import tables
+from glean.operators import audit, models
+from glean.sources import adapters, tables
 from glean.streaming.windows import chunk_counts, read_stream
 
 
@@ -57,6 +57,37 @@ def test_best_source_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").columns == ["s"]
 
 
+def test_transcripts_land_once_and_failures_are_statuses(spark):
+    def fetch(key, languages):
+        if key == "bad":
+            raise OSError("gone")
+        return [(0.004, 1.5, "hello"), (2.0, 1.0, languages[0])] if key == "ok" else []
+
+    videos = spark.createDataFrame([("v1", "ok"), ("v2", "bad"), ("v3", "none"), ("v4", "ok")], "video_id string, youtube_id string")
+    landed = spark.createDataFrame([("v4",)], "video_id string")
+    got = sorted((tuple(r) for r in adapters.fetch_transcripts(videos, fetch, landed=landed).collect()), key=str)
+    assert got == [("v1", 0.0, 1.5, "hello", "success"), ("v1", 2.0, 3.0, "en", "success"), ("v2", None, None, None, "failed: gone"), ("v3", None, None, None, "empty")]
+
+
+def test_frames_resume_and_are_recognised(spark, tmp_path):
+    videos = spark.createDataFrame([("v1", 25.5)], "video_id string, duration_sec double")
+    landed = spark.createDataFrame([("v1", 0, 9000), ("v1", 10, 100)], "video_id string, timestamp_sec int, n_bytes int")
+    assert [r["timestamp_sec"] for r in adapters.capture_plan(videos, landed).orderBy("timestamp_sec").collect()] == [10, 20]
+    box = spark.range(1).select(adapters.repair_section(F.lit(5), F.lit(12)).alias("s")).first()["s"]
+    assert (box["start_sec"], box["end_sec"], box["offset_sec"]) == (0, 12, 5)
+    for name, body in (("a", b"select  x"), ("b", b" "), ("c", b"\xff")):
+        (tmp_path / f"{name}.png").write_bytes(body)
+    got = adapters.recognise(adapters.read_images(spark, f"{tmp_path}/*.png"), lambda b: b.decode())
+    told = {r["image_file"][-5]: (r["ocr_text"], r["ocr_word_count"], r["ocr_status"]) for r in got.collect()}
+    assert told == {"a": ("select x", 2, "success"), "b": ("", 0, "empty"), "c": ("", 0, "failed")}
+    again = adapters.recognise(adapters.read_images(spark, f"{tmp_path}/*.png"), lambda b: "read", got)
+    assert [r["ocr_status"] for r in again.collect()] == ["success"]
+
+
+def test_configurations_are_compared():
+    assert audit.compare_configs({"a": 0.4, "b": 1, "c": "x"}, {"a": 0.4 + 1e-12, "b": 2, "d": 0}) == {"b": (1, 2), "c": ("x", None), "d": (None, 0)}
+
+
 def test_boxes_stay_inside(spark):
     w, h = F.lit(100), F.lit(50)
     box = spark.range(1).select(tables.crop_box(w, h, 0.0, 0.995, 1.2, 0.0).alias("b")).first()["b"]
