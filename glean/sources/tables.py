@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glean.sources.shipping import ship
+
 #: Explicit schemas: a byte-order mark never ends up in a column name, and nothing is read twice to guess types.
 SCHEMAS = {
     "segments": "video_id string, subject string, youtube_id string, start_sec double, end_sec double, start_time string, end_time string, text string",
@@ -23,6 +25,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
