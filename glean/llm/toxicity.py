@@ -2,9 +2,9 @@
 
 Labels are known for documents, offences sit in sentences. A sentence's probability
 is logistic in the words it holds; a document's is the noisy-or of its sentences,
-``1 - prod(1 - p)``. Words are hashed to ``BUCKETS``; the ``KEPT`` buckets whose
-document counts differ most between the labels (by a G test, over all labelled
-training rows) are the model's features. Weights come from full-gradient steps:
+``1 - prod(1 - p)``. The model is fitted on at most ``SAMPLE`` labelled documents,
+those of least id hash. Words are hashed to ``BUCKETS``; the ``KEPT`` buckets whose
+document counts differ most between the labels (by a G test) are the features. Weights come from full-gradient steps:
 every task sums the gradient of its documents, so the driver only holds a vector
 of ``KEPT`` + 1 numbers. Sentences end at line ends and after words that end in
 ``.``, ``!``, ``?`` or their wide forms.
@@ -31,6 +31,8 @@ from glean.llm.text import hash_strings, one_array, slices, split_words
 
 BUCKETS = 1 << 18
 KEPT = 1024
+#: Labelled documents to fit on, at most.
+SAMPLE = 40_000
 STEPS = 60
 RATE = 0.3
 RIDGE = 1e-4
@@ -83,7 +85,8 @@ def _pairs(text: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     """Learn from the documents of ``docs`` that ``labels`` marks."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k_")).agg((F.max(label) > 0).cast("int").alias("y"))
-    rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("text")).join(marks, "k_").select("y", "text")
+    marks = written(marks.orderBy(F.xxhash64(F.lit("fit"), "k_"), "k_").limit(SAMPLE), "marks")
+    rows = docs.select(F.col(key).alias("k_"), F.col(text).alias("text")).join(F.broadcast(marks), "k_").select("y", "text")  # at most SAMPLE keys
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
