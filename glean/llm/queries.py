@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.llm import bpe, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
-from glean.llm.shared import new_path, ship, written
+from glean.llm.shared import new_path, written
+from glean.sources.shipping import ship
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -74,7 +75,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
-    model = toxicity.fit(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
     found = toxicity.score(docs, model, with_sentences=False)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

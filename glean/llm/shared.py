@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,20 +35,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per session, wherever Python was started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_glean_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    made = Path(tempfile.mkdtemp()) / "glean_package.zip"
-    with zipfile.ZipFile(made, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(made))
-    sc._glean_shipped = True
-
-
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
