@@ -183,9 +183,9 @@ class Units:
     Texts with any other unit are encoded whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], opens: np.ndarray):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], opens: np.ndarray, remembered: int = REMEMBERED):
         """``encode`` gives the ids of whole texts; ``opens`` tells of each id whether its token begins with a space."""
-        self.encode, self.opens, self.known = encode, opens, {}
+        self.encode, self.opens, self.remembered, self.known, self.heads = encode, opens, remembered, {}, {}
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
@@ -193,7 +193,7 @@ class Units:
         lists = one_array(pc.split_pattern(text, " "))
         starts = np.asarray(lists.offsets, dtype=np.int64)
         coded = one_array(pc.dictionary_encode(lists.values))
-        codes, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
+        codes, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
         fine = ~np.asarray(pc.match_substring_regex(coded.dictionary, EDGE))
         n = len(text)
         row = np.repeat(np.arange(n), np.diff(starts))
@@ -203,9 +203,11 @@ class Units:
         later &= ~odd[row]
         used = np.zeros(len(names), bool)
         used[codes[later]] = True
-        found = self._resolve([f" {names[c]}" for c in np.flatnonzero(used)])
+        found = self._resolve(pc.binary_join_element_wise(" ", names.filter(pa.array(used)), "").to_pylist())
         spot = np.cumsum(used) - 1
-        heads = self.encode(lists.values.take(pa.array(starts[:-1][~odd])).to_pylist())
+        opening = lists.values.take(pa.array(starts[:-1][~odd])).to_pylist()
+        self._learn_heads(opening)
+        heads = [self.heads[x] for x in opening]
         whole = self.encode(text.filter(pa.array(odd)).to_pylist())
         table = [*found, *heads, *whole]
         slot = np.where(later, spot[codes], -1)
@@ -218,22 +220,31 @@ class Units:
         counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
         return flat[ragged((np.cumsum(size) - size)[slot], each)], counts
 
+    def _learn_heads(self, units: list[str]) -> None:
+        """Ids of the units that open texts; they have no space before them."""
+        if len(self.heads) > self.remembered // 10:
+            self.heads.clear()
+        missing = [u for u in dict.fromkeys(units) if u not in self.heads]
+        self.heads.update(zip(missing, self.encode(missing)))
+
     def _resolve(self, units: list[str]) -> list[bytes]:
         """Ids of units that begin with a space; those not yet known are encoded as one text."""
         known = self.known
-        missing = [u for u in units if u not in known]
-        fresh: dict[str, bytes] = {}
+        found = [*map(known.get, units)]
+        missing = [u for u, ids in zip(units, found) if ids is None]
+        fresh: list[bytes] = []
         for a in range(0, len(missing), 30_000):
             some = missing[a : a + 30_000]
             (joined,) = self.encode(["".join(some)])
             at = np.append(np.flatnonzero(self.opens[np.frombuffer(joined, "<i4")]) * 4, len(joined)).tolist()
             if len(at) != len(some) + 1:
                 raise ValueError("a unit does not begin with a token that opens with a space")
-            fresh.update(zip(some, (joined[i:j] for i, j in zip(at, at[1:]))))
-        for u in missing[: max(0, REMEMBERED - len(known))]:
+            fresh += [joined[i:j] for i, j in zip(at, at[1:])]
+        for u, ids in zip(missing[: max(0, self.remembered - len(known))], fresh):
             if len(u) <= SCAN_LIMIT:
-                known[u] = fresh[u]
-        return [known[u] if u in known else fresh[u] for u in units]
+                known[u] = ids
+        rest = iter(fresh)
+        return [next(rest) if ids is None else ids for ids in found]
 
 
 @lru_cache(maxsize=2)

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index (operator 9).
 
-Pivots are a bounded sample of the vectors (``PIVOTS`` different ones among the
-``8 * PIVOTS`` rows of least id hash). A
+Pivots come from a bounded sample of the vectors (the ``8 * PIVOTS`` rows of least
+id hash): ``PIVOTS`` of them, each the one farthest from those chosen before, so
+that a crowd of near-equal vectors does not use them up. A
 vector is represented by its ``PREFIX`` nearest pivots in order, and posted with
 its position in each of those pivots' inverted files. A query walks the inverted
 files of its own pivots and adds up, for every posted vector, how far the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from glean.llm.text import one_array
 
 PIVOTS = 128
-PREFIX = 64
+PREFIX = 96
 RERANK = 0.25
 #: At least so many vectors of a shard are reranked.
 LEAST = 1000
@@ -52,6 +53,15 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
     return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
+def spread(vectors: np.ndarray, k: int) -> np.ndarray:
+    """``k`` unit vectors far from each other: the first, then always the one least near to any chosen."""
+    chosen, near = [0], vectors @ vectors[0]
+    while len(chosen) < min(k, len(vectors)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
+
+
 class Shard:
     """Inverted files of one shard's vectors."""
 
@@ -89,7 +99,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     for v in dict.fromkeys(tuple(r["vector"]) for r in sample):
         by_size.setdefault(len(v), []).append(v)
     unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
-    pivots = df.sparkSession.sparkContext.broadcast({d: unit(np.array(v[:PIVOTS])) for d, v in by_size.items()})
+    pivots = df.sparkSession.sparkContext.broadcast({d: spread(unit(np.array(v)), PIVOTS) for d, v in by_size.items()})
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asking // BLOCK))
     deal = lambda c, m: F.pmod(F.xxhash64(F.lit("deal"), c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -43,10 +43,10 @@ from glean.llm.text import WORD_PATTERN, Words, as_lists, mix, slices, split_wor
 WINDOW = 20
 K = 8
 SLICE = 4 << 20
-#: Repeated k-mers that are broadcast at most (9 bytes each).
+#: Repeated k-mers that are broadcast at most (17 bytes each).
 BROADCAST = 6_000_000
 #: Occurrences of a k-mer whose windows meet in one place; commoner k-mers are split by their windows' hashes.
-HOT = 100_000
+HOT = 20_000
 _END = np.uint64(0x51ED270B153A4D2F)
 _SECOND = "glean-words-key2"
 
@@ -214,7 +214,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _keyed(df, key, text)
     edges = docs.select("text").mapInArrow(_edges, "gram long, link long")
-    facts = edges.repartition(parts, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("times"), (F.min("link") == F.max("link")).alias("alike"))
+    facts = edges.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), (F.min("link") == F.max("link")).alias("alike"))
     facts = written(facts.where("times > 1"), "facts")
     if facts.count() <= BROADCAST:
         table = facts.orderBy("gram").toArrow()

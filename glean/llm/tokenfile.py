@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glean.llm.bpe import SLICE, Units, byte_letters
+from glean.llm.bpe import Units, byte_letters
 from glean.llm.shared import written
 from glean.llm.text import as_lists, ragged, slices
 
@@ -61,7 +61,7 @@ def _library(spec: bytes) -> Units:
     space = byte_letters()[ord(" ")]
     opens = np.zeros(made.get_vocab_size(), bool)
     opens[[i for token, i in made.get_vocab().items() if token.startswith(space)]] = True
-    return Units(encode, opens)
+    return Units(encode, opens, 1_000_000)
 
 
 def tokenize(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,7 +77,7 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _library(spec.value)
         total = np.zeros(max(len(units.opens), end_id + 1), np.int64)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             ids, counts = units.ids(batch.column("text"))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             total += np.bincount(ids, minlength=len(total))
