@@ -206,8 +206,7 @@ class Units:
         found = self._resolve(pc.binary_join_element_wise(" ", names.filter(pa.array(used)), "").to_pylist())
         spot = np.cumsum(used) - 1
         opening = lists.values.take(pa.array(starts[:-1][~odd])).to_pylist()
-        self._learn_heads(opening)
-        heads = [self.heads[x] for x in opening]
+        heads = self._resolve_heads(opening)
         whole = self.encode(text.filter(pa.array(odd)).to_pylist())
         table = [*found, *heads, *whole]
         slot = np.where(later, spot[codes], -1)
@@ -220,12 +219,15 @@ class Units:
         counts = np.bincount(row, weights=each, minlength=n).astype(np.int64)
         return flat[ragged((np.cumsum(size) - size)[slot], each)], counts
 
-    def _learn_heads(self, units: list[str]) -> None:
-        """Ids of the units that open texts; they have no space before them."""
-        if len(self.heads) > self.remembered // 10:
-            self.heads.clear()
-        missing = [u for u in dict.fromkeys(units) if u not in self.heads]
-        self.heads.update(zip(missing, self.encode(missing)))
+    def _resolve_heads(self, units: list[str]) -> list[bytes]:
+        """Ids of units that open texts, with no space before them; long ones, such as texts without spaces, are not remembered."""
+        known = self.heads
+        if len(known) > self.remembered // 10:
+            known.clear()
+        missing = [u for u in dict.fromkeys(units) if u not in known]
+        fresh = dict(zip(missing, self.encode(missing)))
+        known.update((u, ids) for u, ids in fresh.items() if len(u) <= SCAN_LIMIT)
+        return [known[u] if u in known else fresh[u] for u in units]
 
     def _resolve(self, units: list[str]) -> list[bytes]:
         """Ids of units that begin with a space; those not yet known are encoded as one text."""
