@@ -107,6 +107,17 @@ def test_encoding_of_odd_texts(text, library):
     assert ids.tolist() == truth * 2 and counts.tolist() == [len(truth), 0, len(truth)]
 
 
+def test_workers_remember_short_units_only(library):
+    coder = bpe.ByteBPE(open(PATH, "rb").read())
+    units = bpe.Units(coder.encode, np.array([t[:1] == b" " for t in coder.token_bytes]), 40)
+    texts = ["日本" * 500, "short one", "日本" * 500 + " tail", *(f"t{i} u{i}" for i in range(60))]
+    truth = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, counts = units.ids(pa.array(texts))
+        assert ids.tolist() == [i for ids in truth for i in ids] and counts.tolist() == [*map(len, truth)]
+    assert max(map(len, [*units.heads, *units.known])) <= bpe.SCAN_LIMIT and len(units.known) <= 40
+
+
 def test_scan_and_heap_merge_alike():
     coder = bpe.ByteBPE(open(PATH, "rb").read())
     for word in (b" understanding", b"aaaaaaaaaaaaaaaaaaaaaaaaa", "éèê".encode() * 5, b"-----=====-----"):
