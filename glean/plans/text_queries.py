@@ -60,10 +60,10 @@ def url_domain_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screens(spark: SparkSession, d: str) -> DataFrame:
-    """Page text without tags, with known interface noise mixed in, as a stand-in for screen text."""
+    """The whole page text without tags, with known interface noise mixed in, as a stand-in for screen text."""
     plain = F.regexp_replace("html", r"<[^>]*>", " ")
     noise = F.element_at(F.array(*[F.lit(x) for x in ("File Edit View Project Tools Window Help", "Seiect name Group 5v id havlng cqunt(id)", "Object Explorer localhost\\sql Ln 12, Col 4 UTF-8 CRLF", "1234567 ===== --- x = 5 ; https://a.b/c")]), (F.col("page_id") % 4 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", X.squeeze(F.concat_ws(" ", noise, F.substring(plain, 1, 600))).alias("screen"))
+    return table(spark, d, "pages").select("page_id", X.squeeze(F.concat_ws(" ", noise, plain)).alias("screen"))
 
 
 @query()

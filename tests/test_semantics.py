@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glean.functions import numeric, text as X
 from glean.operators import audit, dataset, evaluate, evidence, scoring, stats, temporal, tuning
+from glean.plans import text_queries
 from glean.plans.config import LOCKED, PILOT
 
 
@@ -197,3 +198,14 @@ def test_upsert_promote_and_diff(spark):
 
 def test_configurations_are_explicit():
     assert PILOT.concept_text_mode == "name+description" and LOCKED.as_dict()["chunk_seconds"] == 180
+
+
+def test_screen_text_is_the_whole_page(spark, tmp_path):
+    html = "<p>" + "plain words of prose " * 100 + "</p> seiect debugg 7654321 tail"
+    spark.createDataFrame([(0, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: getattr(text_queries, name)(spark, str(tmp_path))
+    assert run("ocr_clean_v1").first()["cleaned"].endswith("tail")
+    r = run("ocr_clean_v2_audit").first()
+    assert r["cleaned"].endswith("tail") and r["ocr_corrections"] == 1 and r["long_numbers_removed"] == 1
+    assert "debugg" in column(run("fuzzy_ui_tokens"), "word")
+    assert run("menu_cluster").first()["kept"].endswith("tail")
