@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from glean.functions import text as X
 from glean.functions.numeric import jaccard
 from glean.operators import dataset, temporal
-from glean.plans.chunk_queries import CLEAN_SQL, JACCARD_SQL, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, segments
+from glean.plans.chunk_queries import CHUNK, CLEAN_SQL, JACCARD_SQL, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, segments
 from glean.plans.registry import query
 from glean.sources import tables
 from glean.sources.tables import table
@@ -243,11 +243,12 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """MA5, S13: in runs of twenty documents, keep a text unless it is 0.85 alike to a kept one."""
-    items = F.array_sort(F.collect_list(F.struct("doc_id", X.token_set(F.col("text")).alias("tokens"))))
-    groups = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("run")).agg(items.alias("items"))
+    """MA5, S13: of a chunk's segments in the order of their start, keep a text unless it is 0.85 alike to a kept one; blank texts go."""
+    members = temporal.overlap_members(segments(spark, d), CHUNK).where(F.trim("text") != "").withColumn("tokens", X.token_set(F.col("text")))
+    items = F.array_sort(F.collect_list(F.struct("start_sec", "turn", "tokens")))
+    groups = members.groupBy("video_id", "chunk_id").agg(items.alias("items"))
     kept = temporal.greedy_dedup(F.col("items"))
-    return groups.select("run", F.inline(F.transform(kept, lambda k: F.struct(k["doc_id"].alias("doc_id")))))
+    return groups.select("video_id", "chunk_id", F.inline(F.transform(kept, lambda k: F.struct(k["start_sec"].alias("start_sec"), k["turn"].alias("turn")))))
 
 
 @query("WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 2) AS k FROM documents) SELECT doc_id, len(k)::int AS n_words, greatest(len(k) - 1, 0)::int AS n_pairs, CASE WHEN len(k) >= 2 THEN k[1] || ' ' || k[2] END AS first_pair FROM t")

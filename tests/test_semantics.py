@@ -209,3 +209,10 @@ def test_screen_text_is_the_whole_page(spark, tmp_path):
     assert r["cleaned"].endswith("tail") and r["ocr_corrections"] == 1 and r["long_numbers_removed"] == 1
     assert "debugg" in column(run("fuzzy_ui_tokens"), "word")
     assert run("menu_cluster").first()["kept"].endswith("tail")
+
+
+def test_greedy_dedup_of_a_whole_chunk_in_time_order(spark, tmp_path):
+    rows = [(0, 0, "u", "same words here"), (0, 1, "u", "other text"), (0, 2, "u", "Same words here."), (0, 3, "u", " "), (0, 4, "u", "да"), (1, 0, "u", "same words here")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = text_queries.greedy_dedup(spark, str(tmp_path)).orderBy("video_id", "chunk_id", "start_sec").collect()
+    assert [(r["video_id"], r["chunk_id"], r["turn"]) for r in got] == [(0, 0, 0), (0, 0, 1), (0, 0, 4), (0, 1, 4), (1, 0, 0)]
