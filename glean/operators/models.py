@@ -50,7 +50,7 @@ def count_vectors(docs: DataFrame, terms: str, words: list[str], out: str = "fea
 
 
 #: Terms of a latent space at most; its Gram matrix is held by each task.
-MOST_WORDS = 4096
+MOST_WORDS = 5000
 BLOCK = 256
 
 
@@ -65,7 +65,11 @@ class TopicModel:
     def fit(cls, docs: DataFrame, terms: str, words: list[str], topics: int = 6, iterations: int = 50, seed: int = 42) -> TopicModel:
         """ML2: online variational Bayes over whole passes, priors 1 / topics."""
         lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, docConcentration=[1 / topics] * topics, topicConcentration=1 / topics)
-        return cls(lda.fit(count_vectors(docs, terms, words)), words)
+        counted = count_vectors(docs, terms, words).select("features").persist()  # read in every pass
+        try:
+            return cls(lda.fit(counted), words)
+        finally:
+            counted.unpersist()
 
     def transform(self, docs: DataFrame, terms: str) -> DataFrame:
         """ML10, ML12: ``topics`` (array), ``dominant_topic`` and its score, for any documents."""
@@ -94,6 +98,17 @@ class TopicModel:
             out[name] = np.divide(topics @ v, norm, out=np.zeros(len(topics)), where=norm > 0)
         return out
 
+    def affinity_table(self, concepts: DataFrame, keys: list[str], terms: str) -> DataFrame:
+        """ML5 as a join: ``keys`` and ``affinity`` (array, one for each topic) of every row of ``concepts``."""
+        topics = self.distribution()
+        norms = np.linalg.norm(topics, axis=1)
+        told = concepts.sparkSession.createDataFrame([(w, [float(x) for x in topics[:, i]]) for i, w in enumerate(self.words)], "term string, share array<double>")
+        counts = concepts.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+        dots = [F.sum(F.col("share")[k] * F.col("n")).alias(f"_{k}") for k in range(len(topics))]
+        met = counts.join(told, "term").groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"), *dots)
+        shares = [F.coalesce(safe_divide(F.col(f"_{k}"), F.col("_norm") * float(norms[k])), F.lit(0.0)) for k in range(len(topics))]
+        return concepts.select(*keys).join(met, keys, "left").select(*keys, F.array(*shares).alias("affinity"))
+
 
 def topic_scores(topics: Column, affinity: np.ndarray, clip: bool = True) -> Column:
     """ML6, MA7: topic shares times affinities."""
@@ -127,18 +142,26 @@ class LatentSpace:
             df[place[r["term"]]] = r["count"]
         idf = np.log((1 + n) / (1 + df)) + 1
 
+        shared = docs.sparkSession.sparkContext.broadcast((place, idf))
+
         def sums(batches):
-            total = np.zeros((len(words), len(words)))
+            place, idf = shared.value
+            total = np.zeros((len(idf), len(idf)))
             for pdf in batches:
-                x = _unit_rows(np.array(list(pdf["x"]), float).reshape(len(pdf), -1) * idf)
-                total += x.T @ x
-            yield pd.DataFrame({"block": range(0, len(words), BLOCK), "part": [total[a : a + BLOCK].tobytes() for a in range(0, len(words), BLOCK)]})
+                for found in pdf["x"]:
+                    at, v = _unit_terms(found, place, idf)
+                    total[at[:, None], at] += v[:, None] * v
+            for a in range(0, len(idf), BLOCK):
+                yield pd.DataFrame({"block": [a], "part": [total[a : a + BLOCK].tobytes()]})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum([np.frombuffer(x) for x in pdf["part"]], axis=0)
+            total = np.frombuffer(pdf["part"].iloc[0]).copy()
+            for x in pdf["part"].iloc[1:]:
+                total += np.frombuffer(x)
             return pd.DataFrame({"block": pdf["block"][:1], "part": [total.tobytes()]})
 
-        x = count_vectors(docs, terms, words).select(vector_to_array("features").alias("x"))
+        # one matrix for each core, not for each partition of the input
+        x = docs.select(F.col(terms).alias("x")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
         parts = x.mapInPandas(sums, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
         gram = np.concatenate([np.frombuffer(r["part"]) for r in sorted(parts, key=lambda r: r["block"])]).reshape(len(words), -1)
         _, found = np.linalg.eigh(gram)
@@ -146,23 +169,25 @@ class LatentSpace:
 
     def transform(self, docs: DataFrame, terms: str, out: str = "latent") -> DataFrame:
         """ML11: project any documents."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.idf, self.components))
-        made = count_vectors(docs, terms, self.words)
+        place = {w: i for i, w in enumerate(self.words)}
+        shared = docs.sparkSession.sparkContext.broadcast((place, self.idf, self.components))
 
         def project(batches):
-            idf, components = shared.value
+            place, idf, components = shared.value
             for pdf in batches:
-                pdf[out] = list(_unit_rows(np.array(list(pdf["_x"]), float).reshape(len(pdf), -1) * idf) @ components)
-                yield pdf.drop(columns="_x")
+                weighed = (_unit_terms(found, place, idf) for found in pdf[terms])
+                pdf[out] = [v @ components[at] for at, v in weighed]
+                yield pdf
 
-        kept = made.drop("features").columns
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.select(*kept).schema) + f", {out} array<double>"
-        return made.select(*kept, vector_to_array("features").alias("_x")).mapInPandas(project, schema)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {out} array<double>"
+        return docs.mapInPandas(project, schema)
 
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+def _unit_terms(found, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's known terms, each once, and their weights with length 1."""
+    at, n = np.unique(np.array([place[t] for t in found if t in place], np.int64), return_counts=True)
+    v = n * idf[at]
+    return at, v / np.linalg.norm(v) if len(v) else v
 
 
 def row_normalised(value: Column, by: list[str]) -> Column:

@@ -14,6 +14,9 @@ from glean.sources.tables import table
 
 PROBES = 8
 TOPICS, VOCABULARY = 6, 1000
+#: Sizes of the models.
+TOPIC_WORDS, PASSES = 3000, 50
+LATENT_WORDS, COMPONENTS = 5000, 100
 
 
 @query(f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < {PROBES}), s AS (SELECT query_id, vec_id, round(coalesce(list_dot_product(e::double[], embedding::double[]) / nullif(sqrt(list_dot_product(e::double[], e::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 0), 0), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::int AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5")
@@ -56,57 +59,71 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return models.vocabulary(docs, "terms", VOCABULARY)
 
 
-def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     terms = X.ngrams(X.content_tokens(X.clean_text(F.col("text")), STOP_WORDS))
     docs = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), (F.col("conv_id") % 4).alias("subject"), terms.alias("terms"))
     concepts = table(spark, d, "benchmark").select(F.col("item_id").alias("concept"), (F.col("item_id") % 4).alias("subject"), terms.alias("terms"))
-    words = [r["term"] for r in models.vocabulary(docs, "terms", VOCABULARY).collect()]  # VOCABULARY rows
-    return docs, concepts, words
+    return docs, concepts
+
+
+def _topics(docs: DataFrame) -> models.TopicModel:
+    """Topics of these documents, in words of their own."""
+    words = [r["term"] for r in models.vocabulary(docs, "terms", TOPIC_WORDS).collect()]  # TOPIC_WORDS rows
+    return models.TopicModel.fit(docs, "terms", words, TOPICS, iterations=PASSES)
+
+
+def _latent(docs: DataFrame, concepts: DataFrame) -> models.LatentSpace:
+    """The latent space of these documents and the concepts, in words of both."""
+    both = docs.select("terms").unionByName(concepts.select("terms"))
+    words = [r["term"] for r in models.vocabulary(both, "terms", LATENT_WORDS, max_df=1.0).collect()]  # LATENT_WORDS rows
+    return models.LatentSpace.fit(both, "terms", words, COMPONENTS)
+
+
+def _topic_score() -> F.Column:
+    score = F.aggregate(F.zip_with("topics", "affinity", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("lda_score")
+
+
+def _latent_score() -> F.Column:
+    return F.round(cosine(F.col("x"), F.col("y")), 4).alias("lsa_score")
 
 
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
     """ML2-ML4, ML12: each document's topics; a fit, so checked by its properties."""
-    docs, _, words = _corpus(spark, d)
-    found = models.TopicModel.fit(docs, "terms", words, TOPICS, iterations=10).transform(docs, "terms")
+    docs, _ = _corpus(spark, d)
+    found = _topics(docs).transform(docs, "terms")
     return found.select("doc_id", "topics", "dominant_topic", F.round("dominant_score", 6).alias("dominant_score"))
 
 
 @query()
 def lda_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """ML5, ML6, MA7: topic shares times topic-concept affinity for concepts of the subject."""
-    docs, concepts, words = _corpus(spark, d)
-    model = models.TopicModel.fit(docs, "terms", words, TOPICS, iterations=10)
-    told = [((r["concept"], r["subject"]), r["terms"]) for r in concepts.collect()]  # the catalog
-    rows = [(int(c), int(s), [float(x) for x in v]) for (c, s), v in model.affinity(told).items()]
-    affinity = spark.createDataFrame(rows, "concept long, subject long, affinity array<double>")
-    joined = model.transform(docs, "terms").join(affinity, "subject")
-    score = F.aggregate(F.zip_with("topics", "affinity", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return joined.select("doc_id", "concept", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("lda_score"))
-
-
-def _latent_scores(docs: DataFrame, concepts: DataFrame, space: models.LatentSpace) -> DataFrame:
-    left = space.transform(docs, "terms").select("doc_id", "subject", F.col("latent").alias("x"))
-    right = space.transform(concepts, "terms").select("concept", "subject", F.col("latent").alias("y"))
-    return left.join(right, "subject").select("doc_id", "concept", F.round(cosine(F.col("x"), F.col("y")), 4).alias("lsa_score"))
+    docs, concepts = _corpus(spark, d)
+    model = _topics(docs)
+    joined = model.transform(docs, "terms").join(model.affinity_table(concepts, ["concept", "subject"], "terms"), "subject")
+    return joined.select("doc_id", "concept", _topic_score())
 
 
 @query()
 def lsa_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """ML7-ML9: cosine in the latent space, fitted on documents and concepts."""
-    docs, concepts, words = _corpus(spark, d)
-    space = models.LatentSpace.fit(docs.select("terms").unionByName(concepts.select("terms")), "terms", words[:300], 50)
-    return _latent_scores(docs, concepts, space)
+    docs, concepts = _corpus(spark, d)
+    space = _latent(docs, concepts)
+    left = space.transform(docs, "terms", "x").select("doc_id", "subject", "x")
+    return left.join(space.transform(concepts, "terms", "y").select("concept", "subject", "y"), "subject").select("doc_id", "concept", _latent_score())
 
 
 @query()
 def cv_oof_scores(spark: SparkSession, d: str) -> DataFrame:
-    """ML10, ML11, AU4, S15: each of two folds is scored by a space fitted on the other one and the concepts."""
-    docs, concepts, words = _corpus(spark, d)
+    """ML10, ML11, AU4, S15: each of two folds is scored by topics fitted on the other one, and by a space fitted on the other one and the concepts."""
+    docs, concepts = _corpus(spark, d)
     folds = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     parts = []
     for k in (0, 1):
-        train = folds.where(F.col("fold") != k).select("terms").unionByName(concepts.select("terms"))
-        space = models.LatentSpace.fit(train, "terms", words[:200], 30)
-        parts.append(_latent_scores(folds.where(F.col("fold") == k), concepts, space).withColumn("fold", F.lit(k)))
+        train, held_out = folds.where(F.col("fold") != k), folds.where(F.col("fold") == k).drop("fold")
+        model, space = _topics(train), _latent(train, concepts)
+        left = model.transform(space.transform(held_out, "terms", "x"), "terms").select("doc_id", "subject", "x", "topics")
+        right = space.transform(concepts, "terms", "y").select("concept", "subject", "y").join(model.affinity_table(concepts, ["concept", "subject"], "terms"), ["concept", "subject"])
+        parts.append(left.join(right, "subject").select("doc_id", "concept", _latent_score(), _topic_score(), F.lit(k).alias("fold")))
     return parts[0].unionByName(parts[1])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glean.operators import audit, models
+from glean.plans import model_queries
 from glean.sources import adapters, tables
 from glean.streaming.windows import chunk_counts, read_stream
 
@@ -132,6 +133,37 @@ def test_latent_space_separates_subjects(spark):
         models.LatentSpace.fit(docs.limit(1), "terms", words, 3)
 
 
+def test_latent_space_takes_five_thousand_terms(spark):
+    docs = spark.createDataFrame([(k, [f"w{k * 1250 + i}" for i in range(1250)]) for k in range(4)], "doc_id int, terms array<string>")
+    space = models.LatentSpace.fit(docs, "terms", [f"w{i}" for i in range(5000)], 3)
+    assert space.components.shape == (5000, 3)
+
+
+def test_affinity_table_equals_affinity(spark):
+    docs = corpus(spark)
+    words = [r["term"] for r in models.vocabulary(docs, "terms", 50).collect()]
+    model = models.TopicModel.fit(docs, "terms", words, topics=2, iterations=5)
+    told = [("loops", ["loop", "while", "loop", "zzz"]), ("none", ["zzz"]), ("empty", [])]
+    got = model.affinity_table(spark.createDataFrame(told, "concept string, terms array<string>"), ["concept"], "terms").collect()
+    want = model.affinity(told)
+    assert len(got) == 3
+    for r in got:
+        assert r["affinity"] == pytest.approx(list(want[r["concept"]]))
+
+
+def test_terms_of_concepts_alone_count_and_folds_have_both_scores(spark, tmp_path):
+    turns = [(k, t, "u", f"select rows table{t} loop{k}") for k in range(4) for t in range(6)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, f"unheard{k} select loop{k}") for k in range(4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, concepts = model_queries._corpus(spark, str(tmp_path))
+    assert {f"unheard{k}" for k in range(4)} <= set(model_queries._latent(docs, concepts).words)
+    held_out = docs.where("subject = 3")
+    seen = model_queries._topics(docs.where("subject <> 3")).words
+    assert held_out.count() == 6 and "loop3" not in seen and "loop2" in seen
+    got = model_queries.cv_oof_scores(spark, str(tmp_path))
+    assert got.count() == 24 and got.where("lda_score > 0 AND lsa_score > 0").count() > 0
+
+
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
     rows = [(f"2024-01-01 00:0{k % 5}:{k % 60:02d}", "click" if k % 2 else "view", float(k)) for k in range(40)]
     events = spark.createDataFrame(rows, "at string, event_type string, value double").select(F.to_timestamp("at").alias("ts"), "event_type", "value")
