@@ -16,7 +16,9 @@ query's best rows of that shard. Every vector is indexed, whatever the sample.
 Vectors that are null, zero or hold null or non-finite components take no part, nor
 do rows without an id. Vectors of different lengths are never neighbours. Repeated
 rows are neighbours of each other only under different ids; ties go to the smaller
-id. An empty table gives none.
+id. Rows equal in id and vector count once. Different vectors under one id are one
+neighbour, and one query, each pair of ids counting by its best score. An empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -45,6 +47,15 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.asarray(one_array(table.column("vector")).flatten(), dtype=np.float64).reshape(table.num_rows, -1)
 
 
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows, each pair of both once."""
+    ids, vectors = table.column("id").to_numpy(), _matrix(table)
+    if len(np.unique(ids)) < len(ids):
+        _, first = np.unique(np.column_stack([ids, vectors.view(np.int64)]), axis=0, return_index=True)
+        ids, vectors = ids[np.sort(first)], vectors[np.sort(first)]
+    return ids, vectors
+
+
 def prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each unit vector, nearest first."""
     near = -(vectors @ pivots.T)
@@ -67,6 +78,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
         self.ids, self.vectors, self.pivots = ids, vectors, pivots
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         order = prefixes(vectors / self.norms[:, None], pivots, PREFIX)
         self.length = order.shape[1]
@@ -86,7 +98,11 @@ class Shard:
         least = -np.partition(-agree, self.budget - 1)[self.budget - 1]
         found = np.flatnonzero((agree >= least) & (self.ids != query_id))
         score = (self.vectors[found] @ query) / (self.norms[found] * norm)
-        best = np.lexsort((self.ids[found], -score))[:k]
+        best = np.lexsort((self.ids[found], -score))
+        if not self.repeated:
+            return self.ids[found[best[:k]]], score[best[:k]]
+        _, first = np.unique(self.ids[found[best]], return_index=True)  # an id once, by its best score
+        best = best[np.sort(first)[:k]]
         return self.ids[found[best]], score[best]
 
 
@@ -110,16 +126,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if held.num_rows and asked.num_rows:
-            vectors, wanted = _matrix(held), _matrix(asked)
+            (ids, vectors), (asking, wanted) = _distinct(held), _distinct(asked)
             # vectors of a length that the sample misses are compared through pivots of their own shard
             near = pivots.value.get(vectors.shape[1])
-            shard = Shard(held.column("id").to_numpy(), vectors, unit(vectors[:PIVOTS]) if near is None else near)
-            for q, x in zip(asked.column("id").to_pylist(), wanted):
+            shard = Shard(ids, vectors, unit(vectors[:PIVOTS]) if near is None else near)
+            for q, x in zip(asking.tolist(), wanted):
                 out += [(q, int(i), float(s)) for i, s in zip(*shard.search(q, x, k))]
         q, i, s = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     by = ["length", "shard", "block"]
     found = posted.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -147,6 +147,21 @@ def test_index_of_awkward_vectors(spark):
     assert permutation_index.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_index_counts_repeated_ids_once(spark):
+    rows = [(k, [1.0, 0.1 * k]) for k in range(8)]
+    rows += [rows[0]] * 2 + [rows[1]] * 6 + [(2, [-1.0, 0.0])]  # queries, candidates, and an id of two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = permutation_index.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, k, k) for k in range(1, 6)]
+
+
+def test_index_reranks_beyond_the_copies_of_a_row(spark):
+    rows = [(k, [1.0, 0.1 * k]) for k in range(8)]
+    df = spark.createDataFrame(rows + [rows[1]] * 2 * permutation_index.LEAST, "vec_id long, embedding array<float>")
+    got = permutation_index.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on awkward rows: its columns, its decisions, and clean documents left alone."""
     docs = messy(spark).select("doc_id", "text", "lang", "source", "n_chars")
