@@ -9,10 +9,11 @@ two texts are linked if their weighted Jaccard similarity is at least
 2. Leader rounds. Nodes of a bucket are compared with a leader, never with each
    other: first with the node of least hash, then with the node that proved nearest
    to a leader before. Candidates are verified on their whole shingle sets.
-3. The rest. Where a bucket still holds several components, its nodes are cut into
-   blocks of ``BLOCK``, pairs of blocks meet in separate tasks, and pairs whose
-   components differ and whose long signatures (``LONG`` coordinates) do not rule
-   out the similarity are verified too. So no bucket is capped.
+3. The rest. Where a bucket still holds several components, the nodes outside its
+   largest one are compared with all nodes of other components: both kinds are cut
+   into blocks, pairs of blocks meet in separate tasks, and a task counts the common
+   shingles of all its pairs on whole sets. It returns a spanning forest of the
+   components it links, never its pairs. No bucket is capped and no pair left out.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 shares no bucket with
 probability 3e-6, and less above.
@@ -39,11 +40,11 @@ SHINGLE = 5
 COORDINATES = 160
 ROWS = 5
 SIMILARITY = 0.8
-BLOCK = 256
-#: Coordinates of the longer signature by which blocks rule pairs out, and how far
-#: below the similarity its estimate does so: three standard deviations.
-LONG = 640
-MARGIN = 3 * (SIMILARITY * (1 - SIMILARITY) / LONG) ** 0.5
+#: A block holds about so many nodes at most, and about so many shingles.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 19
+#: Cells of the indicator matrix by which a task counts common shingles.
+CELLS = 1 << 22
 SLICE = 4 << 20
 
 
@@ -168,26 +169,31 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shingles(df: DataFrame, wanted: DataFrame, key: str, text: str, weights: str) -> DataFrame:
-    """(node, shingles, weights, prints) of the wanted nodes, from one document each; prints are a byte of each coordinate of the long signature."""
+    """(node, shingles) of the wanted nodes, from one document each.
+
+    With ``weights="count"`` the second and later places of a shingle are elements of
+    their own, so that common elements add up to the least of the two counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             row, value, count = shingle_sets(split_words(batch.column("text")))
-            each, weight = np.bincount(row, minlength=batch.num_rows), _weights(count, weights)
-            prints = (signatures(row, value, weight, batch.num_rows, LONG) >> np.uint64(20)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), each, pa.int64()), as_lists(weight, each, pa.float64()), pa.array([x.tobytes() for x in prints], pa.binary())], ["node", "shingles", "weights", "prints"])
+            if weights == "count":
+                nth = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+                row, value = np.repeat(row, count), np.repeat(value, count)
+                value = np.where(nth > 0, mix(value + nth * np.uint64(0x9E3779B97F4A7C15)), value)
+            each = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), each, pa.int64())], ["node", "shingles"])
 
     docs = _keyed(df, key, text)
     wanted = wanted.select("node", "rep", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
     # the texts are dealt out at every size: a plan that changes with the size would hide how it grows
     found = docs.join(wanted.hint("merge"), (docs.c1 == wanted.k1) & (docs.c2 == wanted.k2) & docs.doc.eqNullSafe(wanted.rep)).select("node", "text")
-    made = found.mapInArrow(run, "node long, shingles array<long>, weights array<double>, prints binary")
-    return made if weights == "count" else made.drop("weights")
+    return found.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """(a, b, similarity) of distinct pairs of nodes, on their whole shingle sets."""
-    weighted = "weights" in store.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,16 +203,11 @@ def _verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
                 out = []
                 for i in range(part.num_rows):
                     x, y = (columns[c][i].values.to_numpy() for c in ("shingles_a", "shingles_b"))
-                    both, j, k = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    if weighted:
-                        u, v = (columns[c][i].values.to_numpy() for c in ("weights_a", "weights_b"))
-                        same, all_ = np.minimum(u[j], v[k]).sum(), u.sum() + v.sum()
-                    else:
-                        same, all_ = len(both), len(x) + len(y)
-                    out.append(same / (all_ - same))
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(same / (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([columns["a"], columns["b"], pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    side = lambda s: store.select([F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in store.columns if c != "prints"])
+    side = lambda s: store.select([F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in store.columns])
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -235,55 +236,97 @@ def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(written(open_.select("bucket", "n"), "open"), "bucket")
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """(a, b) of each bucket whose labels differ and whose signatures leave the similarity possible."""
-    names = ["bucket", "i", "j", "side", "node", "label", "size", "prints"]
+def common(row: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of the rows ``left`` has in common with each of the rows ``right``.
 
-    def compare(rows: list[np.ndarray], prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, side, node, label, size = rows
+    ``row`` and ``value`` list the distinct values of every row. Values of one row
+    alone are left out; the others become columns of a 0/1 matrix, a strip at a time.
+    """
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    step = np.r_[False, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
+    column = np.cumsum(step)
+    often = np.bincount(column, minlength=1)[column] > 1
+    row, column = row[often], column[often]
+    column = np.unique(column, return_inverse=True)[1]
+    same = np.zeros((len(left), len(right)))
+    n = int(max(left.max(initial=-1), right.max(initial=-1))) + 1
+    width = max(1, CELLS // max(n, 1))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [low, low + width])
+        strip = np.zeros((n, width), np.float32)
+        strip[row[s:e], column[s:e] - low] = 1
+        same += strip[left] @ strip[right].T
+    return same
+
+
+def forest(label_a: np.ndarray, label_b: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Pairs of labels that connect whatever ``linked`` (rows ``label_a``, columns ``label_b``) connects, without circles."""
+    labels, at = np.unique(np.r_[label_a, label_b], return_inverse=True)
+    u, v = np.nonzero(linked)
+    u, v = at[: len(label_a)][u], at[len(label_a) :][v]
+    touch = np.zeros((len(labels), len(labels)), bool)
+    touch[u, v] = touch[v, u] = True
+    open_, out = touch.any(1), [np.zeros((0, 2), np.int64)]
+    while open_.any():
+        queue = [int(open_.argmax())]
+        open_[queue[0]] = False
+        while queue:
+            x = queue.pop()
+            found = np.flatnonzero(touch[x] & open_)
+            open_[found] = False
+            queue += found.tolist()
+            out.append(np.stack([np.full(len(found), labels[x]), labels[found]], 1))
+    return np.concatenate(out)
+
+
+def _in_blocks(now: DataFrame, store: DataFrame) -> DataFrame:
+    """(a, b): labels linked by a pair of nodes of one bucket; ``now``: (bucket, node, label, size)."""
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, side, label = (table.column(c).to_numpy() for c in ("i", "j", "side", "label"))
+        bucket, lists = table.column("bucket").to_numpy(), one_array(table.column("shingles"))
+        ends, flat = np.asarray(lists.offsets, dtype=np.int64), lists.values.to_numpy()
         cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-        out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(cut, cut[1:]):
-            for x in range(s, e, 64):
-                left = np.arange(x, min(x + 64, e))
-                right = np.arange(s, e)
-                fine = label[left][:, None] != label[right]
-                fine &= (side[left][:, None] < side[right]) if i[s] != j[s] else (node[left][:, None] < node[right])
-                fine &= np.minimum(size[left][:, None], size[right]) >= SIMILARITY * np.maximum(size[left][:, None], size[right])
-                u, v = np.nonzero(fine)
-                same = (prints[left[u]] == prints[right[v]]).mean(1)
-                u, v = left[u[same >= SIMILARITY - MARGIN]], right[v[same >= SIMILARITY - MARGIN]]
-                out.append(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])], 1))
-        found = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            at, sizes = np.arange(e - s), np.diff(ends[s : e + 1])
+            left, right = (at, at) if i[s] == j[s] else (at[side[s:e] == 0], at[side[s:e] == 1])
+            apart = label[s:e][left][:, None] != label[s:e][right]
+            if apart.any():
+                same = common(np.repeat(at, sizes), flat[ends[s] : ends[e]], left, right)
+                linked = apart & (same / (sizes[left][:, None] + sizes[right] - same) >= SIMILARITY)
+                found = forest(label[s:e][left], label[s:e][right], linked)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(held)
             key = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
             last = np.logical_or.reduce([k != k[-1] for k in key])
             whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
             if whole:
-                yield from compare(*_columns(table.slice(0, whole), names))
+                yield from compare(table.slice(0, whole).combine_chunks())
             held = table.slice(whole).to_batches()
         if held:
-            yield from compare(*_columns(pa.Table.from_batches(held), names))
-
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    rows = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").cast("int").alias("i"), F.greatest("mine", "other").cast("int").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "label", "size", "prints")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    by_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    totals = by_label.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    plan = totals.select("bucket", F.col("top.label").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("of_main"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("of_rest"))
+    rows = now.join(written(plan, "plan"), "bucket")
+    # blocks are numbered from those of the largest component on, which meet only the blocks of the rest
+    main, hashed = F.col("label") == F.col("main"), F.xxhash64("node")
+    mine = F.when(main, F.pmod(hashed, "of_main")).otherwise(F.col("of_main") + F.pmod(hashed, "of_rest")).cast("int")
+    met = F.sequence(F.when(main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)
+    rows = rows.select("bucket", "node", "label", mine.alias("mine"), met.alias("met")).join(store, "node").withColumn("other", F.explode("met"))
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "label", "shingles")
+    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _columns(table: pa.Table, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = b"".join(table.column("prints").to_pylist())
-    return [table.column(c).to_numpy() for c in names[:-1]], np.frombuffer(raw, np.uint8).reshape(-1, LONG)
-
-
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
     """(doc, c1, c2, class_id, first): one row per row of ``df``; ``first`` marks the document that stays.
 
@@ -318,10 +361,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weig
     again = written(_verify(fits(pairs.join(tested, ["a", "b"], "left_anti")), store), "tested")
     labels = merge_labels(labels, links(again))
 
-    done = tested.unionByName(again)
-    rest = _in_blocks(_undecided(members, labels).join(known.select("node", "size"), "node").join(store.select("node", "prints"), "node"))
-    last = written(_verify(rest.join(done, ["a", "b"], "left_anti"), store), "tested")
-    labels = merge_labels(labels, links(last))
+    now = written(_undecided(members, labels).join(known.select("node", "size"), "node").select("bucket", "node", "label", "size"), "undecided")
+    labels = merge_labels(labels, _in_blocks(now, store))
 
     least = known.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = labels.join(least, "label").select("node", "class_id", "label")

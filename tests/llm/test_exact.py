@@ -77,6 +77,51 @@ def test_long_chains_and_large_groups(spark):
     assert {got[k] for k in range(12)} == {0} and {got[100 + k] for k in range(60)} == {100}
 
 
+@pytest.mark.parametrize("block", [64])
+def test_crowd_around_the_similarity(spark, monkeypatch, block):
+    """Copies just above and just below the similarity: classes as by brute force, and blocks that return no pairs."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(250):
+        made = [f"w{i}" for i in range(300)]
+        for place in rng.choice(300, 3 + k % 2 * 2, replace=False):
+            made[place] = f"edit{k}at{place}"
+        texts.append(" ".join(made))
+    rows, seen, inner = list(enumerate(texts)), [], minhash._in_blocks
+
+    def counting(now, store):
+        seen.append((now.count(), inner(now, store).count()))
+        return inner(now, store)
+
+    monkeypatch.setattr(minhash, "_in_blocks", counting)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    got = {r["doc"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for (d, _), c in near_classes_brute(rows).items()}
+    assert seen[0][1] <= seen[0][0]
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_common_values_and_forest(monkeypatch, cells):
+    monkeypatch.setattr(minhash, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    sets = [set(rng.choice(60, rng.integers(0, 40), replace=False).tolist()) for _ in range(20)]
+    row, value = np.repeat(np.arange(20), [len(x) for x in sets]), np.array([v for x in sets for v in x], np.int64)
+    left, right = np.arange(8), np.arange(8, 20)
+    found = minhash.common(row, value, left, right)
+    assert found.tolist() == [[len(sets[a] & sets[b]) for b in right] for a in left]
+    label, linked = np.array([4, 4, 1, 9, 7, 3, 3, 3]), np.zeros((8, 8), bool)
+    linked[0, 2] = linked[1, 2] = linked[2, 3] = linked[4, 5] = linked[3, 0] = True
+    assert {frozenset(x) for x in minhash.forest(label, label, linked).tolist()} in ({frozenset(y) for y in z} for z in ([(1, 4), (1, 9), (3, 7)], [(1, 4), (4, 9), (3, 7)], [(1, 9), (4, 9), (3, 7)]))
+
+
+def test_counted_shingles(spark):
+    """With counts as weights, texts that repeat a passage unequally often are apart."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"{passage} {passage} {passage}"), (2, passage + " " + passage), (3, f"{passage} {passage} {passage} end")]
+    got = {r["doc"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weights="count").collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_weighted_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
