@@ -4,7 +4,8 @@ Every line is judged by itself: ``symbols`` (more than one mark of ``#*$%&|<>``
 for two words), ``navigation`` (at least two separators, and one for every four
 words), ``shouting`` (five words or more, over 60 % of letters in upper case),
 ``punctuation`` (ten words or more, none with a closing mark at its end) and
-``boilerplate`` (a fixed phrase). Lines that fail are removed; a document that
+``boilerplate`` (a fixed phrase of whole words for every ``PHRASE_WORDS`` words, so
+that prose may mention one). Lines that fail are removed; a document that
 loses more than ``max_loss`` of its words is rejected, and so is one that fails
 the base rules (under 50 words, or over half of them in repeated 3-word windows).
 
@@ -33,7 +34,9 @@ SYMBOLS = r"[#*$%&|<>]"
 SEPARATOR = r"^[|»›>·•]$"
 CLOSED = r"""[.!?:;,…"'”’»)\]。！？]$"""
 #: Phrases of page furniture, matched in any case.
-BOILERPLATE = r"(?i)(cookie policy|accept (all )?cookies|enable javascript|privacy policy|terms of (use|service)|all rights reserved|click here|sign up|log in|subscribe (now|to)|lorem ipsum|skip to content|share this)"
+BOILERPLATE = r"(?i)\b(cookie policy|accept (all )?cookies|enable javascript|privacy policy|terms of (use|service)|all rights reserved|click here|sign up|log in|subscribe (now|to)|lorem ipsum|skip to content|share this)\b"
+#: A line is furniture if it holds a phrase for every so many words.
+PHRASE_WORDS = 15
 LINE_RULES = ("symbols", "navigation", "shouting", "punctuation", "boilerplate")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_words long, n_lost_lines long"
 
@@ -60,7 +63,8 @@ def judge(text: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
     closed = _per(at, of_word(pc.match_substring_regex(vocab, CLOSED)), m) > 0
     some = size > 0
     failed = (2 * symbols > size) | ((separators >= 2) & (4 * separators >= size)) | ((size >= 5) & (10 * upper > 6 * letters)) | ((size >= 10) & ~closed)
-    failed = (failed | np.asarray(pc.match_substring_regex(lines, BOILERPLATE))) & some
+    phrases = np.asarray(pc.count_substring_regex(lines, BOILERPLATE), dtype=np.int64)
+    failed = (failed | ((phrases > 0) & (size <= PHRASE_WORDS * phrases))) & some
 
     coded = one_array(pc.dictionary_encode(lines))
     pairs = row[some] * np.int64(len(coded.dictionary)) + np.asarray(coded.indices, dtype=np.int64)[some]
@@ -114,14 +118,14 @@ WITH line AS (
 ), judged AS (
   SELECT doc_id, pos, line, words, len(words) AS n,
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
-    length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS upper,
+    length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS upper, len(regexp_extract_all(line, '{BOILERPLATE}')) AS phrases,
     length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS letters,
     len(list_filter(words, lambda w: regexp_matches(w, '{SEPARATOR}'))) AS separators,
     len(list_filter(words, lambda w: regexp_matches(w, '{CLOSED.replace("'", "''")}'))) AS closed
   FROM counted WHERE len(words) > 0
 ), ruled AS (
   SELECT *, 2 * symbols > n OR (separators >= 2 AND 4 * separators >= n) OR (n >= 5 AND 10 * upper > 6 * letters)
-    OR (n >= 10 AND closed = 0) OR regexp_matches(line, '{BOILERPLATE}') AS failed,
+    OR (n >= 10 AND closed = 0) OR (phrases > 0 AND n <= {PHRASE_WORDS} * phrases) AS failed,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again
   FROM judged
 ), by_line AS (

@@ -224,6 +224,15 @@ def test_quality_rules_by_line(spark):
     assert not any(got[k]["kept"] for k in (2, 3, 4, 5, 6)) and got[4]["clean_text"] == "" and got[6]["base_failed"]
 
 
+def test_phrases_of_furniture_in_prose(spark):
+    """A long line that mentions a phrase stays, and so does one that holds it inside words; a short line of furniture goes."""
+    rng = np.random.default_rng(2)
+    prose = " ".join(f"word{i}" for i in rng.permutation(80)) + "."
+    texts = {1: prose + " They chose to click here and to read the privacy policy.", 2: prose + "\nSee the catalog in the hall.", 3: prose + "\nAll rights reserved.", 4: prose + "\nThe design upgrades of 1999."}
+    got = {r["doc_id"]: r for r in quality_rules.clean(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[k]["kept"] for k in texts) and {k: got[k]["n_lost_words"] for k in texts} == {1: 0, 2: 0, 3: 3, 4: 0}
+
+
 @pytest.mark.parametrize(
     "run",
     [
