@@ -35,6 +35,8 @@ PREFIX = 96
 RERANK = 0.25
 #: At least so many vectors of a shard are reranked.
 LEAST = 1000
+#: Above the rounding of a matrix product; rows so near to the k-th are compared by their exact scores.
+SLACK = 1e-9
 SHARD = 25_000
 BLOCK = 512
 
@@ -98,6 +100,10 @@ class Shard:
         least = -np.partition(-agree, self.budget - 1)[self.budget - 1]
         found = np.flatnonzero((agree >= least) & (self.ids != query_id))
         score = (self.vectors[found] @ query) / (self.norms[found] * norm)
+        if not self.repeated and len(found) > k:
+            found = found[score >= -np.partition(-score, k - 1)[k - 1] - SLACK]
+        # a matrix product rounds by a row's place: what is compared is summed row by row
+        score = (self.vectors[found] * query).sum(1) / (self.norms[found] * norm)
         best = np.lexsort((self.ids[found], -score))
         if not self.repeated:
             return self.ids[found[best[:k]]], score[best[:k]]
