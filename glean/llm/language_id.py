@@ -10,7 +10,7 @@ the words, with ``SWITCH`` as the price of changing language, labels the spans;
 document's language is the one with most lettered words on the path, and its score
 that share.
 
-Null texts and texts without a letter are ``und`` with score 0. Words without
+Null texts and texts without a letter (marks are none) are ``und`` with score 0. Words without
 letters follow their neighbours. Ties go to the language first by code point.
 Texts are labelled whole, whatever their length. Without training documents every
 text is ``und``. An empty table gives an empty result.
@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glean.llm.shared import written
 from glean.llm.text import Words, mix, slices, split_words
 
 FEATURES = 1 << 16
@@ -87,13 +88,13 @@ def grams(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scripts(vocab: pa.Array) -> np.ndarray:
-    """The script of each word's first letter; -1 for words without letters."""
+    """The script of each word's first letter or mark; -1 for words without letters."""
     points, starts = _points(vocab)
     first = points[starts + 1] if len(starts) else np.zeros(0, np.int64)
     out = np.full(len(first), len(SCRIPTS) - 1)
     for a, b, name in SCRIPT_RANGES:
         out[(first >= a) & (first < b)] = SCRIPTS.index(name)
-    out[first == 0] = -1
+    out[~np.asarray(pc.match_substring_regex(vocab, r"\p{L}"), dtype=bool)] = -1
     return out
 
 
@@ -172,6 +173,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInArrow(run, "lang string, feature long, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counts = written(counts, "counts")  # read twice, counted once
     if (found := counts.agg(F.count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
         raise ValueError(f"{found} languages; at most {MOST_LANGUAGES} are kept on the driver")
     got = counts.toArrow()

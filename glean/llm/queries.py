@@ -49,8 +49,8 @@ def _remainder(key: str, n: int) -> F.Column:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(_remainder("doc_id", 4) != 2))
-    found = language_id.identify(docs, model, with_spans=False)
-    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def token_digests() -> list[F.Column]:
@@ -76,8 +76,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = _remainder("doc_id", 5) == 0
     model = toxicity.fit(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
-    found = toxicity.score(docs, model, with_sentences=False)
-    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

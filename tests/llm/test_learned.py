@@ -61,6 +61,8 @@ def test_languages_of_awkward_rows(spark):
     assert len(got) == len(messy_rows())
     by_id = {r["doc_id"]: r for r in got}
     assert all(by_id[k]["lang_pred"] == "und" and by_id[k]["score"] == 0 for k in (42, 43, 44))
+    marks = spark.createDataFrame([(1, "\u0301 \u0951"), (2, "12 \u0301\u0301"), (3, "\u0301a")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify(marks, model).orderBy("doc_id").collect()] == [True, True, False]
     none = language_id.train(empty(spark))
     assert {r["lang_pred"] for r in language_id.identify(messy(spark), none).collect()} == {"und"}
     assert language_id.identify(empty(spark), model).count() == 0
@@ -155,6 +157,16 @@ def test_index_counts_repeated_ids_once(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, k, k) for k in range(1, 6)]
 
 
+def test_index_orders_equal_vectors_by_id():
+    rng = np.random.default_rng(4)
+    for n in (8, 27, 39, 1000):
+        vector, ids = rng.normal(size=32).astype(np.float32).astype(np.float64), rng.permutation(n) + 200
+        shard = permutation_index.Shard(ids, np.tile(vector, (n, 1)), vector[None] / np.linalg.norm(vector))
+        for query in rng.normal(size=(10, 32)):
+            found, score = shard.search(150, query, 5)
+            assert found.tolist() == [200, 201, 202, 203, 204] and len(set(score.tolist())) == 1
+
+
 def test_index_reranks_beyond_the_copies_of_a_row(spark):
     rows = [(k, [1.0, 0.1 * k]) for k in range(8)]
     df = spark.createDataFrame(rows + [rows[1]] * 2 * permutation_index.LEAST, "vec_id long, embedding array<float>")
