@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors and queries that meet in one task of an exact search.
+SHARD, BLOCK = 1 << 16, 1 << 11
+
 
 def join_scores(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN1: inner equi-join of two score tables."""
@@ -73,3 +81,49 @@ def rank_then_round(df: DataFrame, score: str, by: list[str], *ties: str, digits
 def top_n(df: DataFrame, n: int) -> DataFrame:
     """WN3, WN4: rows of rank at most n."""
     return df.where(F.col("rank") <= n)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """Rows scaled to length 1; null and zero vectors are zero."""
+    lists = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else () for v in table.column("v")]
+    out = np.zeros((len(lists), max(map(len, lists), default=0)))
+    for i, v in enumerate(lists):
+        out[i, : len(v)] = v
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def cosine_nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """MA6, ML9, WN4: (query_id, vec_id, similarity, rank): the k vectors most alike to each query, exactly.
+
+    Both sides are (id, v), ids being unique. Vectors are dealt into shards and queries
+    into blocks; each shard meets each block in a task of its own, which returns k rows
+    a query, so neither side is ever whole in one place. The similarity is rounded
+    before it is ranked; ties go to the smaller id, and no vector answers its own query.
+    A null or zero vector has similarity 0; either side may be empty.
+    """
+    shards, blocks = max(1, math.ceil(vectors.count() / SHARD)), max(1, math.ceil(queries.count() / BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("id", "v", dealt(shards).alias("shard"), every(blocks).alias("block"))
+    right = queries.select("id", "v", dealt(blocks).alias("block"), every(shards).alias("shard"))
+
+    def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        order = pc.sort_indices(mine.column("id"))
+        mine = mine.take(order)
+        x, y = _matrix(mine), _matrix(asked)
+        ids, of = mine.column("id").to_numpy(), asked.column("id").to_numpy()
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for q in range(len(y)):
+            score = np.round(x @ y[q], digits) + 0.0
+            score[ids == of[q]] = -np.inf
+            best = np.argsort(-score, kind="stable")[:k]
+            best = best[np.isfinite(score[best])]
+            for part, values in zip(out, (np.full(len(best), of[q]), ids[best], score[best])):
+                part.append(values)
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(np.concatenate, out))))
+
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, similarity double")
+    return top_n(near.withColumn("rank", rank_first(F.col("similarity"), ["query_id"], "vec_id")), k)

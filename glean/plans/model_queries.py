@@ -12,20 +12,19 @@ from glean.plans.chunk_queries import STOP_WORDS
 from glean.plans.registry import query
 from glean.sources.tables import table
 
-PROBES = 8
+#: Queries of the vector search: ids divisible by this.
+EVERY = 20
 TOPICS, VOCABULARY = 6, 1000
 #: Sizes of the models.
 TOPIC_WORDS, PASSES = 3000, 50
 LATENT_WORDS, COMPONENTS = 5000, 100
 
 
-@query(f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < {PROBES}), s AS (SELECT query_id, vec_id, round(coalesce(list_dot_product(e::double[], embedding::double[]) / nullif(sqrt(list_dot_product(e::double[], e::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 0), 0), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::int AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5")
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {EVERY} = 0), s AS (SELECT query_id, vec_id, round(coalesce(list_dot_product(e::double[], embedding::double[]) / nullif(sqrt(list_dot_product(e::double[], e::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 0), 0), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::int AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """MA6, ML9, WN4: a fixed set of concept vectors against all vectors, top 5 of each."""
-    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    probes = vectors.where(F.col("vec_id") < PROBES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    scored = vectors.join(F.broadcast(probes), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
-    return scoring.top_n(scored.withColumn("rank", scoring.rank_first(F.col("similarity"), ["query_id"], "vec_id")), 5)
+    """MA6, ML9, WN4: every vector whose id is divisible by EVERY against all vectors, top 5 of each."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return scoring.cosine_nearest(vectors, vectors.where(F.col("id") % EVERY == 0), 5)
 
 
 @query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::bigint AS dominant, round(list_max(embedding)::double, 6) AS value FROM embeddings")

@@ -140,11 +140,11 @@ def ocr_clean_v2_audit(spark: SparkSession, d: str) -> DataFrame:
 _CLASS_SQL = r"CASE WHEN trim({0}) = '' THEN 'empty' WHEN len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: length(regexp_replace(w, '[^a-z0-9]', '', 'g')) >= 2)) > 0 THEN 'useful' ELSE 'noise' END"
 
 
-@query(f"WITH t AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, (doc_id % 9)::int)) AS s FROM documents) SELECT doc_id, {_CLASS_SQL.format('s')} AS text_class FROM t")
+@query(f"WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents) SELECT doc_id, {_CLASS_SQL.format('s')} AS text_class FROM t")
 def text_class(spark: SparkSession, d: str) -> DataFrame:
-    """TX16 on short starts of texts, where all three classes occur."""
-    short = F.lower(F.substring(X.text_or_empty(F.col("text")), F.lit(1), (F.col("doc_id") % 9).cast("int")))
-    return table(spark, d, "documents").select("doc_id", X.text_class(short).alias("text_class"))
+    """TX16 on whole texts."""
+    plain = F.lower(X.text_or_empty(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", X.text_class(plain).alias("text_class"))
 
 
 @query(f"WITH w AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS raw, len({TOKENS_SQL.format('text')}) AS clean FROM documents) SELECT doc_id, raw::int AS raw_words, clean::int AS clean_words, CASE WHEN raw > 0 AND clean = 0 THEN 'emptied' ELSE 'high_loss' END AS reason FROM w WHERE (raw > 0 AND clean = 0) OR (raw >= 10 AND round((1 - clean / greatest(raw, 1)) * 100, 2) >= 60)")

@@ -216,3 +216,31 @@ def test_greedy_dedup_of_a_whole_chunk_in_time_order(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = text_queries.greedy_dedup(spark, str(tmp_path)).orderBy("video_id", "chunk_id", "start_sec").collect()
     assert [(r["video_id"], r["chunk_id"], r["turn"]) for r in got] == [(0, 0, 0), (0, 0, 1), (0, 0, 4), (0, 1, 4), (1, 0, 0)]
+
+
+def test_text_classes(spark):
+    df = spark.createDataFrame([(1, ""), (2, "  "), (3, "- x !"), (4, "a b ok"), (5, "-" * 5000 + " at last")], "n int, t string")
+    assert column(df.orderBy("n").select(X.text_class(F.col("t")).alias("c")), "c") == ["empty", "empty", "noise", "useful", "useful"]
+
+
+def test_exact_vector_search_in_blocks(spark, monkeypatch):
+    """Ties, copies, zero, null and short vectors, however the rows are dealt."""
+    import numpy as np
+
+    drawn = np.random.default_rng(5).normal(size=(300, 4)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(drawn)] + [(300 + i, drawn[7].tolist()) for i in range(40)] + [(400, [0.0] * 4), (401, None), (402, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    x = np.zeros((len(rows), 4))
+    for i, (_, v) in enumerate(rows):
+        x[i, : len(v or [])] = v or []
+    size = np.sqrt((x * x).sum(1))
+    for shard, block in ((1 << 16, 1 << 11), (50, 7)):
+        monkeypatch.setattr(scoring, "SHARD", shard)
+        monkeypatch.setattr(scoring, "BLOCK", block)
+        got = scoring.cosine_nearest(df, df.where("id % 20 = 0"), 5).orderBy("query_id", "rank").collect()
+        want = []
+        for q in (i for i, (n, _) in enumerate(rows) if n % 20 == 0):
+            scores = [(-round(float(x[i] @ x[q] / (size[i] * size[q])) if size[i] * size[q] else 0.0, 6), rows[i][0]) for i in range(len(rows)) if i != q]
+            want += [(rows[q][0], n, -s + 0.0, r) for r, (s, n) in enumerate(sorted(scores)[:5], 1)]
+        assert [tuple(r) for r in got] == want
+    assert scoring.cosine_nearest(df.limit(0), df, 5).isEmpty() and scoring.cosine_nearest(df, df.limit(0), 5).isEmpty()
