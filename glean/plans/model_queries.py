@@ -43,12 +43,12 @@ def _terms() -> F.Column:
 
 
 @query(
-    f"WITH t AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT item_id) AS n FROM benchmark), w AS (SELECT item_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n) SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM w"
+    f"WITH t AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"
 )
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     """ML7."""
-    docs = table(spark, d, "benchmark").select("item_id", _terms().alias("terms"))
-    return models.tfidf(docs, "item_id", "terms").withColumn("weight", F.round("weight", 6))
+    docs = table(spark, d, "documents").select("doc_id", _terms().alias("terms"))
+    return models.tfidf(docs, "doc_id", "terms").withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents), c AS (SELECT term, count(*) AS count, count(DISTINCT doc_id) AS df FROM t GROUP BY 1) SELECT term, count, df FROM c, n WHERE df <= 0.95 * n ORDER BY count DESC, term LIMIT {VOCABULARY}")
