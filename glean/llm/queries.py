@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
+from glean.llm import bpe, fill_middle, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
 from glean.llm.shared import new_path, written
 from glean.sources.shipping import ship
 
@@ -93,6 +93,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha(F.col("output")).alias("output_sha256"), _sha(restored).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -104,9 +110,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_permutation_index": op9_permutation_index,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fill_middle": op11_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
 }
