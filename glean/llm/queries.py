@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, fill_middle, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
+from glean.llm import bpe, collocations, fill_middle, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
 from glean.llm.shared import new_path, written
 from glean.sources.shipping import ship
 
@@ -99,6 +99,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha(F.col("output")).alias("output_sha256"), _sha(restored).alias("restored_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang")))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -111,10 +115,12 @@ QUERIES = {
     "op9_permutation_index": op9_permutation_index,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_fill_middle": op11_fill_middle,
+    "op12_collocations": op12_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
