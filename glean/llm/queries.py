@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.llm import bpe, collocations, fill_middle, language_id, minhash, mixing, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
+from glean.llm import bpe, collocations, fill_middle, language_id, minhash, mixing, ngram_join, permutation_index, quality_classifier, quality_rules, substring_dedup, tokenfile, toxicity
 from glean.llm.shared import new_path, written
 from glean.sources.shipping import ship
 
@@ -103,6 +103,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top(collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang")))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -116,11 +120,14 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_fill_middle": op11_fill_middle,
     "op12_collocations": op12_collocations,
+    "op13_ngram_join": op13_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": ngram_join.NEAR_DUPLICATES_SQL,
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_ngram_join": ngram_join.ORACLE_SQL,
 }
