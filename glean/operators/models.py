@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glean.functions.numeric import clip01, safe_divide
 
@@ -49,11 +51,6 @@ def count_vectors(docs: DataFrame, terms: str, words: list[str], out: str = "fea
     return model.transform(docs)
 
 
-#: Terms of a latent space at most; its Gram matrix is held by each task.
-MOST_WORDS = 5000
-BLOCK = 256
-
-
 @dataclass
 class TopicModel:
     """ML2-ML6: topics with the affinity of each to each concept."""
@@ -116,78 +113,203 @@ def topic_scores(topics: Column, affinity: np.ndarray, clip: bool = True) -> Col
     return clip01(total) if clip else total
 
 
+#: Terms of one block of a sum, entries of sparse rows worked on at once, spare directions of the range finder, its passes.
+BLOCK, ENTRIES, SPARE, PASSES = 256, 20_000, 10, 7
+
+
+def fold_terms(docs: DataFrame, terms: str, fold: str, folds: int) -> DataFrame:
+    """(term, counts, dfs): each fold's occurrences of a term and documents with it, as arrays.
+
+    What a fit without fold k may see is the total minus element k, so every fit's
+    statistics come from one aggregation. Rows whose fold is null are in every fit; they
+    are the last element.
+    """
+    at = F.coalesce(F.col(fold), F.lit(folds)).alias("_fold")
+    once = docs.select(at, F.explode(F.array_distinct(terms)).alias("term"), F.lit(0).alias("count"), F.lit(1).alias("df"))
+    every = docs.select(at, F.explode(terms).alias("term"), F.lit(1).alias("count"), F.lit(0).alias("df"))
+    per_fold = lambda c: F.array(*[F.sum(F.when(F.col("_fold") == k, F.col(c)).otherwise(0)) for k in range(folds + 1)])
+    return every.unionByName(once).groupBy("term").agg(per_fold("count").alias("counts"), per_fold("df").alias("dfs"))
+
+
+def fold_vocabulary(found: DataFrame, sizes: list[int], k: int, size: int, max_df: float = 0.95) -> DataFrame:
+    """(term, count, df): ML1 without fold k, from ``fold_terms`` and the folds' numbers of documents."""
+    n = sum(sizes) - sizes[k]
+    left = lambda c: (F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x) - F.col(c)[k])
+    seen = found.select("term", left("counts").alias("count"), left("dfs").alias("df")).where((F.col("df") >= 1) & (F.col("df") <= max_df * n))
+    return seen.orderBy(F.col("count").desc(), "term").limit(size)
+
+
+def sparse_rows(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) of the known terms of each list, sorted by row and term."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    found = pc.index_in(lists.flatten(), value_set=words)
+    known = np.asarray(found.is_valid())
+    key = row[known] * max(len(words), 1) + np.asarray(found.drop_null(), np.int64)
+    key, count = np.unique(key, return_counts=True)
+    return key // max(len(words), 1), key % max(len(words), 1), count
+
+
+def _unit(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights with every row's length 1; rows of length 0 stay 0."""
+    length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=int(row[-1]) + 1 if len(row) else 0))
+    return np.divide(weight, length[row], out=np.zeros_like(weight), where=length[row] > 0)
+
+
+def _times(row: np.ndarray, at: np.ndarray, weight: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
+    """The n sparse rows times a dense basis."""
+    out = np.zeros((n, basis.shape[1]))
+    for low in range(0, len(row), ENTRIES):
+        r, a, w = row[low : low + ENTRIES], at[low : low + ENTRIES], weight[low : low + ENTRIES]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        out[r[first]] += np.add.reduceat(w[:, None] * basis[a], first)
+    return out
+
+
 @dataclass
 class LatentSpace:
     """ML8, ML9, ML11: a truncated SVD fitted on some documents, applied to any."""
 
     words: list[str]
-    idf: np.ndarray
+    idf: np.ndarray  # 0 for words that the fit does not know
     components: np.ndarray  # words x k
 
     @classmethod
-    def fit(cls, docs: DataFrame, terms: str, words: list[str], most: int = 100) -> LatentSpace:
-        """ML8: right singular vectors from the terms' Gram matrix, which every task sums over its rows.
+    def fit(cls, docs: DataFrame, terms: str, words: list[str], most: int = 100, seed: int = 42) -> LatentSpace:
+        """ML8 on all of ``docs``."""
+        n, shared = docs.count(), pa.array(words, pa.string())
 
-        Its size is the vocabulary's squared, at most ``MOST_WORDS`` ** 2 numbers.
-        """
-        if len(words) > MOST_WORDS:
-            raise ValueError(f"at most {MOST_WORDS} terms")
-        n = docs.count()
-        k = min(n - 1, len(words) - 1, most)
-        if k < 2:
-            raise ValueError("too few documents or terms for a latent space")
-        df, place = np.zeros(len(words)), {w: i for i, w in enumerate(words)}
-        counted = docs.select(F.explode(F.array_distinct(terms)).alias("term")).where(F.col("term").isin(words)).groupBy("term").count()
-        for r in counted.collect():  # the vocabulary
-            df[place[r["term"]]] = r["count"]
-        idf = np.log((1 + n) / (1 + df)) + 1
-
-        shared = docs.sparkSession.sparkContext.broadcast((place, idf))
-
-        def sums(batches):
-            place, idf = shared.value
-            total = np.zeros((len(idf), len(idf)))
-            for pdf in batches:
-                for found in pdf["x"]:
-                    at, v = _unit_terms(found, place, idf)
-                    total[at[:, None], at] += v[:, None] * v
-            for a in range(0, len(idf), BLOCK):
-                yield pd.DataFrame({"block": [a], "part": [total[a : a + BLOCK].tobytes()]})
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.frombuffer(pdf["part"].iloc[0]).copy()
-            for x in pdf["part"].iloc[1:]:
-                total += np.frombuffer(x)
-            return pd.DataFrame({"block": pdf["block"][:1], "part": [total.tobytes()]})
-
-        # one matrix for each core, not for each partition of the input
-        x = docs.select(F.col(terms).alias("x")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
-        parts = x.mapInPandas(sums, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
-        gram = np.concatenate([np.frombuffer(r["part"]) for r in sorted(parts, key=lambda r: r["block"])]).reshape(len(words), -1)
-        _, found = np.linalg.eigh(gram)
-        return cls(words, idf, found[:, ::-1][:, :k].copy())
+        def counted(batches):
+            for batch in batches:
+                at = sparse_rows(batch.column(0), shared)[1]
+                yield pa.RecordBatch.from_pydict({"term": at})
 
-    def transform(self, docs: DataFrame, terms: str, out: str = "latent") -> DataFrame:
-        """ML11: project any documents."""
-        place = {w: i for i, w in enumerate(self.words)}
-        shared = docs.sparkSession.sparkContext.broadcast((place, self.idf, self.components))
+        df = np.zeros(len(words))
+        for r in docs.select(terms).mapInArrow(counted, "term long").groupBy("term").count().collect():  # the vocabulary
+            df[r["term"]] = r["count"]
+        whole = docs.select(F.lit(None).cast("int").alias("fold"), F.col(terms).alias("terms"))
+        return cls._fit(whole, words, [np.log((1 + n) / (1 + df)) + 1], [n], most, seed)[0]
+
+    @classmethod
+    def fit_folds(cls, docs: DataFrame, terms: str, fold: str, words: list[list[str]], dfs: list[dict[str, int]], sizes: list[int], most: int = 100, seed: int = 42) -> list[LatentSpace]:
+        """ML11: one space for each fold, fitted on the other folds and on the rows whose fold is null; all fits share each pass.
 
-        def project(batches):
-            place, idf, components = shared.value
-            for pdf in batches:
-                weighed = (_unit_terms(found, place, idf) for found in pdf[terms])
-                pdf[out] = [v @ components[at] for at, v in weighed]
-                yield pdf
+        ``words[k]`` and ``dfs[k]``: the words without fold k and their document
+        frequencies there; ``sizes``: documents of each fold, then those without one.
+        """
+        every = sorted(set().union(*words))
+        place, idf, rows = {w: i for i, w in enumerate(every)}, [], []
+        for k, (known, df) in enumerate(zip(words, dfs)):
+            rows.append(sum(sizes) - sizes[k])
+            idf.append(np.zeros(len(every)))
+            idf[k][[place[w] for w in known]] = [np.log((1 + rows[k]) / (1 + df[w])) + 1 for w in known]
+        return cls._fit(docs.select(F.col(fold).cast("int").alias("fold"), F.col(terms).alias("terms")), every, idf, rows, most, seed)
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {out} array<double>"
-        return docs.mapInPandas(project, schema)
+    @classmethod
+    def _fit(cls, docs: DataFrame, words: list[str], idf: list[np.ndarray], rows: list[int], most: int, seed: int) -> list[LatentSpace]:
+        """Randomised range finder with power passes: right singular vectors of each fit's rows.
 
+        A pass multiplies the rows' cross products with a basis of k + ``SPARE`` directions;
+        a task holds that many numbers for each term and fit, and there is no square of the
+        vocabulary. Sums of blocks of terms stream through one task each.
+        """
+        made = np.random.default_rng(seed)
+        ranks = [min(n - 1, int((w > 0).sum()) - 1, most) for n, w in zip(rows, idf)]
+        if min(ranks) < 2:
+            raise ValueError("too few documents or terms for a latent space")
+        basis = []
+        for k, w in zip(ranks, idf):
+            start = made.standard_normal((len(words), min(k + SPARE, int((w > 0).sum())))) * (w > 0)[:, None]
+            basis.append(np.linalg.qr(start)[0])
+        spark = docs.sparkSession
+        parts = spark.sparkContext.defaultParallelism
+        vocabulary = pa.array(words, pa.string())
+        docs = docs.coalesce(parts)  # one matrix for each core, not for each partition of the input
+        for _ in range(PASSES):
+            shared = spark.sparkContext.broadcast((vocabulary, idf, basis))
+            blocks = docs.mapInArrow(_products(shared), "fit int, block int, part binary").repartition(parts, "fit", "block").sortWithinPartitions("fit", "block")
+            products = [np.zeros_like(q) for q in basis]
+            for r in blocks.mapInArrow(_summed, "fit int, block int, part binary").collect():  # terms x (k + SPARE) numbers for each fit
+                part = np.frombuffer(r["part"]).reshape(-1, basis[r["fit"]].shape[1])
+                products[r["fit"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
+            shared.destroy()
+            last, basis = basis, [np.linalg.qr(z)[0] for z in products]
+        out = []
+        for q, z, k, w in zip(last, products, ranks, idf):
+            small = q.T @ z  # the cross product within the basis
+            _, turn = np.linalg.eigh((small + small.T) / 2)
+            out.append(cls(words, w, q @ turn[:, ::-1][:, :k]))
+        return out
 
-def _unit_terms(found, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's known terms, each once, and their weights with length 1."""
-    at, n = np.unique(np.array([place[t] for t in found if t in place], np.int64), return_counts=True)
-    v = n * idf[at]
-    return at, v / np.linalg.norm(v) if len(v) else v
+    def transform(self, docs: DataFrame, terms: str, out: str = "latent") -> DataFrame:
+        """ML11: project any documents."""
+        return project(docs, terms, [self], None, out)
+
+
+def _products(shared):
+    """Each fit's cross product of the task's rows with its basis, in blocks of terms."""
+
+    def run(batches):
+        words, idf, basis = shared.value
+        totals = [np.zeros_like(q) for q in basis]
+        for batch in batches:
+            row, at, count = sparse_rows(batch.column("terms"), words)
+            fold = pc.fill_null(batch.column("fold"), -1).to_numpy(zero_copy_only=False)
+            for k, (w, q, total) in enumerate(zip(idf, basis, totals)):
+                on = (fold[row] != k) & (w[at] > 0)
+                r, a = row[on], at[on]
+                v = _unit(r, count[on] * w[a])
+                told = _times(r, a, v, q, batch.num_rows)
+                order = np.argsort(a, kind="stable")
+                r, a, v = r[order], a[order], v[order]
+                for low in range(0, len(a), ENTRIES):
+                    x = a[low : low + ENTRIES]
+                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                    total[x[first]] += np.add.reduceat(v[low : low + ENTRIES, None] * told[r[low : low + ENTRIES]], first)
+        for k, total in enumerate(totals):
+            for b in range(0, len(total), BLOCK):
+                part = total[b : b + BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"fit": pa.array([k], pa.int32()), "block": pa.array([b // BLOCK], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    return run
+
+
+def _summed(batches):
+    """Sums of equal (fit, block), which follow each other."""
+    now, total = None, None
+    told = lambda: pa.RecordBatch.from_pydict({"fit": pa.array([now[0]], pa.int32()), "block": pa.array([now[1]], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+    for batch in batches:
+        for fit, block, part in zip(batch.column("fit").to_pylist(), batch.column("block").to_pylist(), batch.column("part")):
+            if now != (fit, block):
+                if now:
+                    yield told()
+                now, total = (fit, block), np.frombuffer(part.as_buffer()).copy()
+            else:
+                total += np.frombuffer(part.as_buffer())
+    if now:
+        yield told()
+
+
+def project(docs: DataFrame, terms: str, spaces: list[LatentSpace], fold: str | None, out: str = "latent") -> DataFrame:
+    """ML11: every row in the space of its fold (in the only one without ``fold``)."""
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(spaces[0].words, pa.string()), [(s.idf, s.components) for s in spaces]))
+
+    def run(batches):
+        words, fits = shared.value
+        for batch in batches:
+            row, at, count = sparse_rows(batch.column(terms), words)
+            of = batch.column(fold).to_numpy(zero_copy_only=False) if fold else np.zeros(batch.num_rows, int)
+            found = [None] * batch.num_rows
+            for k, (idf, components) in enumerate(fits):
+                on = (of[row] == k) & (idf[at] > 0)
+                r, a = row[on], at[on]
+                x = _times(r, a, _unit(r, count[on] * idf[a]), components, batch.num_rows)
+                for i in np.flatnonzero(of == k):
+                    found[i] = x[i]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def row_normalised(value: Column, by: list[str]) -> Column:

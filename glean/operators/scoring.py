@@ -19,6 +19,17 @@ def join_scores(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(right, keys)
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], spread: str, parts: int | None = None) -> DataFrame:
+    """JN5: every row of ``left`` with every row of ``right`` of equal ``keys``, of which there are few.
+
+    ``left`` is dealt out by ``spread`` and ``right`` (a catalog) copied to each part, so
+    the join has as many keys as there are tasks, whatever the number of keys.
+    """
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]).drop("_part")
+
+
 def join_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN2, JN12, SE5: one row of counts: keys, duplicates, one-sided keys.
 

@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glean.operators.evaluate import confusion, with_rates
+from glean.operators.ranking import ranked_within
 
 
-def stratified_folds(df: DataFrame, stratum: str, order: Column, folds: int) -> DataFrame:
-    """EV20, EV21: 1-based ``fold``: rows of a stratum dealt in the order of ``order``."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1) % folds + 1)
+def stratified_folds(df: DataFrame, stratum: str | list[str], order: Column, folds: int) -> DataFrame:
+    """EV20, EV21: 1-based ``fold``: rows of a stratum dealt in the order of ``order``. No task sorts a stratum."""
+    strata = [stratum] if isinstance(stratum, str) else stratum
+    ranked = ranked_within(df, strata, order, "fold")
+    return ranked.withColumn("fold", (F.col("fold") - 1) % folds + 1)
 
 
 def shuffled_folds(strata: list[str], folds: int, seed: int = 42) -> list[int]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.functions import text as X
 from glean.functions.numeric import argmax_place, cosine
-from glean.operators import models, scoring
+from glean.operators import audit, models, scoring, tuning
 from glean.plans.chunk_queries import STOP_WORDS
 from glean.plans.registry import query
+from glean.sources.scratch import stored
 from glean.sources.tables import table
 
 #: Queries of the vector search: ids divisible by this.
@@ -18,6 +22,8 @@ TOPICS, VOCABULARY = 6, 1000
 #: Sizes of the models.
 TOPIC_WORDS, PASSES = 3000, 50
 LATENT_WORDS, COMPONENTS = 5000, 100
+#: Folds of whole conversations.
+FOLDS = 5
 
 
 @query(f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {EVERY} = 0), s AS (SELECT query_id, vec_id, round(coalesce(list_dot_product(e::double[], embedding::double[]) / nullif(sqrt(list_dot_product(e::double[], e::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 0), 0), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::int AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5")
@@ -59,10 +65,11 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns and concepts with their terms; the term lists are written once, as every fit reads them many times."""
     terms = X.ngrams(X.content_tokens(X.clean_text(F.col("text")), STOP_WORDS))
-    docs = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), (F.col("conv_id") % 4).alias("subject"), terms.alias("terms"))
+    docs = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "conv_id", (F.col("conv_id") % 4).alias("subject"), terms.alias("terms"))
     concepts = table(spark, d, "benchmark").select(F.col("item_id").alias("concept"), (F.col("item_id") % 4).alias("subject"), terms.alias("terms"))
-    return docs, concepts
+    return stored(docs, "terms"), stored(concepts, "terms")
 
 
 def _topics(docs: DataFrame) -> models.TopicModel:
@@ -100,7 +107,8 @@ def lda_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """ML5, ML6, MA7: topic shares times topic-concept affinity for concepts of the subject."""
     docs, concepts = _corpus(spark, d)
     model = _topics(docs)
-    joined = model.transform(docs, "terms").join(model.affinity_table(concepts, ["concept", "subject"], "terms"), "subject")
+    left = model.transform(docs, "terms").select("doc_id", "subject", "topics")
+    joined = scoring.meet(left, model.affinity_table(concepts, ["concept", "subject"], "terms"), ["subject"], "doc_id")
     return joined.select("doc_id", "concept", _topic_score())
 
 
@@ -110,19 +118,82 @@ def lsa_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     docs, concepts = _corpus(spark, d)
     space = _latent(docs, concepts)
     left = space.transform(docs, "terms", "x").select("doc_id", "subject", "x")
-    return left.join(space.transform(concepts, "terms", "y").select("concept", "subject", "y"), "subject").select("doc_id", "concept", _latent_score())
+    joined = scoring.meet(left, space.transform(concepts, "terms", "y").select("concept", "subject", "y"), ["subject"], "doc_id")
+    return joined.select("doc_id", "concept", _latent_score())
+
+
+def video_folds(docs: DataFrame) -> DataFrame:
+    """(conv_id, fold): whole conversations dealt into FOLDS folds, evenly within each subject; folds from 0."""
+    videos = docs.select("conv_id", "subject").distinct()
+    order = F.struct(F.md5(F.concat(F.lit("video-"), F.col("conv_id").cast("string")).cast("binary")), "conv_id")
+    return tuning.stratified_folds(videos, "subject", order, FOLDS).select("conv_id", (F.col("fold") - 1).cast("int").alias("fold"))
+
+
+_VIDEO_FOLDS_SQL = f"vf AS (SELECT conv_id, ((row_number() OVER (PARTITION BY conv_id % 4 ORDER BY md5('video-' || conv_id), conv_id) - 1) % {FOLDS})::int AS fold FROM (SELECT DISTINCT conv_id FROM conversations))"
+
+
+def _in_folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, concepts = _corpus(spark, d)
+    return stored(docs.join(video_folds(docs), "conv_id"), "folds"), concepts
+
+
+def _fold_sizes(docs: DataFrame) -> list[int]:
+    """Documents of each fold, and those of none (concepts)."""
+    found = {r["fold"]: r["count"] for r in docs.groupBy("fold").count().collect()}  # a row for each fold
+    return [found.get(k, 0) for k in [*range(FOLDS), None]]
+
+
+def fold_spaces(docs: DataFrame, concepts: DataFrame) -> list[models.LatentSpace]:
+    """A latent space for each fold: fitted on the other folds' turns and on the concepts."""
+    both = stored(docs.select("fold", "terms").unionByName(concepts.select(F.lit(None).cast("int").alias("fold"), "terms")), "both")
+    sizes, found = _fold_sizes(both), stored(models.fold_terms(both, "terms", "fold", FOLDS), "found")
+    picked = [models.fold_vocabulary(found, sizes, k, LATENT_WORDS, max_df=1.0).collect() for k in range(FOLDS)]  # LATENT_WORDS rows each
+    return models.LatentSpace.fit_folds(both, "terms", "fold", [[r["term"] for r in p] for p in picked], [{r["term"]: r["df"] for r in p} for p in picked], sizes, COMPONENTS)
+
+
+def fold_topics(docs: DataFrame) -> list[models.TopicModel]:
+    """A topic model for each fold, fitted on the other folds' turns in their words; the fits run side by side."""
+    sizes, found = _fold_sizes(docs), stored(models.fold_terms(docs, "terms", "fold", FOLDS), "found")
+
+    def fit(k: int) -> models.TopicModel:
+        words = [r["term"] for r in models.fold_vocabulary(found, sizes, k, TOPIC_WORDS).collect()]  # TOPIC_WORDS rows
+        return models.TopicModel.fit(docs.where(F.col("fold") != k), "terms", words, TOPICS, iterations=PASSES)
+
+    with ThreadPoolExecutor(FOLDS) as side_by_side:
+        return list(side_by_side.map(fit, range(FOLDS)))
 
 
 @query()
 def cv_oof_scores(spark: SparkSession, d: str) -> DataFrame:
-    """ML10, ML11, AU4, S15: each of two folds is scored by topics fitted on the other one, and by a space fitted on the other one and the concepts."""
-    docs, concepts = _corpus(spark, d)
-    folds = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
-    parts = []
-    for k in (0, 1):
-        train, held_out = folds.where(F.col("fold") != k), folds.where(F.col("fold") == k).drop("fold")
-        model, space = _topics(train), _latent(train, concepts)
-        left = model.transform(space.transform(held_out, "terms", "x"), "terms").select("doc_id", "subject", "x", "topics")
-        right = space.transform(concepts, "terms", "y").select("concept", "subject", "y").join(model.affinity_table(concepts, ["concept", "subject"], "terms"), ["concept", "subject"])
-        parts.append(left.join(right, "subject").select("doc_id", "concept", _latent_score(), _topic_score(), F.lit(k).alias("fold")))
-    return parts[0].unionByName(parts[1])
+    """ML10, ML11, AU4, S15: every turn scored by topics of the other folds, and by a space of the other folds and the concepts.
+
+    Folds hold out whole conversations, so no turn is scored by a model that has seen its conversation.
+    """
+    docs, concepts = _in_folds(spark, d)
+    spaces, topics = fold_spaces(docs, concepts), fold_topics(docs)
+    of_fold = F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))
+    left = models.project(docs, "terms", spaces, "fold", "x")
+    right = models.project(concepts.withColumn("fold", of_fold), "terms", spaces, "fold", "y").select("concept", "subject", "fold", "y")
+    shares, affinity = [], []
+    for k, model in enumerate(topics):
+        shares.append(model.transform(left.where(F.col("fold") == k), "terms").select("doc_id", "conv_id", "subject", "fold", "x", "topics"))
+        affinity.append(model.affinity_table(concepts, ["concept", "subject"], "terms").withColumn("fold", F.lit(k)))
+    right = right.join(reduce(DataFrame.unionByName, affinity), ["concept", "subject", "fold"])
+    joined = scoring.meet(reduce(DataFrame.unionByName, shares), right, ["subject", "fold"], "doc_id")
+    return joined.select("doc_id", "conv_id", "concept", "fold", _latent_score(), _topic_score())
+
+
+@query(f"WITH {_VIDEO_FOLDS_SQL}, ro AS (SELECT conv_id, fold FROM conversations JOIN vf USING (conv_id)) SELECT f.fold, count(DISTINCT r.conv_id) FILTER (r.fold <> f.fold) AS train, count(DISTINCT r.conv_id) FILTER (r.fold = f.fold) AS test, (SELECT count(*) FROM (SELECT conv_id FROM ro GROUP BY 1 HAVING count(DISTINCT fold) > 1)) AS overlap FROM (SELECT DISTINCT fold FROM vf) f, ro r GROUP BY f.fold")
+def oof_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """AU4: conversations that train and test each fold of ``cv_oof_scores``, and how many do both, from its rows."""
+    docs = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 4).alias("subject"))
+    return audit.leakage(docs.join(video_folds(docs), "conv_id"), "conv_id", "fold")
+
+
+@query(f"WITH {_VIDEO_FOLDS_SQL}, dc AS (SELECT conv_id, turn, fold, {_TERMS_SQL} AS ts FROM conversations JOIN vf USING (conv_id)), n AS (SELECT f.fold, count(*) AS n FROM (SELECT DISTINCT fold FROM vf) f, dc WHERE dc.fold <> f.fold GROUP BY 1), c AS (SELECT f.fold, term, count(*) AS count, count(DISTINCT (conv_id, turn)) AS df FROM (SELECT conv_id, turn, fold, unnest(ts) AS term FROM dc) t, (SELECT DISTINCT fold FROM vf) f WHERE t.fold <> f.fold GROUP BY ALL), r AS (SELECT c.*, row_number() OVER (PARTITION BY c.fold ORDER BY count DESC, term) AS k FROM c JOIN n USING (fold) WHERE df <= 0.95 * n) SELECT fold, term, count, df FROM r WHERE k <= {VOCABULARY}")
+def fold_vocabularies(spark: SparkSession, d: str) -> DataFrame:
+    """ML1, ML10, AU4: each fold's vocabulary without the fold itself, by subtraction from one aggregation."""
+    docs = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 4).alias("subject"), _terms().alias("terms"))
+    docs = stored(docs.join(video_folds(docs), "conv_id"), "terms")
+    sizes, found = _fold_sizes(docs), stored(models.fold_terms(docs, "terms", "fold", FOLDS), "found")
+    return reduce(DataFrame.unionByName, [models.fold_vocabulary(found, sizes, k, VOCABULARY).select(F.lit(k).alias("fold"), "term", "count", "df") for k in range(FOLDS)])
