@@ -19,17 +19,36 @@ def join_scores(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(right, keys)
 
 
-def meet(left: DataFrame, right: DataFrame, keys: list[str], spread: str, parts: int | None = None) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, keys: list[str], spread: str | list[str], parts: int | None = None) -> DataFrame:
     """JN5: every row of ``left`` with every row of ``right`` of equal ``keys``, of which there are few.
 
     ``left`` is dealt out by ``spread`` and ``right`` (a catalog) copied to each part, so
     the join has as many keys as there are tasks, whatever the number of keys.
     """
     parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.lit(parts)).cast("int"))
     return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]).drop("_part")
 
 
+#: Parts over which the occurrences of one token are dealt.
+TOKEN_PARTS = 16
+
+
+def set_overlap(left: DataFrame, keys: list[str], a: str, right: DataFrame, names: list[str], b: str, subject: str) -> DataFrame:
+    """JN5, MA4: (keys..., names..., common, n_a, n_b) of every pair of equal ``subject``, zeros included.
+
+    Common elements are counted through an inverted index: elements meet on (subject,
+    element), occurrences of one element dealt over ``TOKEN_PARTS``, and only pairs that
+    share one are counted. The other pairs follow from the set sizes. ``left`` is large,
+    ``right`` a catalog; keys and names are unique and not null, sets hold no element twice.
+    """
+    post = left.select(*keys, subject, F.explode(a).alias("_element"))
+    met = meet(post, right.select(*names, subject, F.explode(b).alias("_element")), [subject, "_element"], keys, TOKEN_PARTS)
+    counted = met.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("common"))
+    pairs = meet(left.select(*keys, subject, F.size(a).alias("n_a")), right.select(*names, subject, F.size(b).alias("n_b")), [subject], keys)
+    return pairs.join(counted, [*keys, *names], "left").select(*keys, *names, F.coalesce("common", F.lit(0)).alias("common"), "n_a", "n_b")
+
+
 def join_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN2, JN12, SE5: one row of counts: keys, duplicates, one-sided keys.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glean.functions.numeric import close_to, top_mean
+from glean.functions.numeric import close_to
 from glean.operators import audit, evidence, scoring
 from glean.operators.models import row_normalised
 from glean.plans.config import PILOT
@@ -134,8 +134,8 @@ def rank_then_round(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_suppkey AS video_id, round((list_sort(list(l_extendedprice), 'DESC'))[1], 6) AS top1, round(list_avg((list_sort(list(l_extendedprice), 'DESC'))[1:2]), 6) AS top2_mean, round(list_avg((list_sort(list(l_extendedprice), 'DESC'))[1:3]), 6) AS top3_mean FROM lineitem GROUP BY 1")
 def topk_mean(spark: SparkSession, d: str) -> DataFrame:
     """AG2, S9."""
-    all_ = F.collect_list("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("video_id")).agg(*[F.round(top_mean(all_, k), 6).alias(n) for k, n in ((1, "top1"), (2, "top2_mean"), (3, "top3_mean"))])
+    found = evidence.top_sums(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("video_id"), "l_extendedprice"), ["video_id"], "l_extendedprice")
+    return found.select("video_id", *[F.round(F.col(f"sum{k}") / F.col(f"n{k}"), 6).alias(n) for k, n in ((1, "top1"), (2, "top2_mean"), (3, "top3_mean"))])
 
 
 @query(f"WITH {SCORES_SQL} SELECT concept, max(lda_score) AS best_score, min_by(chunk_id, (-lda_score, chunk_id)) AS best_chunk FROM sc GROUP BY concept".replace("min_by(chunk_id, (-lda_score, chunk_id))", "arg_min(chunk_id, {'s': -lda_score, 'c': chunk_id})"))
