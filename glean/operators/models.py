@@ -113,8 +113,8 @@ def topic_scores(topics: Column, affinity: np.ndarray, clip: bool = True) -> Col
     return clip01(total) if clip else total
 
 
-#: Terms of one block of a sum, entries of sparse rows worked on at once, spare directions of the range finder, its passes.
-BLOCK, ENTRIES, SPARE, PASSES = 256, 20_000, 10, 7
+#: Terms of one block of a sum, entries of sparse rows worked on at once, spare directions of a block, its passes.
+BLOCK, ENTRIES, SPARE, PASSES = 256, 20_000, 10, 5
 
 
 def fold_terms(docs: DataFrame, terms: str, fold: str, folds: int) -> DataFrame:
@@ -207,35 +207,42 @@ class LatentSpace:
 
     @classmethod
     def _fit(cls, docs: DataFrame, words: list[str], idf: list[np.ndarray], rows: list[int], most: int, seed: int) -> list[LatentSpace]:
-        """Randomised range finder with power passes: right singular vectors of each fit's rows.
+        """Block Lanczos from a random start: right singular vectors of each fit's rows.
 
-        A pass multiplies the rows' cross products with a basis of k + ``SPARE`` directions;
+        A pass multiplies the rows' cross products with a block of k + ``SPARE`` directions;
         a task holds that many numbers for each term and fit, and there is no square of the
-        vocabulary. Sums of blocks of terms stream through one task each.
+        vocabulary. What a pass adds to the directions so far is the next block; the vectors
+        are the best within all of them, and exact once nothing is added. Sums of blocks of
+        terms stream through one task each.
         """
         made = np.random.default_rng(seed)
         ranks = [min(n - 1, int((w > 0).sum()) - 1, most) for n, w in zip(rows, idf)]
         if min(ranks) < 2:
             raise ValueError("too few documents or terms for a latent space")
-        basis = []
+        blocks = []
         for k, w in zip(ranks, idf):
             start = made.standard_normal((len(words), min(k + SPARE, int((w > 0).sum())))) * (w > 0)[:, None]
-            basis.append(np.linalg.qr(start)[0])
+            blocks.append(np.linalg.qr(start)[0])
         spark = docs.sparkSession
         parts = spark.sparkContext.defaultParallelism
         vocabulary = pa.array(words, pa.string())
         docs = docs.coalesce(parts)  # one matrix for each core, not for each partition of the input
+        bases, images = [np.zeros((len(words), 0)) for _ in idf], [np.zeros((len(words), 0)) for _ in idf]
         for _ in range(PASSES):
-            shared = spark.sparkContext.broadcast((vocabulary, idf, basis))
-            blocks = docs.mapInArrow(_products(shared), "fit int, block int, part binary").repartition(parts, "fit", "block").sortWithinPartitions("fit", "block")
-            products = [np.zeros_like(q) for q in basis]
-            for r in blocks.mapInArrow(_summed, "fit int, block int, part binary").collect():  # terms x (k + SPARE) numbers for each fit
-                part = np.frombuffer(r["part"]).reshape(-1, basis[r["fit"]].shape[1])
+            shared = spark.sparkContext.broadcast((vocabulary, idf, blocks))
+            dealt = docs.mapInArrow(_products(shared), "fit int, block int, part binary").repartition(parts, "fit", "block").sortWithinPartitions("fit", "block")
+            products = [np.zeros_like(q) for q in blocks]
+            for r in dealt.mapInArrow(_summed, "fit int, block int, part binary").collect():  # terms x (k + SPARE) numbers for each fit
+                part = np.frombuffer(r["part"]).reshape(-1, blocks[r["fit"]].shape[1])
                 products[r["fit"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
             shared.destroy()
-            last, basis = basis, [np.linalg.qr(z)[0] for z in products]
+            for k, z in enumerate(products):
+                bases[k], images[k] = np.hstack([bases[k], blocks[k]]), np.hstack([images[k], z])
+                blocks[k] = _beyond(bases[k], z)
+            if not any(q.shape[1] for q in blocks):
+                break
         out = []
-        for q, z, k, w in zip(last, products, ranks, idf):
+        for q, z, k, w in zip(bases, images, ranks, idf):
             small = q.T @ z  # the cross product within the basis
             _, turn = np.linalg.eigh((small + small.T) / 2)
             out.append(cls(words, w, q @ turn[:, ::-1][:, :k]))
@@ -246,6 +253,16 @@ class LatentSpace:
         return project(docs, terms, [self], None, out)
 
 
+def _beyond(basis: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what ``image`` holds outside ``basis``; nothing if that is noise."""
+    rest = image
+    for _ in range(2):
+        rest = rest - basis @ (basis.T @ rest)
+    left, size, _ = np.linalg.svd(rest, full_matrices=False)
+    left = left[:, size > 1e-9 * max(1.0, np.linalg.norm(image, axis=0).max(initial=0.0))]
+    return left - basis @ (basis.T @ left)
+
+
 def _products(shared):
     """Each fit's cross product of the task's rows with its basis, in blocks of terms."""
 
@@ -256,6 +273,8 @@ def _products(shared):
             row, at, count = sparse_rows(batch.column("terms"), words)
             fold = pc.fill_null(batch.column("fold"), -1).to_numpy(zero_copy_only=False)
             for k, (w, q, total) in enumerate(zip(idf, basis, totals)):
+                if not q.shape[1]:
+                    continue
                 on = (fold[row] != k) & (w[at] > 0)
                 r, a = row[on], at[on]
                 v = _unit(r, count[on] * w[a])

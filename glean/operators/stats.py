@@ -9,37 +9,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glean.functions.numeric import safe_divide
+from glean.operators.ranking import exact_quantiles
 
 
-def draw(seed: str, *parts: Column) -> Column:
-    """A whole number below 2 ** 32 from the md5 of its parts, the same on other engines."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+#: 32-bit numbers that one hash gives.
+DRAWS_PER_HASH = 4
 
 
-def bootstrap_means(values: DataFrame, stratum: str, place: str, value: str, draws: int, seed: str) -> DataFrame:
-    """EV13, EV14: (draw, mean) of stratified resamples.
+def bootstrap_sums(values: DataFrame, stratum: str, place: str, metrics: list[str], draws: int, seed: str) -> DataFrame:
+    """EV13, EV14: (draw, n, one sum for each metric) of stratified resamples that all metrics share.
 
-    Every stratum is drawn from as often as it has rows. ``place`` numbers the rows
-    of a stratum from 0. Draws, not rows, grow the plan: each is a row of indices
-    that joins back by (stratum, place), and sums are formed before the draws meet.
+    Every stratum is drawn from as often as it has rows; ``place`` numbers the rows of a
+    stratum from 0. A hash of (seed, stratum, draw, block of slots) gives four places. Draws
+    are rows of places, not resampled tables, and however many metrics and methods are
+    compared, a place is drawn and met once.
     """
-    sizes = values.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    picks = picks.withColumn(place, (draw(seed, F.col(stratum), F.col("draw"), F.col("slot")) % F.col("n")).cast("int"))
-    return picks.join(values, [stratum, place]).groupBy("draw").agg(F.avg(value).alias("mean"))
+    sizes = values.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAWS_PER_HASH))))
+    digest = F.md5(F.concat_ws("-", F.lit(seed), F.col(stratum).cast("string"), F.col("draw").cast("string"), F.col("_block").cast("string")).cast("binary"))
+    each = F.array(*[F.when(F.col("_block") * DRAWS_PER_HASH + k < F.col("_n"), F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("long") % F.col("_n")).cast("int") for k in range(DRAWS_PER_HASH)])
+    picks = blocks.withColumn("_digest", digest).select(stratum, "draw", F.explode(F.filter(each, lambda x: x.isNotNull())).alias(place))
+    return picks.join(values, [stratum, place]).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in metrics])
 
 
-def interval(means: DataFrame, level: float = 0.95) -> DataFrame:
-    """MA13: the mean and the interval's ends, by linear interpolation."""
+def interval(means: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """MA13: the mean and the interval's ends, by linear interpolation; a row for each draw, whose number is a parameter."""
     tail = (1 - level) / 2
-    ends = [F.round(F.percentile("mean", F.lit(q)), 6).alias(n) for q, n in ((tail, "ci_low"), (1 - tail, "ci_high"))]
-    return means.agg(F.round(F.avg("mean"), 6).alias("mean"), *ends, F.count(F.lit(1)).alias("draws"))
+    ends = [F.round(F.percentile(value, F.lit(q)), 6).alias(n) for q, n in ((tail, "ci_low"), (1 - tail, "ci_high"))]
+    return means.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), *ends, F.count(F.lit(1)).alias("draws"))
 
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """AG10, AG15: mean, sample deviation, exact median, extremes."""
-    named = {"mean": F.avg(value), "std": F.stddev_samp(value), "median": F.percentile(value, F.lit(0.5)), "min": F.min(value), "max": F.max(value)}
-    return df.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(c, 6).alias(k) for k, c in named.items()])
+    """AG10, AG15: mean, sample deviation, exact median, extremes. No buffer holds a group's values."""
+    named = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(c, 6).alias(k) for k, c in named.items()])
+    middle = exact_quantiles(df, by, value, {"median": 0.5}).withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return plain.join(middle, same, "left").withColumn("median", F.round("median", 6)).drop(*[f"_k_{c}" for c in by])
 
 
 def win_tie_loss(delta: Column, tolerance: float = 1e-12) -> list[Column]:

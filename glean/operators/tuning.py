@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glean.operators.evaluate import confusion, with_rates
+from glean.operators.evidence import AGGREGATIONS, top_sums
 from glean.operators.ranking import ranked_within
 
 
@@ -35,23 +36,102 @@ def shuffled_folds(strata: list[str], folds: int, seed: int = 42) -> list[int]:
     return (out + 1).tolist()
 
 
-def grid(spark, alphas: list[float], thresholds: list[float]) -> DataFrame:
-    """Every (alpha, threshold) of the search; its size is the search's, not the data's."""
-    return spark.createDataFrame([(float(a), float(t)) for a in alphas for t in thresholds], "alpha double, threshold double")
+#: Video scores are whole numbers of this fraction, so that means, halves and thresholds are exact.
+UNIT = 10_000
+#: The order in which aggregations win ties.
+TIE_ORDER = ("top2_mean", "max", "mean", "top3_mean")
+#: Rates are summed as whole numbers of this fraction, so that sums and differences of sums are exact.
+PICO = 10**12
+#: Rates of a setting that are averaged over videos.
+RATES = ("precision", "recall", "f1")
 
 
-def grid_search(scores: DataFrame, item: str, by: list[str], a: str, b: str, truth: str, settings: DataFrame) -> DataFrame:
-    """EV22, EV23: macro and micro rates of every setting in one aggregation.
+def half_up(total: Column, n: Column) -> Column:
+    """``total / n`` rounded half up, of whole numbers."""
+    return F.floor((2 * total + n) / (2 * n)).cast("long")
 
-    The settings (a small table of fixed size) meet every row; counts per item are
-    formed right there by the partial aggregation, so what is shuffled is one row an
-    item and setting.
+
+def video_scores(scores: DataFrame, by: list[str], video: str, concept: str, alphas: list[float], a: str = "lda_norm", b: str = "lsa_norm") -> DataFrame:
+    """EV22: (by..., video, concept, alpha, aggregation, score) in units: every fusion weight and aggregation of a long table of chunk scores.
+
+    Chunk scores are rounded to four places before they are aggregated, and so are video
+    scores. Sums, counts and maxima are formed before the shuffle; of the largest scores
+    at most three a group and task are shuffled.
+    """
+    keys = [*by, video, concept, "alpha"]
+    fused = scores.withColumn("alpha", F.explode(F.array(*[F.lit(float(x)) for x in alphas])))
+    value = F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 9)
+    fused = fused.select(*keys, F.round(value * UNIT).cast("long").alias("score"))
+    plain = fused.groupBy(*keys).agg(F.max("score").alias("max"), F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
+    tops = top_sums(fused, keys, "score", (2, 3))
+    wide = plain.join(tops, keys).select(*keys, "max", half_up(F.col("sum"), F.col("n")).alias("mean"), half_up(F.col("sum2"), F.col("n2")).alias("top2_mean"), half_up(F.col("sum3"), F.col("n3")).alias("top3_mean"))
+    return wide.unpivot(keys, ["max", "mean", "top2_mean", "top3_mean"], "aggregation", "score")
+
+
+def threshold_counts(scored: DataFrame, by: list[str], truth: str, thresholds: list[float]) -> DataFrame:
+    """EV22: (by..., threshold, tp, fp, fn, tn) of every threshold, from one histogram for each group.
+
+    A score falls into the step of the thresholds it reaches; counts at a threshold are
+    the sums of the steps from it on. So the number of thresholds multiplies neither the
+    rows read nor the rows shuffled.
     """
-    spread = scores.join(F.broadcast(settings))
-    predicted = (F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 9) >= F.col("threshold")).cast("int")
-    per_item = with_rates(spread.withColumn("y_pred", predicted).groupBy(*by, "alpha", "threshold", item).agg(*confusion(truth)), 12)
-    pooled = per_item.groupBy(*by, "alpha", "threshold").agg(F.round(F.avg("f1"), 6).alias("macro_f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    return with_rates(pooled).withColumnRenamed("f1", "micro_f1").select(*by, "alpha", "threshold", "macro_f1", "micro_f1")
+    cuts = [round(t * UNIT) for t in sorted(thresholds)]
+    step = sum((F.when(F.col("score") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    hit = F.col(truth) == 1
+    hist = [F.array(*[F.count_if(kind & (F.col("_step") == k)) for k in range(len(cuts) + 1)]).alias(n) for n, kind in (("pos", hit), ("neg", ~hit))]
+    found = scored.withColumn("_step", step).groupBy(*by).agg(*hist)
+    total = lambda c, low: F.aggregate(F.slice(c, low, len(cuts) + 1), F.lit(0).cast("long"), lambda s, x: s + x)
+    found = found.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(len(cuts)))))
+    level = F.element_at(F.array(*[F.lit(float(t)) for t in sorted(thresholds)]), F.col("_t"))
+    tp, fp = total("pos", F.col("_t") + 1), total("neg", F.col("_t") + 1)
+    return found.select(*by, level.alias("threshold"), tp.alias("tp"), fp.alias("fp"), (total("pos", F.lit(1)) - tp).alias("fn"), (total("neg", F.lit(1)) - fp).alias("tn"))
+
+
+def fold_sums(per_video: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """Sums of the videos' rates and counts for each setting and fold."""
+    rated = with_rates(per_video, 12)
+    return rated.groupBy(*by, fold).agg(*[F.sum(F.round(F.col(c) * PICO).cast("long")).alias(f"sum_{c}") for c in RATES], *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.count(F.lit(1)).alias("videos"))
+
+
+def _metrics(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Macro (mean over videos) and micro (pooled) rates from sums."""
+    micro = PICO // 1_000_000
+    macro = {f"macro_{c}": F.expr(f"(2 * sum_{c} + videos * {micro}) div (2 * videos * {micro})") / 1_000_000 for c in RATES}  # half up
+    pooled = with_rates(sums.withColumns(macro)).withColumnsRenamed({c: f"micro_{c}" for c in RATES})
+    return pooled.select(*by, "videos", *macro, *[f"micro_{c}" for c in RATES], "tp", "fp", "fn", "tn")
+
+
+def nested_search(sums: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """EV21, EV22: for each held-out fold and setting, the metrics over the videos of the other folds.
+
+    The training side of a fold is the total minus the fold, so the folds share every sum.
+    ``sums``: ``fold_sums``. The videos' scores should come from inner folds: models that
+    have seen neither the video nor, for a held-out fold, anything of it.
+    """
+    w = Window.partitionBy(*by)
+    names = [*(f"sum_{c}" for c in RATES), "tp", "fp", "fn", "tn", "videos"]
+    return _metrics(sums.withColumns({c: F.sum(c).over(w) - F.col(c) for c in names}), [fold, *by])
+
+
+def full_search(sums: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """EV23, EV24: the metrics of each setting over all folds, with the sample deviation of the folds' macro F1."""
+    names = [*(f"sum_{c}" for c in RATES), "tp", "fp", "fn", "tn", "videos"]
+    spread = F.round(F.stddev_samp(F.col("sum_f1") / F.col("videos") / PICO), 6).alias("fold_std")
+    total = sums.groupBy(*by).agg(spread, *[F.sum(c).alias(c) for c in names])
+    return _metrics(total, by).join(total.select(*by, "fold_std"), by)
+
+
+def tie_place(aggregation: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in TIE_ORDER]), aggregation)
+
+
+def select_nested(found: DataFrame, fold: str, alpha: float, aggregation: str, threshold: float) -> DataFrame:
+    """EV22, WN11: the setting of each held-out fold: by macro F1, micro F1, then nearness to the given baseline, then a fixed order."""
+    order = [
+        F.col("macro_f1").desc(), F.col("micro_f1").desc(), (F.col("aggregation") != aggregation).cast("int"),
+        F.round(F.abs(F.col("alpha") - alpha), 4), F.round(F.abs(F.col("threshold") - threshold), 4), tie_place(F.col("aggregation")), "alpha", "threshold",
+    ]
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(fold).orderBy(*order))).where("place = 1").drop("place")
 
 
 def fold_stability(pairs: DataFrame, fold: str, item: str, by: list[str]) -> DataFrame:
@@ -62,29 +142,34 @@ def fold_stability(pairs: DataFrame, fold: str, item: str, by: list[str]) -> Dat
 
 
 def best_settings(found: DataFrame, by: list[str]) -> DataFrame:
-    """WN11, ST4: the first setting by falling macro F1, falling micro F1, rising alpha and threshold."""
-    order = [F.col("macro_f1").desc(), F.col("micro_f1").desc(), F.col("alpha"), F.col("threshold")]
+    """WN11, ST4, EV23: the first setting by falling macro F1, falling micro F1, rising deviation over the folds, then the order of the search."""
+    size = [F.col("chunk_seconds")] if "chunk_seconds" in found.columns else []
+    place = F.array_position(F.array(*[F.lit(x) for x in AGGREGATIONS]), F.col("aggregation"))
+    order = [F.col("macro_f1").desc(), F.col("micro_f1").desc(), F.col("fold_std"), *size, F.col("alpha"), place, F.col("threshold")]
     return found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("place = 1").drop("place")
 
 
 def local_sensitivity(found: DataFrame) -> DataFrame:
-    """EV26, WN12: the best setting's neighbours, one parameter a step up or down."""
-    best = best_settings(found, [])
-    sides = []
-    for name, other in (("alpha", "threshold"), ("threshold", "alpha")):
-        w = Window.partitionBy(other).orderBy(name)
-        near = found.withColumn("next", F.lead(name).over(w)).withColumn("previous", F.lag(name).over(w))
-        chosen = best.select(F.col(name).alias("from_value"), F.col(other).alias("_o"), F.col("macro_f1").alias("_best"))
-        met = near.join(F.broadcast(chosen), (F.col(other) == F.col("_o")) & ((F.col("next") == F.col("from_value")) | (F.col("previous") == F.col("from_value"))))
-        sides.append(met.select(F.lit(name).alias("parameter"), "from_value", F.col(name).alias("to_value"), "macro_f1", F.round(F.col("macro_f1") - F.col("_best"), 6).alias("delta")))
-    return sides[0].unionByName(sides[1])
+    """EV26, WN12: the best setting's neighbours: one parameter changed to the next value up or down, or to another aggregation."""
+    best = best_settings(found, []).select(*[F.col(c).alias(f"_{c}") for c in ("alpha", "aggregation", "threshold", "macro_f1")])
+    steps = {c: [r[0] for r in found.select(c).distinct().orderBy(c).collect()] for c in ("alpha", "threshold")}  # the values searched
+    place = lambda c, values: F.array_position(F.array(*[F.lit(v) for v in values]), c)
+    near = found.join(F.broadcast(best))
+    same = {c: F.col(c) == F.col(f"_{c}") for c in ("alpha", "aggregation", "threshold")}
+    moved = {c: F.abs(place(F.col(c), v) - place(F.col(f"_{c}"), v)) == 1 for c, v in steps.items()} | {"aggregation": ~same["aggregation"]}
+    out = []
+    for name in same:
+        others = [same[c] for c in same if c != name]
+        met = near.where(moved[name] & others[0] & others[1])
+        out.append(met.select(F.lit(name).alias("parameter"), F.col(f"_{name}").cast("string").alias("from_value"), F.col(name).cast("string").alias("to_value"), "macro_f1", F.round(F.col("macro_f1") - F.col("_macro_f1"), 6).alias("delta")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def boundary_flags(found: DataFrame) -> DataFrame:
     """EV27: whether the best setting lies at an end of the searched range."""
     ends = found.agg(*[f(c).alias(f"{n}_{c}") for c in ("alpha", "threshold") for n, f in (("lo", F.min), ("hi", F.max))])
     flags = [((F.col(c) == F.col(f"lo_{c}")) | (F.col(c) == F.col(f"hi_{c}"))).alias(f"{c}_at_end") for c in ("alpha", "threshold")]
-    return best_settings(found, []).join(F.broadcast(ends)).select("alpha", "threshold", *flags)
+    return best_settings(found, []).join(F.broadcast(ends)).select("alpha", "aggregation", "threshold", *flags)
 
 
 def plateau(found: DataFrame, margins: tuple[float, ...] = (0.005, 0.01, 0.02)) -> DataFrame:

@@ -49,15 +49,6 @@ def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("video_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_segments"), F.min("start_sec").alias("first_start"), F.max("end_sec").alias("last_end"))
 
 
-@query(f"WITH {SEGMENTS_SQL}, g AS (SELECT c, video_id, unnest(range(0, (floor(max(end_sec) / c) + 1)::bigint)) AS k FROM seg, (VALUES (30), (60), (90), (120)) v(c) GROUP BY c, video_id) SELECT c AS chunk_seconds, count(DISTINCT (g.video_id, k)) AS num_chunks, count(*) AS memberships FROM g JOIN seg s ON s.video_id = g.video_id AND s.start_sec < (k + 1) * c AND s.end_sec >= k * c GROUP BY c")
-def chunk_size_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """EV25: the chunk size is a grouping column, so all sizes are one plan."""
-    sizes = F.explode(F.array(*[F.lit(c) for c in (30, 60, 90, 120)]))
-    found = temporal.overlap_members(segments(spark, d).withColumn("chunk_seconds", sizes), F.col("chunk_seconds"))
-    per_chunk = found.groupBy("chunk_seconds", "video_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_chunk.groupBy("chunk_seconds").agg(F.count(F.lit(1)).alias("num_chunks"), F.sum("n").alias("memberships"))
-
-
 _TEXT_SQL = _CHUNK_SQL + ", chunk AS (SELECT video_id, chunk_id, count(*) AS n_segments, string_agg(text, ' ' ORDER BY start_sec, text) AS raw_text FROM member GROUP BY ALL)"
 
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.operators import audit, dataset, evaluate, stats, tuning
+from glean.operators.ranking import ranked_within
 from glean.plans.registry import query
 from glean.sources.tables import table
 
 A_CUT, B_CUT = 0.4, 0.5
-ALPHAS = [0.0, 0.25, 0.5, 0.75, 1.0]
-THRESHOLDS = [0.2, 0.4, 0.6, 0.8]
-DRAWS = 200
-SEED = "boot-42"
 
 #: Two score columns and a label for each labelled document; ``stratum`` plays the subject, ``item`` the video.
 PAIRS_SQL = f"""pr AS (SELECT d.doc_id, lang AS stratum, source AS item, quality AS y_true, round(least(n_chars, 4000) / 4000.0, 6)::double AS a, ((d.doc_id * 37) % 101 / 101.0)::double AS b,
@@ -166,71 +163,18 @@ def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.leakage(folds(spark, d), "doc_id", "fold")
 
 
-_GRID_SQL = (
-    f"gs AS (SELECT alpha, threshold FROM (VALUES {', '.join(f'({a}::double)' for a in ALPHAS)}) x(alpha), (VALUES {', '.join(f'({t}::double)' for t in THRESHOLDS)}) y(threshold)), "
-    "gp AS (SELECT alpha, threshold, item, y_true, (round(alpha * a + (1 - alpha) * b, 9) >= threshold)::int AS y FROM pr, gs), "
-    f"gi AS (SELECT alpha, threshold, item, {_COUNTS.format('y')} FROM gp GROUP BY ALL), gf AS (SELECT *, round({_F1}, 12) AS f FROM gi), "
-    "gt AS (SELECT alpha, threshold, round(avg(f), 6) AS macro_f1, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM gf GROUP BY ALL), "
-    f"gr AS (SELECT alpha, threshold, macro_f1, round({_F1}, 6) AS micro_f1 FROM gt), gb AS (SELECT * FROM gr ORDER BY macro_f1 DESC, micro_f1 DESC, alpha, threshold LIMIT 1)"
-)
-
-
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return tuning.grid_search(pairs(spark, d), "item", [], "a", "b", "y_true", tuning.grid(spark, ALPHAS, THRESHOLDS))
-
-
-@query(f"WITH {PAIRS_SQL}, {_GRID_SQL} SELECT * FROM gr")
-def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """EV22, EV23, EV25: all settings in one aggregation."""
-    return _grid(spark, d)
-
-
 @query(f"WITH {PAIRS_SQL}, ci AS (SELECT doc_id % 5 AS fold, item, {_COUNTS.format('y_a')} FROM pr GROUP BY ALL), f AS (SELECT fold, avg(round({_F1}, 12)) AS f FROM ci GROUP BY 1) SELECT round(avg(f), 6) AS mean_macro_f1, round(stddev_samp(f), 6) AS fold_std, count(*) AS folds FROM f")
 def fold_stability(spark: SparkSession, d: str) -> DataFrame:
     """EV24."""
     return tuning.fold_stability(pairs(spark, d).withColumns({"y_pred": F.col("y_a"), "fold": F.col("doc_id") % 5}), "fold", "item", [])
 
 
-@query(f"WITH {PAIRS_SQL}, {_GRID_SQL} SELECT * FROM gb")
-def best_config(spark: SparkSession, d: str) -> DataFrame:
-    """WN11, ST4, EV24."""
-    return tuning.best_settings(_grid(spark, d), [])
-
-
-@query(
-    f"WITH {PAIRS_SQL}, {_GRID_SQL}, ai AS (SELECT list_position({ALPHAS}, alpha) AS k, * FROM gr), ti AS (SELECT list_position({THRESHOLDS}, threshold) AS k, * FROM gr) "
-    f"SELECT 'alpha' AS parameter, b.alpha AS from_value, x.alpha AS to_value, x.macro_f1, round(x.macro_f1 - b.macro_f1, 6) AS delta FROM ai x, gb b WHERE x.threshold = b.threshold AND abs(x.k - list_position({ALPHAS}, b.alpha)) = 1 "
-    f"UNION ALL SELECT 'threshold', b.threshold, x.threshold, x.macro_f1, round(x.macro_f1 - b.macro_f1, 6) FROM ti x, gb b WHERE x.alpha = b.alpha AND abs(x.k - list_position({THRESHOLDS}, b.threshold)) = 1"
-)
-def local_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """EV26, WN12."""
-    return tuning.local_sensitivity(_grid(spark, d))
-
-
-@query(f"WITH {PAIRS_SQL}, {_GRID_SQL} SELECT alpha, threshold, alpha IN ({ALPHAS[0]}, {ALPHAS[-1]}) AS alpha_at_end, threshold IN ({THRESHOLDS[0]}, {THRESHOLDS[-1]}) AS threshold_at_end FROM gb")
-def boundary_flags(spark: SparkSession, d: str) -> DataFrame:
-    """EV27."""
-    return tuning.boundary_flags(_grid(spark, d))
-
-
-@query(f"WITH {PAIRS_SQL}, {_GRID_SQL}, m AS (SELECT max(macro_f1) AS best FROM gr) SELECT count(*) AS settings, count(*) FILTER (round(best - macro_f1, 9) <= 0.005) AS within_0_005, count(*) FILTER (round(best - macro_f1, 9) <= 0.01) AS within_0_01, count(*) FILTER (round(best - macro_f1, 9) <= 0.02) AS within_0_02 FROM gr, m")
-def plateau(spark: SparkSession, d: str) -> DataFrame:
-    """AG22."""
-    return tuning.plateau(_grid(spark, d))
-
-
 _STRATA_SQL = "st AS (SELECT c_mktsegment AS stratum, c_acctbal AS value, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1)::int AS place FROM customer)"
 
 
 def strata(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("stratum"), F.col("c_acctbal").alias("value"), (F.row_number().over(w) - 1).alias("place"))
-
-
-@query(f"WITH {_STRATA_SQL}, n AS (SELECT stratum, count(*) AS n FROM st GROUP BY 1), pk AS (SELECT stratum, draw, (('0x' || substr(md5('{SEED}-' || stratum || '-' || draw || '-' || slot), 1, 8))::bigint % n)::int AS place FROM (SELECT stratum, n, draw, unnest(range(n)) AS slot FROM n, range({DRAWS}) t(draw))), m AS (SELECT draw, avg(value) AS mean FROM pk JOIN st USING (stratum, place) GROUP BY draw) SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high, count(*) AS draws FROM m")
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """EV13, EV14, MA13: stratified resampling with md5 draws."""
-    return stats.interval(stats.bootstrap_means(strata(spark, d), "stratum", "place", "value", DRAWS, SEED))
+    found = table(spark, d, "customer").select(F.col("c_mktsegment").alias("stratum"), F.col("c_acctbal").alias("value"), "c_custkey")
+    return ranked_within(found, ["stratum"], F.col("c_custkey")).select("stratum", "value", (F.col("place") - 1).alias("place"))
 
 
 #: Paired differences: one customer's balance and the next one's of the segment.
