@@ -4,19 +4,20 @@ Texts are lower-cased (A-Z) and taken as sets of ``SHINGLE``-word shingles. Two
 link if 100 * overlap >= ``PERCENT`` * union; a component is what links connect. The
 join is exact (shingles are 64-bit hashes).
 
-1. Order. A sketch tells roughly how common a shingle is, in a few steps. Sets are
-   ordered from rare to common shingles. Two linked sets of n and m shingles share one
-   among the first n - ceil(0.8 n) + 1 of the one and the first m - ceil(0.8 m) + 1 of the
-   other: their prefixes. Any order would do for right results; rare shingles first keep
-   passages that many texts share out of the prefixes.
-2. Groups. A second sketch drops prefix shingles that occur once. Equal sets become one
-   node; the nodes that share a prefix shingle are a group, so linked nodes meet.
+1. Order. A sketch tells roughly how often a shingle occurs: once, or in a few steps.
+   Sets are ordered from rare to common shingles. Two linked sets of n and m shingles
+   share one among the first n - ceil(0.8 n) + 1 of the one and the first
+   m - ceil(0.8 m) + 1 of the other: their prefixes. Any order would do for right results;
+   rare shingles first leave nothing to share in the prefix of a text that is a fifth its
+   own, and keep passages that many texts share out of the prefixes.
+2. Groups. Equal sets become one node; the nodes that share a prefix shingle are a group,
+   so linked nodes meet. Shingles that occur once need no group.
 3. Links. ``linking.connect``: leaders first, then T-occurrence searches (DivideSkip) in
    blocks of nodes: short inverted lists are merged by a heap, long ones probed by binary
    search, and sets that reach the required overlap are linked. Links come back as spanning
    forests; no pairs of copies are formed.
 
-Both sketches and filters have bounded sizes; their false positives cost time only.
+The filters made of the sketch have bounded sizes; false positives cost time only.
 
 Texts of one to four words have one shingle, all their words. Null texts and texts
 without words have none and are linked to nothing. Equal sets link, also of texts that
@@ -44,10 +45,10 @@ from glean.llm.text import WORD_PATTERN, as_lists, mix, slices, split_words
 
 PERCENT = 80
 SLICE = 4 << 20
-#: Shingles of one cell in the sketch of the order, on average.
-CROWDED = 64
-#: A shingle is a step more common for each of these multiples of ``CROWDED`` that its cell holds.
-STEPS = (4, 32, 256)
+#: Occurrences from which a shingle is shared, and a step more common each.
+STEPS = (2, 32, 1024, 32768)
+#: Bytes of text for each shingle, roughly; sets the number of the sketch's cells.
+BYTES = 6
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -61,46 +62,34 @@ def _cells(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Order:
-    """Rare shingles before common ones, by filters of common cells."""
+    """Rare shingles before common ones, by filters of the cells that reach each of STEPS."""
 
     def __init__(self, bits: int, steps: list[Filter]):
         self.bits, self.steps = bits, steps
 
     def prefixes(self, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, shingle) of each set's prefix."""
+        """(row, shingle) of each set's prefix, without shingles that occur once."""
         step = np.zeros(len(value), np.uint8)
-        for f in self.steps:
-            step += f.has(_cells(value, self.bits))
+        for k, f in enumerate(self.steps):
+            on = np.flatnonzero(step == k)
+            step[on] += f.has(_cells(value[on], self.bits))
         order = np.lexsort((value, step, row))
         row, value = row[order], value[order]
         size = np.bincount(row, minlength=n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        first = place < (size + (-PERCENT * size // 100) + 1)[row]
+        first = (place < (size + (-PERCENT * size // 100) + 1)[row]) & (step[order] > 0)
         return row[first], value[first]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n): how many shingles the texts have at most."""
-    for batch in slices(batches, "text", SLICE):
-        yield pa.RecordBatch.from_arrays([pa.array([int(split_words(batch.column("text")).counts.sum())])], ["n"])
-
-
-def _common(bits: int):
+def _sketched(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from blocks_of((_cells(_sets(b)[1], bits) for b in slices(batches, "text", SLICE)), bits)
 
     return run
 
 
-def _shared(order, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from blocks_of((_cells(order.value.prefixes(*_sets(b), b.num_rows)[1], bits) for b in slices(batches, "text", SLICE)), bits)
-
-    return run
-
-
-def _signed(order, shared, bits: int):
-    """(doc, c1, c2, s1, s2, size, keys): two hashes of the text and of its set, and the prefix shingles that may be shared."""
+def _signed(order):
+    """(doc, c1, c2, s1, s2, size, keys): two hashes of the text and of its set, and the prefix shingles that others may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -114,8 +103,7 @@ def _signed(order, shared, bits: int):
                 s[some] = np.add.reduceat(mix(value ^ odd), (np.cumsum(size) - size)[some]) if len(some) else s[some]
                 sums.append(pa.array(s.view(np.int64)))
             at, key = order.value.prefixes(row, value, n)
-            good = shared.value.has(_cells(key, bits))
-            keys = as_lists(key[good].view(np.int64), np.bincount(at[good], minlength=n), pa.int64())
+            keys = as_lists(key.view(np.int64), np.bincount(at, minlength=n), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "c1", "c2")), *sums, pa.array(size), keys], ["doc", "c1", "c2", "s1", "s2", "size", "keys"])
 
     return run
@@ -152,16 +140,11 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", block: in
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("c1"), F.xxhash64(F.lit("glean"), F.col(text)).alias("c2"), F.col(text).alias("text"))
     texts = docs.select("text").where("text IS NOT NULL")
-    total = texts.mapInArrow(_counted, "n long").agg(F.sum("n")).first()[0] or 0
-    blocks = "block long, cells binary, times binary"
-
-    bits = max(12, (total // CROWDED).bit_length())
-    crowds = written(summed(texts.mapInArrow(_common(bits), blocks), STEPS[0] * CROWDED), "crowds")
-    order = spark.sparkContext.broadcast(Order(bits, [Filter.of(crowds.where(F.col("n") >= s * CROWDED), "cell") for s in STEPS]))
-    bits = max(16, total.bit_length() + 2)
-    twice = written(summed(texts.mapInArrow(_shared(order, bits), blocks), 2), "twice")
-    shared = spark.sparkContext.broadcast(Filter.of(twice, "cell"))
-    signed = written(docs.mapInArrow(_signed(order, shared, bits), "doc long, c1 long, c2 long, s1 long, s2 long, size long, keys array<long>"), "signed")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(16, (size // BYTES).bit_length() + 2)
+    cells = written(summed(texts.mapInArrow(_sketched(bits), "block long, cells binary, times binary"), STEPS[0]), "cells")
+    order = spark.sparkContext.broadcast(Order(bits, [Filter.of(cells.where(F.col("n") >= n), "cell") for n in STEPS]))
+    signed = written(docs.mapInArrow(_signed(order), "doc long, c1 long, c2 long, s1 long, s2 long, size long, keys array<long>"), "signed")
 
     sets = signed.where("size > 0").groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "c1", "c2")).alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the ids are fixed once written
