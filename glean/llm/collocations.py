@@ -51,6 +51,8 @@ SCALE = 2_000_000
 TOP = 2000
 #: Characters of the phrases in the automata of one round.
 ROUND = 3_000_000
+#: Parts into which a language's candidates are dealt to be told apart.
+BUCKETS = 1 << 10
 SLICE = 4 << 20
 STOP = "."
 _PIECES = r"[.,;:!?\n\x0b\x0c\r]+"
@@ -135,12 +137,15 @@ def _runs(frequent, hot, bits: int):
 
 
 def _candidates(hot, bits: int):
-    """(lang, phrase): phrases of the runs that pass the filter; each about once a task."""
+    """(lang, bucket, phrases): phrases of the runs that pass the filter, each about once a task, packed by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(0, np.uint64)
         for batch in slices(batches, "text", SLICE):
             t = Tokens(batch.column("text"), batch.column("lang"))
+            names = one_array(pc.dictionary_encode(batch.column("lang")))
+            of = np.asarray(names.indices, dtype=np.int64)
+            keys, phrases = [], []
             for k in range(2, LONGEST + 1):
                 at, value = t.phrases(k)
                 value, first = np.unique(value, return_index=True)
@@ -149,12 +154,32 @@ def _candidates(hot, bits: int):
                 told = np.sort(np.r_[told, value[new]]) if len(told) < 1 << 21 else value[new]
                 start = at[first[new]]
                 words = [t.words.vocab.take(pa.array(t.words.codes[start + j])) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*words, " ")
-                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(t.row[start])), phrase.cast(pa.string())], ["lang", "phrase"])
+                phrases.append(pc.binary_join_element_wise(*words, " ").cast(pa.string()))
+                keys.append(of[t.row[start]] * BUCKETS + (value[new] % np.uint64(BUCKETS)).astype(np.int64))
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            found, n = np.unique(key, return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.concat_arrays(phrases).take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found // BUCKETS)), pa.array((found % BUCKETS).astype(np.int32)), lists], ["lang", "bucket", "phrases"])
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase): the distinct phrases of equal (lang, bucket), which follow each other."""
+    now, held = None, set()
+    told = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.string()), pa.array(sorted(held), pa.string())], ["lang", "phrase"])
+    for batch in batches:
+        for lang, bucket, phrases in zip(batch.column("lang").to_pylist(), batch.column("bucket").to_pylist(), batch.column("phrases")):
+            if now != (lang, bucket):
+                if now:
+                    yield told()
+                now, held = (lang, bucket), set()
+            held.update(phrases.values.to_pylist())
+    if now:
+        yield told()
+
+
 #: The automata of the present round, in each Python worker.
 _BUILT: dict[str, dict] = {}
 
@@ -208,8 +233,9 @@ def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     parts = docs.mapInArrow(_sketched(frequent, bits), "block long, cells binary, times binary")
     hot = spark.sparkContext.broadcast(Filter.of(written(summed(parts, least), "hot"), "cell"))
     runs = written(docs.mapInArrow(_runs(frequent, hot, bits), "lang string, text string"), "runs")
-    candidates = runs.mapInArrow(_candidates(hot, bits), "lang string, phrase string").distinct()
-    candidates = written(candidates.withColumn("id", F.monotonically_increasing_id()), "candidates")  # the ids are fixed once written
+    packed = runs.mapInArrow(_candidates(hot, bits), "lang string, bucket int, phrases array<string>")
+    packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    candidates = written(packed.mapInArrow(_distinct, "lang string, phrase string").withColumn("id", F.monotonically_increasing_id()), "candidates")  # the ids are fixed once written
     size = candidates.agg(F.sum(F.char_length("phrase"))).first()[0] or 0
     rounds = -(-size // ROUND)
     sums = []

@@ -28,16 +28,24 @@ SPACE, PROBES, MOST_BITS = 32, 3, 1 << 28
 
 def blocks_of(values: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """(block, cells, times) of the hashes in ``values``."""
-    cells, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for x in values:
-        new, n = np.unique(x & np.uint64((1 << bits) - 1), return_counts=True)
-        cells, at = np.unique(np.r_[cells, new], return_inverse=True)
-        times = np.bincount(at, np.r_[times, n], len(cells)).astype(np.int64)
-        if len(cells) >= HELD:
-            yield _packed(cells, times)
-            cells, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(cells):
-        yield _packed(cells, times)
+        held.append(np.unique(x & np.uint64((1 << bits) - 1), return_counts=True))
+        size += len(held[-1][0])
+        if size >= HELD:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size >= HELD // 2:
+                yield _packed(*held[0])
+                held, size = [], 0
+    if size:
+        yield _packed(*_merged(held))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    cells, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return cells, np.bincount(at, np.concatenate([n for _, n in held]), len(cells)).astype(np.int64)
 
 
 def _packed(cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -91,6 +99,16 @@ class Filter:
             found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
         return found
 
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose ``column`` (a 64-bit hash) passes."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.has(batch.column(column).to_numpy().view(np.uint64))))
+
+        return df.mapInArrow(run, df.schema)
+
     @classmethod
     def of(cls, df: DataFrame, column: str) -> Filter:
         """A filter of a column of hashes; beyond ``MOST_BITS`` only false positives grow."""
