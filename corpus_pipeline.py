@@ -15,42 +15,50 @@ from glean.llm.shared import written
 from glean.sources.shipping import ship
 
 
-def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars of the present text."""
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*[f"`{c}`" for c in docs.columns])
+def _slim(docs: DataFrame, *needed: str) -> DataFrame:
+    """What an operator reads, and the whole row in ``row_``: no other column can clash with one that it adds."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(docs.columns)]).alias("row_"))
+
+
+def _as_documents(df: DataFrame, docs: DataFrame, text: F.Column | None = None) -> DataFrame:
+    """The columns of ``docs`` from ``row_``, with a new ``text`` where one is given, and n_chars of it."""
+    made = {c: F.col(f"row_.f{k}") for k, c in enumerate(docs.columns)}
+    if text is not None:
+        made["text"] = text
+        if "n_chars" in made:
+            made["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[x.alias(c) for c, x in made.items()])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rejected documents; the others lose the lines that fail."""
     ship(spark)
-    judged = quality_rules.clean(docs).where("kept")
-    return _as_documents(judged.withColumn("text", F.col("clean_text")), docs)
+    judged = quality_rules.clean(_slim(docs, "doc_id", "text")).where("kept")
+    return _as_documents(judged, docs, F.col("clean_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least doc_id stays."""
+    """Of each group of near-duplicates the document of least doc_id stays, once."""
     ship(spark)
-    stays = minhash.near_duplicates(docs).where("first").select("doc", "c1", "c2").distinct()
-    keyed = docs.withColumns({"_c1": F.xxhash64("text"), "_c2": F.xxhash64(F.lit("glean"), "text")})
-    kept = keyed.join(stays, keyed.doc_id.cast("long").eqNullSafe(stays.doc) & (keyed["_c1"] == stays.c1) & (keyed["_c2"] == stays.c2))
+    stays = minhash.near_duplicates(docs.select("doc_id", "text")).where("first").select(F.col("doc").alias("k0"), F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct()
+    slim = _slim(docs, F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("c1"), F.xxhash64(F.lit("glean"), "text").alias("c2"))
+    kept = slim.join(stays, F.col("doc").eqNullSafe(F.col("k0")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
     # rows that repeat a whole document are copies of it
-    once = Window.partitionBy("doc", "c1", "c2").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    return _as_documents(kept.withColumn("_copy", F.row_number().over(once)).where("_copy = 1"), docs)
+    once = Window.partitionBy("doc", "c1", "c2").orderBy(F.to_json("row_"))
+    return _as_documents(kept.withColumn("copy", F.row_number().over(once)).where("copy = 1"), docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages of 20 words and more that occur earlier; drop documents of which nothing is left."""
     ship(spark)
-    return _as_documents(substring_dedup.dedup(docs).where("n_words > n_removed"), docs)
+    return _as_documents(substring_dedup.dedup(_slim(docs, "doc_id", "text")).where("n_words > n_removed"), docs, F.col("text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat every document as often as its source's target asks."""
     ship(spark)
-    taken = mixing.mix(docs).where("times > 0")
-    return _as_documents(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs)
+    taken = mixing.mix(_slim(docs, "doc_id", "source", "text")).where("times > 0")
+    return _as_documents(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

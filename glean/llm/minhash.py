@@ -6,14 +6,11 @@ two texts are linked if their weighted Jaccard similarity is at least
 
 1. Equal texts become one node. Every node gets a sparse DartMinHash signature,
    whose coordinates are joined into bands; a band's hash is a bucket.
-2. Leader rounds. Nodes of a bucket are compared with a leader, never with each
-   other: first with the node of least hash, then with the node that proved nearest
-   to a leader before. Candidates are verified on their whole shingle sets.
-3. The rest. Where a bucket still holds several components, the nodes outside its
-   largest one are compared with all nodes of other components: both kinds are cut
-   into blocks, pairs of blocks meet in separate tasks, and a task counts the common
-   shingles of all its pairs on whole sets. It returns a spanning forest of the
-   components it links, never its pairs. No bucket is capped and no pair left out.
+2. The nodes of a bucket are a group for ``linking.connect``: leader rounds verify each
+   node against a few others on whole shingle sets; where a bucket still holds several
+   components, its nodes outside the largest one ask the blocks of the others, each block
+   once for all buckets, and a T-occurrence search on whole sets answers. Only spanning
+   links come back. No bucket is capped and no pair left out.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 shares no bucket with
 probability 3e-6, and less above.
@@ -21,7 +18,9 @@ probability 3e-6, and less above.
 Null texts and texts without words are linked to nothing: each is its own class.
 Texts of one to four words have one shingle, all their words. Rows with equal text
 are in one class, rows repeated as a whole included. The class id is the least
-doc_id of the class, null if no row of it has one. An empty table gives none.
+doc_id of the class, null if no row of it has one; rows without an id stay only where
+no other can. Long texts are taken whole. An empty table gives none. Other columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,18 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glean.llm import linking
 from glean.llm.shared import written
-from glean.llm.text import Words, as_lists, mix, one_array, slices, split_words, window_hashes, windows_inside
+from glean.llm.sketch import Filter
+from glean.llm.text import Words, as_lists, mix, slices, split_words, window_hashes, windows_inside
 
 SHINGLE = 5
 COORDINATES = 160
 ROWS = 5
-SIMILARITY = 0.8
-#: A block holds about so many nodes at most, and about so many shingles.
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 19
-#: Cells of the indicator matrix by which a task counts common shingles.
-CELLS = 1 << 22
+#: Similarity from which texts are linked, in per cent.
+PERCENT = 80
 SLICE = 4 << 20
 
 
@@ -185,191 +182,34 @@ def _shingles(df: DataFrame, wanted: DataFrame, key: str, text: str, weights: st
             each = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), each, pa.int64())], ["node", "shingles"])
 
-    docs = _keyed(df, key, text)
+    docs = Filter.of(wanted, "c1").keep(_keyed(df, key, text), "c1")  # only texts that are probably wanted are shuffled
     wanted = wanted.select("node", "rep", F.col("c1").alias("k1"), F.col("c2").alias("k2"))
     # the texts are dealt out at every size: a plan that changes with the size would hide how it grows
     found = docs.join(wanted.hint("merge"), (docs.c1 == wanted.k1) & (docs.c2 == wanted.k2) & docs.doc.eqNullSafe(wanted.rep)).select("node", "text")
-    return found.mapInArrow(run, "node long, shingles array<long>")
+    return found.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """(a, b, similarity) of distinct pairs of nodes, on their whole shingle sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                columns = {c: one_array(part.column(c)) for c in part.schema.names}
-                out = []
-                for i in range(part.num_rows):
-                    x, y = (columns[c][i].values.to_numpy() for c in ("shingles_a", "shingles_b"))
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(same / (len(x) + len(y) - same))
-                yield pa.RecordBatch.from_arrays([columns["a"], columns["b"], pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-    side = lambda s: store.select([F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in store.columns])
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, similarity double")
-
-
-def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Contract linked labels until no link joins two of them: the components' least nodes.
-
-    ``labels``: (node, label), a label being a node of its component; ``links``:
-    (a, b). Each pass hooks every label to its least neighbour, so the number of
-    passes is logarithmic; links and labels stay distributed tables.
-    """
-    end = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
-    tied = lambda df: df.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    links = written(tied(links.join(end("a", "x"), "a").join(end("b", "y"), "b")), "links")
-    while not links.isEmpty():
-        hook = written(links.groupBy("x").agg(F.min("y").alias("to")), "hook")
-        to = lambda df, c: df.join(hook.select(F.col("x").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        labels = written(to(labels, "label").select("node", "label"), "labels")
-        links = written(tied(to(to(links, "x"), "y")), "links")
-    return labels
-
-
-def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels and their bucket's size, of the buckets that hold several components."""
-    now = members.join(labels, "node")
-    open_ = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l != h")
-    return now.join(written(open_.select("bucket", "n"), "open"), "bucket")
-
-
-def common(row: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values each of the rows ``left`` has in common with each of the rows ``right``.
-
-    ``row`` and ``value`` list the distinct values of every row. Values of one row
-    alone are left out; the others become columns of a 0/1 matrix, a strip at a time.
-    """
-    order = np.argsort(value, kind="stable")
-    row, value = row[order], value[order]
-    step = np.r_[False, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
-    column = np.cumsum(step)
-    often = np.bincount(column, minlength=1)[column] > 1
-    row, column = row[often], column[often]
-    column = np.unique(column, return_inverse=True)[1]
-    same = np.zeros((len(left), len(right)))
-    n = int(max(left.max(initial=-1), right.max(initial=-1))) + 1
-    width = max(1, CELLS // max(n, 1))
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        s, e = np.searchsorted(column, [low, low + width])
-        strip = np.zeros((n, width), np.float32)
-        strip[row[s:e], column[s:e] - low] = 1
-        same += strip[left] @ strip[right].T
-    return same
-
-
-def forest(label_a: np.ndarray, label_b: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Pairs of labels that connect whatever ``linked`` (rows ``label_a``, columns ``label_b``) connects, without circles."""
-    labels, at = np.unique(np.r_[label_a, label_b], return_inverse=True)
-    u, v = np.nonzero(linked)
-    u, v = at[: len(label_a)][u], at[len(label_a) :][v]
-    touch = np.zeros((len(labels), len(labels)), bool)
-    touch[u, v] = touch[v, u] = True
-    open_, out = touch.any(1), [np.zeros((0, 2), np.int64)]
-    while open_.any():
-        queue = [int(open_.argmax())]
-        open_[queue[0]] = False
-        while queue:
-            x = queue.pop()
-            found = np.flatnonzero(touch[x] & open_)
-            open_[found] = False
-            queue += found.tolist()
-            out.append(np.stack([np.full(len(found), labels[x]), labels[found]], 1))
-    return np.concatenate(out)
-
-
-def _in_blocks(now: DataFrame, store: DataFrame) -> DataFrame:
-    """(a, b): labels linked by a pair of nodes of one bucket; ``now``: (bucket, node, label, size)."""
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j, side, label = (table.column(c).to_numpy() for c in ("i", "j", "side", "label"))
-        bucket, lists = table.column("bucket").to_numpy(), one_array(table.column("shingles"))
-        ends, flat = np.asarray(lists.offsets, dtype=np.int64), lists.values.to_numpy()
-        cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-        for s, e in zip(cut, cut[1:]):
-            at, sizes = np.arange(e - s), np.diff(ends[s : e + 1])
-            left, right = (at, at) if i[s] == j[s] else (at[side[s:e] == 0], at[side[s:e] == 1])
-            apart = label[s:e][left][:, None] != label[s:e][right]
-            if apart.any():
-                same = common(np.repeat(at, sizes), flat[ends[s] : ends[e]], left, right)
-                linked = apart & (same / (sizes[left][:, None] + sizes[right] - same) >= SIMILARITY)
-                found = forest(label[s:e][left], label[s:e][right], linked)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            last = np.logical_or.reduce([k != k[-1] for k in key])
-            whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            if whole:
-                yield from compare(table.slice(0, whole).combine_chunks())
-            held = table.slice(whole).to_batches()
-        if held:
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
-
-    by_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    totals = by_label.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    plan = totals.select("bucket", F.col("top.label").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("of_main"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("of_rest"))
-    rows = now.join(written(plan, "plan"), "bucket")
-    # blocks are numbered from those of the largest component on, which meet only the blocks of the rest
-    main, hashed = F.col("label") == F.col("main"), F.xxhash64("node")
-    mine = F.when(main, F.pmod(hashed, "of_main")).otherwise(F.col("of_main") + F.pmod(hashed, "of_rest")).cast("int")
-    met = F.sequence(F.when(main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)
-    rows = rows.select("bucket", "node", "label", mine.alias("mine"), met.alias("met")).join(store, "node").withColumn("other", F.explode("met"))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "label", "shingles")
-    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "set", block: int = linking.BLOCK) -> DataFrame:
     """(doc, c1, c2, class_id, first): one row per row of ``df``; ``first`` marks the document that stays.
 
     ``c1`` and ``c2`` hash the text, so (doc, c1, c2) leads back to the rows of
     ``df``; ``first`` holds for all rows that repeat the document that stays.
     """
     signed = written(sign(df, key, text, weights), "signed")
-    nodes = signed.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    nodes = signed.where("size > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("size").cast("long").alias("size"), F.first("buckets").alias("buckets"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the ids are fixed once written
-    buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("lead")).where("n > 1")
-    shared = written(shared.select("bucket", F.col("lead.node").alias("lead")), "shared")
-    members = written(buckets.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    known = written(nodes.drop("buckets").join(wanted, "node", "left_semi"), "known")
+    buckets = nodes.select(F.explode("buckets").alias("group"), "node")
+    shared = buckets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("lead")).where("n > 1")
+    members = written(buckets.join(shared.select("group", F.col("lead.node").alias("lead")), "group"), "members")
+    known = written(nodes.drop("buckets").join(members.select("node").distinct(), "node", "left_semi"), "known")
     store = written(_shingles(df, known, key, text, weights), "shingles")
-    labels = known.select("node", F.col("node").alias("label"))
-    size = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
-    fits = lambda p: p.join(size("a"), "a").join(size("b"), "b").where(f"least(size_a, size_b) >= {SIMILARITY} * greatest(size_a, size_b)").select("a", "b")
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = lambda t: t.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-
-    tested = written(_verify(fits(ordered(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))), store), "tested")
-    labels = merge_labels(labels, links(tested))
-
-    now = _undecided(members, labels)
-    near = tested.select(F.explode(F.array("a", "b")).alias("node"), "similarity").groupBy("node").agg(F.max("similarity").alias("near"))
-    rank = F.struct(-F.coalesce("near", F.lit(0.0)), F.xxhash64("node"), "node", "label")
-    second = now.where("node != lead").join(near, "node", "left").groupBy("bucket").agg(F.min(rank).alias("best"))
-    second = written(second.select("bucket", F.col("best.node").alias("to"), F.col("best.label").alias("at")), "second")
-    pairs = ordered(now.join(second, "bucket").where("label != at").select(F.col("to").alias("a"), F.col("node").alias("b")))
-    again = written(_verify(fits(pairs.join(tested, ["a", "b"], "left_anti")), store), "tested")
-    labels = merge_labels(labels, links(again))
-
-    now = written(_undecided(members, labels).join(known.select("node", "size"), "node").select("bucket", "node", "label", "size"), "undecided")
-    labels = merge_labels(labels, _in_blocks(now, store))
-
-    least = known.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = labels.join(least, "label").select("node", "class_id", "label")
-    of_node = nodes.select("node", "rep", "c1", "c2").join(classes, "node", "left")
-    # of several texts of a class under its least doc_id, the one of least hash stays
-    of_node = of_node.select("c1", "c2", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("label", "node").alias("label"))
-    stays = signed.where("size > 0").join(of_node, ["c1", "c2"]).groupBy("label").agg(F.min(F.struct("doc", "c1", "c2")).alias("stay"))
-    out = signed.select("doc", "c1", "c2", "size").join(of_node, ["c1", "c2"], "left").join(stays, "label", "left")
-    here = F.struct("doc", "c1", "c2")
-    return out.select("doc", "c1", "c2", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"), ((F.col("size") <= 0) | here.eqNullSafe(F.col("stay"))).alias("first"))
+    labels = linking.connect(members, known.select("node", "size"), store, PERCENT, block)
+
+    # classes are named and their staying text chosen among nodes, of which exact copies are one
+    placed = nodes.select("node", "rep", "c1", "c2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.struct(F.col("rep").isNull(), F.col("rep").alias("doc"), "c1", "c2")
+    named = written(placed.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(first).alias("stay")), "named")
+    of_text = written(placed.select("label", "c1", "c2").join(named, "label").select("c1", "c2", "class_id", F.col("stay.doc").alias("stay"), ((F.col("c1") == F.col("stay.c1")) & (F.col("c2") == F.col("stay.c2"))).alias("stays")), "classes")
+    out = signed.select("doc", "c1", "c2", "size").join(of_text, ["c1", "c2"], "left")
+    here = F.col("stays") & F.col("doc").eqNullSafe(F.col("stay"))
+    return out.select("doc", "c1", "c2", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"), F.when(F.col("size") > 0, here).otherwise(True).alias("first"))

@@ -116,21 +116,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), as_lists(value.view(np.int64), np.bincount(row, minlength=batch.num_rows), pa.int64())], ["node", "shingles"])
 
 
-def _chosen(wanted):
-    """The rows whose text is probably wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.has(batch.column("c1").to_numpy().view(np.uint64))))
-
-    return run
-
-
 def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of ``nodes`` (node, doc, c1, c2), from one document each; only texts that a filter lets pass are shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Filter.of(nodes, "c1"))
+    found = Filter.of(nodes, "c1").keep(docs, "c1")
     nodes = nodes.select("node", *[F.col(c).alias(f"{c}_") for c in ("doc", "c1", "c2")])
-    found = docs.mapInArrow(_chosen(wanted), docs.schema)
     found = found.join(nodes.hint("merge"), found.doc.eqNullSafe(nodes.doc_) & (found.c1 == nodes.c1_) & (found.c2 == nodes.c2_)).select("node", "text")
     return found.mapInArrow(_whole, "node long, shingles array<long>").dropDuplicates(["node"])
 
