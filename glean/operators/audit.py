@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glean.operators.temporal import expected_grid
+
 
 def ledger(df: DataFrame, checks: dict[str, tuple[Column, float]]) -> DataFrame:
     """AU1: rows (check, value, expected, pass) from one aggregation over ``df``."""
@@ -65,3 +67,33 @@ def compare_configs(frozen: dict, declared: dict) -> dict[str, tuple]:
     """AU10: names whose values differ, with both values; numbers may differ by 1e-9."""
     same = lambda a, b: abs(a - b) <= 1e-9 if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b)) else a == b
     return {k: (frozen.get(k), declared.get(k)) for k in sorted(set(frozen) | set(declared)) if k not in frozen or k not in declared or not same(frozen[k], declared[k])}
+
+
+def frame_problems(videos: DataFrame, frames: DataFrame, step: int, latest: Column) -> DataFrame:
+    """AU6: (video_id, timestamp_sec, reason) of everything that keeps a video's frames from being whole.
+
+    A video without any row is ``summary_missing``, one whose rows name no duration
+    ``duration_missing``; both have no timestamp. Of a video with a duration every point
+    of the grid 0, step, ... is judged by its last row in the order of ``latest``:
+    ``row_missing``, ``status_...`` (not ``success``) or ``image_missing_or_invalid``.
+    ``frames``: video_id, timestamp_sec, duration_sec, status, image_ok; rows without a
+    timestamp count for the duration only. The duration is the first that is told.
+    """
+    told = frames.groupBy("video_id").agg(F.min_by("duration_sec", F.when(F.col("duration_sec").isNotNull(), latest)).alias("duration"))
+    known = videos.select("video_id").distinct().join(told.withColumn("_there", F.lit(True)), "video_id", "left")
+    whole = F.when(F.col("_there").isNull(), "summary_missing").when(F.col("duration").isNull(), "duration_missing")
+    of_video = known.select("video_id", F.lit(None).cast("int").alias("timestamp_sec"), whole.alias("reason")).where("reason IS NOT NULL")
+
+    last = frames.where("timestamp_sec IS NOT NULL").groupBy("video_id", F.col("timestamp_sec").cast("int").alias("timestamp_sec")).agg(F.max_by(F.struct("status", "image_ok"), latest).alias("row"))
+    grid = expected_grid(known.where("duration IS NOT NULL"), "video_id", "duration", step).join(last, ["video_id", "timestamp_sec"], "left")
+    status = F.lower(F.trim(F.coalesce("row.status", F.lit("missing"))))
+    reason = F.when(F.col("row").isNull(), "row_missing").when(status != "success", F.concat(F.lit("status_"), status)).when(~F.coalesce("row.image_ok", F.lit(False)), "image_missing_or_invalid")
+    return of_video.unionByName(grid.select("video_id", "timestamp_sec", reason.alias("reason")).where("reason IS NOT NULL"))
+
+
+def problem_runs(problems: DataFrame, step: int) -> DataFrame:
+    """AU6: gaps and islands: (video_id, reason, first_sec, last_sec, frames) of neighbouring grid points with one reason."""
+    some = problems.where("timestamp_sec IS NOT NULL")
+    island = (F.col("timestamp_sec") / step).cast("int") - F.row_number().over(Window.partitionBy("video_id", "reason").orderBy("timestamp_sec"))
+    runs = some.withColumn("_island", island).groupBy("video_id", "reason", "_island")
+    return runs.agg(F.min("timestamp_sec").alias("first_sec"), F.max("timestamp_sec").alias("last_sec"), F.count(F.lit(1)).alias("frames")).drop("_island")

@@ -58,6 +58,16 @@ def invalid_labels(long: DataFrame, value: str = "label") -> DataFrame:
     return long.where(F.col(value).isNull() | ~F.col(value).isin(0, 1))
 
 
+def annotation_problems(matrix: DataFrame, key: str, names: list[str], annotator: str = "annotator", status: str = "review_status") -> DataFrame:
+    """EV30: (key, problem, detail): labels that are not ``0`` or ``1``, blank annotators, reviews that are not completed."""
+    cells = to_long(matrix.select(key, *[F.col(c).cast("string").alias(c) for c in names]), [key], names)
+    labels = cells.where(~F.coalesce(F.col("label").isin("0", "1"), F.lit(False))).select(key, F.lit("invalid_label").alias("problem"), F.concat_ws("=", "concept", F.coalesce("label", F.lit(""))).alias("detail"))
+    plain = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    nobody = matrix.where(plain(annotator) == "").select(key, F.lit("blank_annotator").alias("problem"), F.lit("").alias("detail"))
+    open_ = matrix.where(F.lower(plain(status)) != "completed").select(key, F.lit("incomplete_review").alias("problem"), plain(status).alias("detail"))
+    return labels.unionByName(nobody).unionByName(open_)
+
+
 def snippets(segments: DataFrame, key: str, order: str, text: str, hit: Column, gap: float, most: int) -> DataFrame:
     """TX20, WN6, WN8: hits with the text before and after, close ones suppressed, at most ``most`` an item."""
     w = Window.partitionBy(key).orderBy(order)

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from glean.functions import text as X
 from glean.functions.numeric import jaccard
 from glean.operators import dataset, temporal
-from glean.plans.chunk_queries import CHUNK, CLEAN_SQL, JACCARD_SQL, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, segments
+from glean.plans.chunk_queries import _CHUNK_SQL, CHUNK, CLEAN_SQL, JACCARD_SQL, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, segments
 from glean.plans.registry import query
 from glean.sources import tables
+from glean.sources.scratch import stored
 from glean.sources.tables import table
 
 TERMS = ("the", "of the", "thing", "stable", "or")
@@ -105,36 +106,50 @@ def fuzzy_ui_tokens(spark: SparkSession, d: str) -> DataFrame:
     return menu_words(_screen_words(spark, d), "words")
 
 
-def flagged_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words with a flag for each: (page_id, words, flags).
+def flagged_words(words: DataFrame, key: str) -> DataFrame:
+    """Words with a flag for each: (key, words, flags), from unique keys with their ``words``.
 
     Words are exploded with their places, looked up, and gathered again, so the
     list of menu words may grow with the corpus.
     """
-    words = _screen_words(spark, d)
-    each = words.select("page_id", F.posexplode("words").alias("at", "w")).withColumn("word", F.regexp_replace("w", r"[^a-z0-9_]+", ""))
+    each = words.select(key, F.posexplode("words").alias("at", "w")).withColumn("word", F.regexp_replace("w", r"[^a-z0-9_]+", ""))
     known = menu_words(words, "words").withColumn("flag", F.lit(True))
-    found = each.join(known, "word", "left").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "w", F.coalesce("flag", F.lit(False)).alias("flag")))).alias("x"))
-    return found.select("page_id", F.col("x.w").alias("words"), F.col("x.flag").alias("flags"))
+    found = each.join(known, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "w", F.coalesce("flag", F.lit(False)).alias("flag")))).alias("x"))
+    return found.select(key, F.col("x.w").alias("words"), F.col("x.flag").alias("flags"))
+
+
+def drop_menus(df: DataFrame, key: str, text: str, counter: str) -> DataFrame:
+    """TX15 on a text column: the menu words of menu clusters go, and ``counter`` tells how many."""
+    words = df.select(key, X.tokens(F.col(text)).alias("words"))
+    found = flagged_words(words, key).withColumn("_places", X.menu_cluster(F.col("words"), F.col("flags")))
+    found = found.select(F.col(key).alias("_key"), F.size("_places").alias(counter), F.array_join(X.without_places(F.col("words"), F.col("_places")), " ").alias("_left"))
+    rest = [c for c in df.columns if c not in (text, counter)]
+    return df.join(found, F.col(key) == F.col("_key"), "left").select(*rest, F.coalesce("_left", F.lit("")).alias(text), F.coalesce(counter, F.lit(0)).alias(counter))
 
 
 @query()
 def menu_cluster(spark: SparkSession, d: str) -> DataFrame:
     """TX15."""
-    found = flagged_words(spark, d).withColumn("places", X.menu_cluster(F.col("words"), F.col("flags")))
+    found = flagged_words(_screen_words(spark, d), "page_id").withColumn("places", X.menu_cluster(F.col("words"), F.col("flags")))
     return found.select("page_id", F.size("places").alias("removed"), F.array_join(X.without_places(F.col("words"), F.col("places")), " ").alias("kept"))
 
 
-@query()
-def ocr_clean_v2_audit(spark: SparkSession, d: str) -> DataFrame:
-    """TX11-TX13, PRJ4: cleaned text with a count of each kind of removal."""
-    made = X.correct(screens(spark, d).withColumn("t", F.lower("screen")), "t", "ocr_corrections")
+def clean_screen_v2(df: DataFrame, key: str, text: str) -> DataFrame:
+    """TX11-TX15: ``df`` with ``cleaned`` and a count of each kind of removal; ``key`` is unique and not null."""
+    made = X.correct(df.withColumn("t", F.lower(X.text_or_empty(F.col(text)))), "t", "ocr_corrections")
     made = X.drop_phrases(made.withColumn("t", X.strip_links(F.col("t"))), "t", "ui_phrase_removals")
+    made = drop_menus(stored(made, "screens"), key, "t", "ui_cluster_tokens_removed")
     made = made.withColumn("t", F.regexp_replace("t", X.CODE_CHARSET, " "))
     made = made.withColumn("long_numbers_removed", F.regexp_count("t", F.lit(X.LONG_NUMBER)))
-    clean = X.finish(F.regexp_replace("t", X.LONG_NUMBER, " "))
-    made = made.withColumn("cleaned", clean).withColumn("reduction_pct", X.reduction_pct(X.word_count(F.col("screen")), X.word_count(F.col("cleaned"))))
-    return made.select("page_id", "cleaned", "ocr_corrections", "ui_phrase_removals", "long_numbers_removed", "reduction_pct", X.text_class(F.col("cleaned")).alias("text_class"))
+    return made.withColumn("cleaned", X.finish(F.regexp_replace("t", X.LONG_NUMBER, " "))).drop("t")
+
+
+@query()
+def ocr_clean_v2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """TX11-TX15, PRJ4: cleaned text with a count of each kind of removal."""
+    made = clean_screen_v2(screens(spark, d), "page_id", "screen")
+    made = made.withColumn("reduction_pct", X.reduction_pct(X.word_count(F.col("screen")), X.word_count(F.col("cleaned"))))
+    return made.select("page_id", "cleaned", "ocr_corrections", "ui_phrase_removals", "ui_cluster_tokens_removed", "long_numbers_removed", "reduction_pct", X.text_class(F.col("cleaned")).alias("text_class"))
 
 
 _CLASS_SQL = r"CASE WHEN trim({0}) = '' THEN 'empty' WHEN len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: length(regexp_replace(w, '[^a-z0-9]', '', 'g')) >= 2)) > 0 THEN 'useful' ELSE 'noise' END"
@@ -232,13 +247,12 @@ def roi_box(spark: SparkSession, d: str) -> DataFrame:
 _SET_SQL = r"list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+'))"
 
 
-@query(f"WITH t AS (SELECT doc_id, lang, {_SET_SQL.format('text')} AS s FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.s AS x, b.s AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang) SELECT a, b, round({JACCARD_SQL.format('x', 'y')}, 6) AS similarity FROM p")
+@query(f"{_CHUNK_SQL}, t AS (SELECT video_id, chunk_id, turn, {_SET_SQL.format('text')} AS s FROM member) SELECT x.video_id, x.chunk_id, x.turn AS a, y.turn AS b, round({JACCARD_SQL.format('x.s', 'y.s')}, 6) AS similarity FROM t x JOIN t y ON x.video_id = y.video_id AND x.chunk_id = y.chunk_id AND x.turn < y.turn")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """TX23, MA4: neighbours of one language."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", X.token_set(F.col("text")).alias("s"))
-    left = docs.select(F.col("doc_id").alias("a"), "lang", (F.col("doc_id") + 1).alias("b"), F.col("s").alias("x"))
-    right = docs.select(F.col("doc_id").alias("b"), "lang", F.col("s").alias("y"))
-    return left.join(right, ["b", "lang"]).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """TX23, MA4: all pairs of segments of a chunk; a chunk is a minute, so its pairs are few."""
+    found = temporal.overlap_members(segments(spark, d), CHUNK).select("video_id", "chunk_id", "turn", X.token_set(F.col("text")).alias("s"))
+    left, right = (found.select("video_id", "chunk_id", F.col("turn").alias(n), F.col("s").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    return left.join(right, ["video_id", "chunk_id"]).where("a < b").select("video_id", "chunk_id", "a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,9 +135,37 @@ def resolve_box(video: Column, context: Column, confidence: Column, subject: Col
     return F.coalesce(pick(video, "video"), F.when(confidence == "high", pick(context, "context")), pick(subject, "subject"), F.struct(F.lit(default).alias("box"), F.lit("global").alias("origin")))
 
 
+def replace_after_success(spark: SparkSession, path: str, write) -> None:
+    """SNK2: ``write(folder)`` goes to a folder beside ``path``, which takes its place only once it is whole.
+
+    If the write fails, what was there stays as it was. The old folder is moved aside, the
+    new one moved in, and the old one moved back should that fail. Readers that list the
+    path between the two moves find nothing, never a part.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    mark = uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    fs = at(path).getFileSystem(conf)
+    try:
+        write(new)
+        there = fs.exists(at(path))
+        if there and not fs.rename(at(path), at(old)):
+            raise OSError(f"{path} cannot be moved aside")
+        if not fs.rename(at(new), at(path)):
+            if there:
+                fs.rename(at(old), at(path))
+            raise OSError(f"{new} cannot be moved to {path}")
+        if there:
+            fs.delete(at(old), True)
+    finally:
+        fs.delete(at(new), True)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """SNK1, SNK10: ordered columns with a header. SNK2: Spark's committer shows the folder only when it is whole."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).csv(path)
+    """SNK1, SNK10: ordered columns with a header. SNK2: an old output is replaced after success only."""
+    chosen = df.select(*columns) if columns else df
+    replace_after_success(df.sparkSession, path, lambda to: chosen.write.option("header", True).option("escape", '"').csv(to))
 
 
 def text_report(df: DataFrame, key: str, order: str, line: Column, title: Column) -> DataFrame:

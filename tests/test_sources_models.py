@@ -152,16 +152,16 @@ def test_affinity_table_equals_affinity(spark):
 
 
 def test_terms_of_concepts_alone_count_and_folds_have_both_scores(spark, tmp_path):
-    turns = [(k, t, "u", f"select rows table{t} loop{k}") for k in range(4) for t in range(6)]
+    turns = [(k, t, "u", f"select rows table{t} loop{k % 4}") for k in range(20) for t in range(3)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(k, f"unheard{k} select loop{k}") for k in range(4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, concepts = model_queries._corpus(spark, str(tmp_path))
     assert {f"unheard{k}" for k in range(4)} <= set(model_queries._latent(docs, concepts).words)
     held_out = docs.where("subject = 3")
     seen = model_queries._topics(docs.where("subject <> 3")).words
-    assert held_out.count() == 6 and "loop3" not in seen and "loop2" in seen
+    assert held_out.count() == 15 and "loop3" not in seen and "loop2" in seen
     got = model_queries.cv_oof_scores(spark, str(tmp_path))
-    assert got.count() == 24 and got.where("lda_score > 0 AND lsa_score > 0").count() > 0
+    assert got.count() == 60 and {r["fold"] for r in got.select("fold").distinct().collect()} == {0, 1, 2, 3, 4} and got.where("lda_score > 0 AND lsa_score > 0").count() > 0
 
 
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
