@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glean.functions.numeric import rounded
 from glean.operators.evaluate import confusion, with_rates
 from glean.operators.evidence import AGGREGATIONS, top_sums
 from glean.operators.ranking import ranked_within
@@ -46,25 +47,28 @@ PICO = 10**12
 RATES = ("precision", "recall", "f1")
 
 
-def half_up(total: Column, n: Column) -> Column:
-    """``total / n`` rounded half up, of whole numbers."""
-    return F.floor((2 * total + n) / (2 * n)).cast("long")
+def whole_mean(total: Column, n: Column, mode: str = "half_up") -> Column:
+    """``total / n`` of whole numbers as a whole number, PRJ10."""
+    down = F.floor(total / n).cast("long")
+    twice = 2 * (total - down * n)
+    up = (twice > n) | ((twice == n) & ((down % 2 == 1) if mode == "half_even" else F.lit(True)))
+    return down + up.cast("long")
 
 
-def video_scores(scores: DataFrame, by: list[str], video: str, concept: str, alphas: list[float], a: str = "lda_norm", b: str = "lsa_norm") -> DataFrame:
+def video_scores(scores: DataFrame, by: list[str], video: str, concept: str, alphas: list[float], a: str = "lda_norm", b: str = "lsa_norm", mode: str = "half_up") -> DataFrame:
     """EV22: (by..., video, concept, alpha, aggregation, score) in units: every fusion weight and aggregation of a long table of chunk scores.
 
     Chunk scores are rounded to four places before they are aggregated, and so are video
-    scores. Sums, counts and maxima are formed before the shuffle; of the largest scores
+    scores, by ``mode``. Sums, counts and maxima are formed before the shuffle; of the largest scores
     at most three a group and task are shuffled.
     """
     keys = [*by, video, concept, "alpha"]
     fused = scores.withColumn("alpha", F.explode(F.array(*[F.lit(float(x)) for x in alphas])))
     value = F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 9)
-    fused = fused.select(*keys, F.round(value * UNIT).cast("long").alias("score"))
+    fused = fused.select(*keys, rounded(value * UNIT, 0, mode).cast("long").alias("score"))
     plain = fused.groupBy(*keys).agg(F.max("score").alias("max"), F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
     tops = top_sums(fused, keys, "score", (2, 3))
-    wide = plain.join(tops, keys).select(*keys, "max", half_up(F.col("sum"), F.col("n")).alias("mean"), half_up(F.col("sum2"), F.col("n2")).alias("top2_mean"), half_up(F.col("sum3"), F.col("n3")).alias("top3_mean"))
+    wide = plain.join(tops, keys).select(*keys, "max", whole_mean(F.col("sum"), F.col("n"), mode).alias("mean"), whole_mean(F.col("sum2"), F.col("n2"), mode).alias("top2_mean"), whole_mean(F.col("sum3"), F.col("n3"), mode).alias("top3_mean"))
     return wide.unpivot(keys, ["max", "mean", "top2_mean", "top3_mean"], "aggregation", "score")
 
 

@@ -74,8 +74,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY
 )
 
 
-def concepts(spark: SparkSession, d: str) -> DataFrame:
-    found = F.array_distinct(X.content_tokens(X.clean_text(F.col("text")), STOP_WORDS))
+#: Words of a catalog text that stand for a concept's name.
+NAME_WORDS = 8
+
+
+def concepts(spark: SparkSession, d: str, mode: str = "name+description") -> DataFrame:
+    """(concept, subject, b): tokens of each concept's text (S14): its name, or name and description."""
+    if mode not in ("name", "name+description"):
+        raise ValueError(f"unknown concept text {mode!r}")
+    text = F.array_join(F.slice(F.split("text", " "), 1, NAME_WORDS), " ") if mode == "name" else F.col("text")
+    found = F.array_distinct(X.content_tokens(X.clean_text(text), STOP_WORDS))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("concept"), (F.col("item_id") % 4).alias("subject"), found.alias("b"))
 
 

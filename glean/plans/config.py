@@ -23,4 +23,4 @@ class PipelineConfig:
 
 
 PILOT = PipelineConfig()
-LOCKED = PipelineConfig(chunk_seconds=180, alpha=0.0, aggregation="max", threshold=0.5)
+LOCKED = PipelineConfig(chunk_seconds=180, alpha=0.0, aggregation="max", threshold=0.5, concept_text_mode="name", round_mode="half_even", fit_scope="train")

@@ -12,6 +12,7 @@ from glean.functions import text as X
 from glean.functions.numeric import argmax_place, cosine
 from glean.operators import audit, models, scoring, tuning
 from glean.plans.chunk_queries import STOP_WORDS
+from glean.plans.config import LOCKED, PILOT, PipelineConfig
 from glean.plans.registry import query
 from glean.sources.scratch import stored
 from glean.sources.tables import table
@@ -112,9 +113,12 @@ def lda_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", "concept", _topic_score())
 
 
-@query()
-def lsa_concept_scores(spark: SparkSession, d: str) -> DataFrame:
-    """ML7-ML9: cosine in the latent space, fitted on documents and concepts."""
+def model_scores(spark: SparkSession, d: str, config: PipelineConfig) -> DataFrame:
+    """S15: scores of models fitted on ``all`` turns, or for each turn on the ``train`` side of its fold."""
+    return {"all": _scores_of_all, "train": _scores_of_folds}[config.fit_scope](spark, d)
+
+
+def _scores_of_all(spark: SparkSession, d: str) -> DataFrame:
     docs, concepts = _corpus(spark, d)
     space = _latent(docs, concepts)
     left = space.transform(docs, "terms", "x").select("doc_id", "subject", "x")
@@ -163,12 +167,22 @@ def fold_topics(docs: DataFrame) -> list[models.TopicModel]:
         return list(side_by_side.map(fit, range(FOLDS)))
 
 
+@query()
+def lsa_concept_scores(spark: SparkSession, d: str) -> DataFrame:
+    """ML7-ML9: cosine in the latent space, fitted on documents and concepts."""
+    return model_scores(spark, d, PILOT)
+
+
 @query()
 def cv_oof_scores(spark: SparkSession, d: str) -> DataFrame:
     """ML10, ML11, AU4, S15: every turn scored by topics of the other folds, and by a space of the other folds and the concepts.
 
     Folds hold out whole conversations, so no turn is scored by a model that has seen its conversation.
     """
+    return model_scores(spark, d, LOCKED)
+
+
+def _scores_of_folds(spark: SparkSession, d: str) -> DataFrame:
     docs, concepts = _in_folds(spark, d)
     spaces, topics = fold_spaces(docs, concepts), fold_topics(docs)
     of_fold = F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glean.functions import text as X
 from glean.operators import evaluate, scoring, stats, temporal, tuning
 from glean.operators.ranking import ranked_within
-from glean.plans.chunk_queries import JACCARD_SQL, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, concepts, overlap_scores, segments
-from glean.plans.config import LOCKED, PILOT
+from glean.plans.chunk_queries import JACCARD_SQL, NAME_WORDS, SEGMENTS_SQL, STOP_WORDS, TOKENS_SQL, concepts, overlap_scores, segments
+from glean.plans.config import LOCKED, PILOT, PipelineConfig
 from glean.plans.model_queries import FOLDS, _VIDEO_FOLDS_SQL, video_folds
 from glean.plans.registry import query
 from glean.sources.scratch import stored
@@ -29,13 +29,13 @@ def _values(xs: list) -> str:
     return ", ".join(f"({x})" for x in xs)
 
 
-def _scored_sql(sizes: list[int]) -> str:
+def _scored_sql(sizes: list[int], text: str = "text") -> str:
     """Chunks of every size with normalised scores (nm), truth of each video and concept (tr), and folds (vf)."""
     return f"""{SEGMENTS_SQL}, {_VIDEO_FOLDS_SQL},
 grid AS (SELECT c AS chunk_seconds, video_id, unnest(range(0, (floor(max(end_sec) / c) + 1)::bigint)) AS chunk_id FROM seg, (VALUES {_values(sizes)}) v(c) GROUP BY c, video_id),
 chunk AS (SELECT g.chunk_seconds, g.video_id, g.chunk_id, count(*) AS n_segments, string_agg(text, ' ' ORDER BY start_sec, text) AS raw_text FROM grid g JOIN seg s ON s.video_id = g.video_id AND s.start_sec < (g.chunk_id + 1) * g.chunk_seconds AND s.end_sec >= g.chunk_id * g.chunk_seconds GROUP BY ALL),
 tok AS (SELECT {_KEYS}, list_distinct({TOKENS_SQL.format("raw_text")}) AS a FROM chunk),
-concept AS (SELECT item_id AS concept, item_id % 4 AS subject, list_distinct({TOKENS_SQL.format("text")}) AS b FROM benchmark),
+concept AS (SELECT item_id AS concept, item_id % 4 AS subject, list_distinct({TOKENS_SQL.format(text)}) AS b FROM benchmark),
 whole AS (SELECT video_id, list_distinct({TOKENS_SQL.format("string_agg(text, ' ')")}) AS a FROM seg GROUP BY video_id),
 tr AS (SELECT video_id, concept, (len(b) > 0 AND 100 * len(list_intersect(a, b)) >= {COVERED} * len(b))::int AS y_true FROM whole JOIN concept ON video_id % 4 = subject),
 sc AS (SELECT {_KEYS}, concept, {JACCARD_SQL.format("a", "b")} AS lda_score, CASE WHEN len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::double / len(b) END AS lsa_score FROM tok JOIN concept ON video_id % 4 = subject WHERE len(a) > 0),
@@ -51,11 +51,11 @@ def sized_chunks(spark: SparkSession, d: str, sizes: list[int]) -> DataFrame:
     return found.select("chunk_seconds", "video_id", "chunk_id", "n_segments", tokens.alias("a"), (F.col("video_id") % 4).alias("subject"))
 
 
-def truth(spark: SparkSession, d: str) -> DataFrame:
+def truth(spark: SparkSession, d: str, mode: str = "name+description") -> DataFrame:
     """(video_id, concept, y_true): whether a whole conversation covers a concept of its subject."""
     whole = segments(spark, d).groupBy("video_id").agg(temporal.ordered_text("text", "start_sec").alias("text"))
     whole = whole.select("video_id", (F.col("video_id") % 4).alias("subject"), F.array_distinct(X.content_tokens(X.clean_text(F.col("text")), STOP_WORDS)).alias("a"))
-    met = scoring.set_overlap(whole, ["video_id"], "a", concepts(spark, d), ["concept"], "b", "subject")
+    met = scoring.set_overlap(whole, ["video_id"], "a", concepts(spark, d, mode), ["concept"], "b", "subject")
     covered = (F.col("n_b") > 0) & (100 * F.col("common") >= COVERED * F.col("n_b"))
     return met.select("video_id", "concept", covered.cast("int").alias("y_true"))
 
@@ -65,9 +65,9 @@ def _folds(spark: SparkSession, d: str) -> DataFrame:
     return video_folds(videos).withColumnRenamed("conv_id", "video_id")
 
 
-def normed_scores(spark: SparkSession, d: str, sizes: list[int]) -> DataFrame:
+def normed_scores(spark: SparkSession, d: str, sizes: list[int], mode: str = "name+description") -> DataFrame:
     by = ["chunk_seconds", "video_id", "chunk_id"]
-    found = overlap_scores(sized_chunks(spark, d, sizes).where(F.size("a") > 0), concepts(spark, d), by)
+    found = overlap_scores(sized_chunks(spark, d, sizes).where(F.size("a") > 0), concepts(spark, d, mode), by)
     return found.select(*by, "concept", *[scoring.minmax(F.col(f"{c}_score"), by).alias(f"{c}_norm") for c in ("lda", "lsa")])
 
 
@@ -271,3 +271,34 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     deltas = stored(sums.select("draw", ((F.col("locked_f1") - F.col("pilot_f1")) / F.col("n") / tuning.PICO).alias("delta")), "deltas")
     above = deltas.agg(F.count_if(F.col("delta") > 0).alias("draws_above_0"))
     return stats.interval(deltas, [], "delta").join(F.broadcast(above))
+
+
+def predictions(spark: SparkSession, d: str, config: PipelineConfig) -> DataFrame:
+    """(video_id, concept, score, y_true, y_pred): a whole run under one configuration, every field of which counts but the fit's scope."""
+    found = tuning.video_scores(normed_scores(spark, d, [config.chunk_seconds], config.concept_text_mode), [], "video_id", "concept", [config.alpha], mode=config.round_mode)
+    found = found.where(F.col("aggregation") == config.aggregation).join(truth(spark, d, config.concept_text_mode), ["video_id", "concept"])
+    return found.select("video_id", "concept", (F.col("score") / tuning.UNIT).alias("score"), "y_true", (F.col("score") >= round(config.threshold * tuning.UNIT)).cast("int").alias("y_pred"))
+
+
+def _run_sql(c: PipelineConfig) -> str:
+    text = f"array_to_string(string_split(text, ' ')[1:{NAME_WORDS}], ' ')" if c.concept_text_mode == "name" else "text"
+    rounding = "round_even" if c.round_mode == "half_even" else "round"
+    best = "xs" if c.aggregation == "mean" else f"xs[1:{ {'max': 1, 'top2_mean': 2, 'top3_mean': 3}[c.aggregation] }]"
+    half = "AND (s // n) % 2 = 1" if c.round_mode == "half_even" else ""
+    return f"""WITH {_scored_sql([c.chunk_seconds], text)},
+fa AS (SELECT video_id, concept, {rounding}(round({c.alpha} * lda_norm + {1 - c.alpha} * lsa_norm, 9) * {tuning.UNIT}, 0)::bigint AS s FROM nm),
+ga AS (SELECT video_id, concept, list_sum({best})::bigint AS s, len({best}) AS n FROM (SELECT video_id, concept, list_sort(list(s), 'DESC') AS xs FROM fa GROUP BY ALL)),
+va AS (SELECT video_id, concept, s // n + (2 * (s % n) > n OR (2 * (s % n) = n {half}))::int AS score FROM ga)
+SELECT video_id, concept, score / {tuning.UNIT} AS score, y_true, (score >= {round(c.threshold * tuning.UNIT)})::int AS y_pred FROM va JOIN tr USING (video_id, concept)"""
+
+
+@query(_run_sql(PILOT))
+def pilot_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ10, PRJ12, S14: the run of the pilot's configuration."""
+    return predictions(spark, d, PILOT)
+
+
+@query(_run_sql(LOCKED))
+def locked_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """ML13, PRJ10, PRJ12, S14: the run of the locked configuration: long chunks, latent scores alone, best chunk, names, half-even rounding."""
+    return predictions(spark, d, LOCKED)
