@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,14 +148,21 @@ def replace_after_success(spark: SparkSession, path: str, write) -> None:
     mark = uuid.uuid4().hex
     new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
     fs = at(path).getFileSystem(conf)
+
+    def moved(a: str, b: str) -> bool:
+        try:
+            return fs.rename(at(a), at(b))
+        except Py4JJavaError:  # some file systems refuse with an error
+            return False
+
     try:
         write(new)
         there = fs.exists(at(path))
-        if there and not fs.rename(at(path), at(old)):
+        if there and not moved(path, old):
             raise OSError(f"{path} cannot be moved aside")
-        if not fs.rename(at(new), at(path)):
+        if not moved(new, path):
             if there:
-                fs.rename(at(old), at(path))
+                moved(old, path)
             raise OSError(f"{new} cannot be moved to {path}")
         if there:
             fs.delete(at(old), True)
