@@ -139,6 +139,34 @@ def test_index_recall(spark):
     assert hit / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("share,least,most", [(permutation_index.RERANK, 0.9, 1.0), (0.002, 0.0, 0.8)])
+def test_recall_of_many_vectors(share, least, most):
+    """A tenth reranked finds nine in ten and more; almost nothing reranked does not: the share is what decides."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    shard = permutation_index.Shard(np.arange(len(x)), x, permutation_index.spread(unit[: 8 * permutation_index.PIVOTS], permutation_index.PIVOTS), share)
+    hit = 0
+    for q in range(0, 20_000, 500):
+        score = unit @ unit[q]
+        score[q] = -9
+        hit += (shard.search(q, x[q], 5)[1] >= np.sort(score)[-5] - 1e-12).sum()
+    assert shard.budget <= 0.1 * len(x) and least <= hit / 200 <= most
+
+
+def test_shards_give_what_one_gives(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(permutation_index, "SHARD", 60)
+    got = permutation_index.nearest(df, F.col("vec_id") % 50 == 0, share=1.0).collect()
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 400, 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def test_index_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, [inf, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (100, [0.0, 0.0]), (150, [])]
@@ -169,7 +197,7 @@ def test_index_orders_equal_vectors_by_id():
 
 def test_index_reranks_beyond_the_copies_of_a_row(spark):
     rows = [(k, [1.0, 0.1 * k]) for k in range(8)]
-    df = spark.createDataFrame(rows + [rows[1]] * 2 * permutation_index.LEAST, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows + [rows[1]] * 2000, "vec_id long, embedding array<float>")
     got = permutation_index.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
 
