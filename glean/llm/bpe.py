@@ -10,7 +10,9 @@ take each step together. The scan beats a heap on short words; words longer than
 
 Edge cases: null text encodes to no ids and decodes to the empty text; the
 special tokens' strings inside a text become their single ids; any Unicode text
-round-trips; ids outside the vocabulary are an error.
+round-trips; ids outside the vocabulary are an error. Long texts are encoded whole.
+Repeated rows are encoded alike. An empty table gives an empty result. Columns of the
+input pass through, but for those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations

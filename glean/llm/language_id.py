@@ -12,8 +12,11 @@ that share.
 
 Null texts and texts without a letter (marks are none) are ``und`` with score 0. Words without
 letters follow their neighbours. Ties go to the language first by code point.
-Texts are labelled whole, whatever their length. Without training documents every
-text is ``und``. An empty table gives an empty result.
+Texts are labelled whole, whatever their length. Repeated rows are labelled alike, and
+count each time where they train. Without training documents every
+text is ``und``. An empty table gives an empty result. Other columns, whatever their names,
+are not read. More than ``MOST_LANGUAGES`` training languages are an error: there is no
+way beyond, as a model holds a column for each.
 """
 
 from __future__ import annotations

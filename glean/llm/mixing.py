@@ -17,7 +17,8 @@ Built from DataFrame functions only.
 Null texts have size 0 and are taken zero times beyond whole repetitions; null
 sources form one source, last in order; ties in the hash are broken by doc_id and
 text hash; equal rows get equal decisions; sources of size 0 have target 0; an
-empty table gives an empty result. Columns of the input that clash are replaced.
+empty table gives an empty result. Long texts are measured whole. Columns of the input
+that clash are replaced.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ fold by hash) turns the raw value into a probability.
 
 Documents with several labels take the mean; null labels are ignored. Null and empty
 texts have all statistics zero. Without labels every score is 0.5; with one class
-only, its label. An empty table gives an empty result.
+only, its label. Equal raw values get equal scores, and so do repeated rows. Long texts are
+measured whole. An empty table gives an empty result. Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ the base rules (under 50 words, or over half of them in repeated 3-word windows)
 
 Edge cases: null and empty texts have no words and fail the base rules; lines
 without a word are neither judged nor counted; a text without line breaks is one
-line; repeated rows are judged alike; equal windows are found by 64-bit hashes
-within one text.
+line, and long texts are judged whole; repeated rows are judged alike; equal windows are
+found by 64-bit hashes within one text; shares exactly at a limit pass. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ removed. The graph keeps this cheap:
 
 Rows that share doc_id and text are one document and get the same result; rows
 that share only doc_id are ordered by a hash of their text. Null ids come first.
-Null texts have no words. Texts under ``WINDOW`` words are never touched. An empty
-table gives an empty result.
+Null texts have no words. Texts under ``WINDOW`` words are never touched; long ones are
+taken whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ payload).
 
 Edge cases: null and empty texts become streams that hold the end id alone; an
 empty table gives an empty codebook and no blocks; ids that never occur get no
-code; a vocabulary of one used id gets one bit.
+code; a vocabulary of one used id gets one bit. Code lengths that pass the limit are
+repaired until the code is whole again; that is not always the shortest code of limited
+length. Long texts are encoded whole; repeated rows are streams of their own. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ of ``KEPT`` + 1 numbers. Sentences end at line ends and after words that end in
 Null and empty texts count as one sentence without known words. Documents with
 several labels take the larger one; labels of unknown documents and null labels are
 ignored. Without labels, or with one class only, every score is the share of
-toxic labels (0 without any). An empty table gives an empty result.
+toxic labels (0 without any). Equal gains are decided by the smaller bucket. Repeated rows
+are scored alike. Long texts are scored whole. An empty table gives an empty result. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
