@@ -37,12 +37,6 @@ def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def top_mean(values: Column, k: int) -> Column:
-    """AG2: mean of the k largest collected values, of fewer if there are fewer."""
-    best = F.slice(F.sort_array(values, asc=False), 1, k)
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
-
-
 def argmax_place(values: Column) -> Column:
     """WN10: 0-based place of the first maximum."""
     return F.array_position(values, F.array_max(values)) - 1

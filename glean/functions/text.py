@@ -103,6 +103,7 @@ PROTECTED_TERMS = (
     "template", "constructor", "destructor", "object", "inheritance", "variable", "int", "float", "double", "char", "bool", "struct",
     "virtual", "namespace", "include", "new",
 )
+#: The patterns of the cleaning rules.
 URL = r"https?://\S+"
 WWW = r"www\.\S+"
 DOMAIN = r"\b[\w.-]+\.(?:com|org|net|io)\b"
