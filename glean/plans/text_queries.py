@@ -202,7 +202,15 @@ def alias_hits(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).where(X.has_alias(F.col("text"), "la")).select("video_id", "turn")
 
 
-@query()
+_SNIPPETS_SQL = (
+    f"WITH RECURSIVE {SEGMENTS_SQL}, cx AS (SELECT video_id, start_sec::double AS start_sec, text, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS s FROM seg WINDOW w AS (PARTITION BY video_id ORDER BY start_sec)), "
+    r"ht AS (SELECT * FROM cx WHERE regexp_matches(text, '(?i)\bla\b')), "
+    "kp(video_id, start_sec, n) AS (SELECT video_id, min(start_sec), 1 FROM ht GROUP BY 1 UNION ALL SELECT kp.video_id, min(ht.start_sec), any_value(n) + 1 FROM kp JOIN ht ON ht.video_id = kp.video_id AND ht.start_sec >= kp.start_sec + 20 WHERE n < 3 GROUP BY kp.video_id) "
+    "SELECT video_id, start_sec, md5(s) AS snippet_md5 FROM kp JOIN ht USING (video_id, start_sec)"
+)
+
+
+@query(_SNIPPETS_SQL)
 def evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
     """TX20, WN6, WN8: at most three hits an item, 20 seconds apart, with their neighbours."""
     found = dataset.snippets(segments(spark, d), "video_id", "start_sec", "text", X.has_alias(F.col("text"), "la"), 20.0, 3)
@@ -255,7 +263,15 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return left.join(right, ["video_id", "chunk_id"]).where("a < b").select("video_id", "chunk_id", "a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query()
+_NEAR_SQL = f"len(list_filter(kept, lambda k: {JACCARD_SQL.format('k', 's')} >= 0.85)) > 0"
+_GREEDY_SQL = (
+    f"{_CHUNK_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, it AS (SELECT video_id, chunk_id, start_sec, turn, {_SET_SQL.format('text')} AS s, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY start_sec, turn) AS i FROM member WHERE trim(text) <> ''), "
+    f"kp(video_id, chunk_id, i, kept, stays) AS (SELECT video_id, chunk_id, i, [s], true FROM it WHERE i = 1 UNION ALL SELECT it.video_id, it.chunk_id, it.i, CASE WHEN {_NEAR_SQL} THEN kept ELSE list_append(kept, s) END, NOT ({_NEAR_SQL}) FROM kp JOIN it ON it.video_id = kp.video_id AND it.chunk_id = kp.chunk_id AND it.i = kp.i + 1) "
+    "SELECT video_id, chunk_id, start_sec::double AS start_sec, turn FROM kp JOIN it USING (video_id, chunk_id, i) WHERE stays"
+)
+
+
+@query(_GREEDY_SQL)
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """MA5, S13: of a chunk's segments in the order of their start, keep a text unless it is 0.85 alike to a kept one; blank texts go."""
     members = temporal.overlap_members(segments(spark, d), CHUNK).where(F.trim("text") != "").withColumn("tokens", X.token_set(F.col("text")))
