@@ -76,24 +76,32 @@ def ocr_clean_v1(spark: SparkSession, d: str) -> DataFrame:
 @F.pandas_udf(T.BooleanType())
 def near_menu_word(words: pd.Series) -> pd.Series:
     """TX14: a menu word, or one of four letters or more that is 0.82 alike to a menu word by the matching-blocks ratio."""
-    long = [w for w in X.UI_TOKENS if len(w) >= 4]
+    known = [difflib.SequenceMatcher(None, "", w) for w in X.UI_TOKENS if len(w) >= 4]  # each keeps what it needs of its menu word
 
     def near(word: str) -> bool:
         if word in X.UI_TOKENS:
             return True
         if not word or len(word) < 4:
             return False
-        # the ratio cannot exceed what the lengths allow
-        some = (w for w in long if 2 * min(len(w), len(word)) >= 0.82 * (len(w) + len(word)))
-        return any(difflib.SequenceMatcher(None, word, w).ratio() >= 0.82 for w in some)
+        for m in known:
+            m.set_seq1(word)
+            # neither lengths nor letters allow more than the quick ratios
+            if m.real_quick_ratio() >= 0.82 and m.quick_ratio() >= 0.82 and m.ratio() >= 0.82:
+                return True
+        return False
 
     return words.map(near)
 
 
 def menu_words(words: DataFrame, column: str) -> DataFrame:
-    """Distinct words of an array column that count as menu words: each word is compared once."""
+    """Distinct words of an array column that count as menu words: each word is compared once.
+
+    The distinct words are written first; else the comparison would move below the distinct, to every occurrence.
+    """
     each = words.select(F.explode(column).alias("w"))
-    return each.select(F.regexp_replace(F.lower("w"), r"[^a-z0-9_]+", "").alias("word")).distinct().where(near_menu_word("word"))
+    once = stored(each.select(F.regexp_replace(F.lower("w"), r"[^a-z0-9_]+", "").alias("word")).distinct(), "words")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once.repartition(parts).where(near_menu_word("word"))
 
 
 def _screen_words(spark: SparkSession, d: str) -> DataFrame:
