@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +17,62 @@ from glean.operators.ranking import exact_quantiles
 
 #: 32-bit numbers that one hash gives.
 DRAWS_PER_HASH = 4
+#: Draws and places of a stratum that meet in one task, and hashes made at once there.
+DRAW_PART, TILE, HASHES = 200, 1 << 20, 1 << 15
 
 
-def bootstrap_sums(values: DataFrame, stratum: str, place: str, metrics: list[str], draws: int, seed: str) -> DataFrame:
+def bootstrap_sums(values: DataFrame, stratum: str, place: str, metrics: list[str], draws: int, seed: str, tile: int = TILE) -> DataFrame:
     """EV13, EV14: (draw, n, one sum for each metric) of stratified resamples that all metrics share.
 
     Every stratum is drawn from as often as it has rows; ``place`` numbers the rows of a
     stratum from 0. A hash of (seed, stratum, draw, block of slots) gives four places. Draws
-    are rows of places, not resampled tables, and however many metrics and methods are
-    compared, a place is drawn and met once.
+    are dealt out in parts, and the values of a stratum are copied to each part, so a drawn
+    place is never a row: a task counts how often a draw meets each of its places and sends
+    on the sums. A stratum of more than ``tile`` rows is cut into tiles; each goes through
+    all places drawn and keeps its own. ``values`` is read twice.
     """
     sizes = values.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAWS_PER_HASH))))
-    digest = F.md5(F.concat_ws("-", F.lit(seed), F.col(stratum).cast("string"), F.col("draw").cast("string"), F.col("_block").cast("string")).cast("binary"))
-    each = F.array(*[F.when(F.col("_block") * DRAWS_PER_HASH + k < F.col("_n"), F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("long") % F.col("_n")).cast("int") for k in range(DRAWS_PER_HASH)])
-    picks = blocks.withColumn("_digest", digest).select(stratum, "draw", F.explode(F.filter(each, lambda x: x.isNotNull())).alias(place))
-    return picks.join(values, [stratum, place]).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in metrics])
+    parts = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_PART)))
+    spread = values.join(sizes, stratum).select(F.col(stratum).cast("string").alias("_stratum"), F.col("_n"), F.col(place).cast("long").alias("_place"), *metrics, F.floor(F.col(place) / tile).cast("long").alias("_tile"), parts.alias("_part"))
+    kinds = {m: "double" if dict(values.dtypes)[m] in ("double", "float") else "long" for m in metrics}
+    schema = ", ".join(["draw int", "n long", *(f"`{m}` {k}" for m, k in kinds.items())])
+    keys = ["_stratum", "_tile", "_part"]  # a number of partitions is kept: these rows are few, but each means much work
+    spread = spread.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    met = spread.groupBy(*keys).applyInArrow(_resampled(metrics, kinds, draws, seed, tile), schema)
+    return met.groupBy("draw").agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in metrics])
+
+
+def _resampled(metrics: list[str], kinds: dict[str, str], draws: int, seed: str, tile: int):
+    """Sums of one part of the draws over one tile of a stratum."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        stratum, at, part = (k.as_py() for k in key)
+        n, low = table.column("_n")[0].as_py(), at * tile
+        order = np.asarray(table.column("_place")) - low
+        of_part = range(part * DRAW_PART, min((part + 1) * DRAW_PART, draws))
+        found = []
+        for m in metrics:
+            whole = np.zeros(min(tile, n - low), np.float64 if kinds[m] == "double" else np.int64)
+            whole[order] = np.asarray(pc.fill_null(table.column(m), 0))
+            if whole.dtype == np.int64 and len(whole) and int(np.abs(whole).max()) * n >= 1 << 63:
+                raise OverflowError(f"sums of {m} may pass 64 bits")
+            found.append(whole)
+        here = np.bincount(order, minlength=len(found[0]) if found else min(tile, n - low))
+        met, sums = np.zeros(len(of_part), np.int64), [np.zeros(len(of_part), x.dtype) for x in found]
+        blocks = (n + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
+        for first in range(0, blocks, HASHES):
+            slots = [b"%d" % k for k in range(first, min(first + HASHES, blocks))]
+            for i, draw in enumerate(of_part):
+                start = f"{seed}-{stratum}-{draw}-".encode()
+                drawn = np.frombuffer(b"".join([md5(start + s, usedforsecurity=False).digest() for s in slots]), ">u4")
+                drawn = drawn[: n - first * DRAWS_PER_HASH].astype(np.int64) % n - low
+                times = np.bincount(drawn[(drawn >= 0) & (drawn < len(here))], minlength=len(here))
+                met[i] += times @ here
+                for total, x in zip(sums, found):
+                    total[i] += times @ x
+        return pa.table({"draw": pa.array(of_part, pa.int32()), "n": met, **dict(zip(metrics, sums))})
+
+    return run
 
 
 def interval(means: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:

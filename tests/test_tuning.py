@@ -114,6 +114,17 @@ def test_bootstrap_draws_are_shared_and_stratified(spark):
         assert (r["n"], r["x"], r["y"]) == (8, sum(picks) + 100, 10 * sum(picks) + 1000)
 
 
+def test_bootstrap_draws_are_no_rows(spark, capsys):
+    """Places drawn stay inside a task, and tiles of a large stratum give the same sums."""
+    df = spark.createDataFrame([(s, i, 3 * i + 1, i / 4) for s, n in (("a", 23), ("b", 4), ("c", 1)) for i in range(n)], "s string, place int, x long, y double").repartition(3)
+    one, some = (sorted(tuple(r) for r in stats.bootstrap_sums(df, "s", "place", ["x", "y"], 450, "seed", tile).collect()) for tile in (1 << 20, 5))
+    assert [r[:3] for r in one] == [r[:3] for r in some] and [r[3] for r in one] == pytest.approx([r[3] for r in some])
+    assert [r[0] for r in one] == list(range(450)) and {r[1] for r in one} == {28}
+    stats.bootstrap_sums(df, "s", "place", ["x"], 450, "seed").explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+    assert "explode(sequence(0, 449" not in optimized and "md5" not in optimized
+
+
 #: True positives, false positives and false negatives of forty videos, ten of each of four subjects in turn, under two settings.
 TUNED = [
     [(4, 0, 2), (4, 1, 1), (2, 2, 0), (4, 1, 0), (4, 1, 2), (2, 0, 4), (8, 2, 1), (9, 1, 0), (2, 0, 8), (1, 0, 3)],
