@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glean.functions.numeric import safe_divide
 
 #: Vectors and queries that meet in one task of an exact search.
 SHARD, BLOCK = 1 << 16, 1 << 11
@@ -30,18 +33,23 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], spread: str | list[
     return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]).drop("_part")
 
 
-#: Parts over which the occurrences of one token are dealt.
-TOKEN_PARTS = 16
+#: Parts over which the occurrences of one token are dealt, elements of a catalog that a task holds, and pairs made at once.
+TOKEN_PARTS, CATALOG, PAIRS = 16, 1_000_000, 500_000
 
 
-def set_overlap(left: DataFrame, keys: list[str], a: str, right: DataFrame, names: list[str], b: str, subject: str) -> DataFrame:
+def set_overlap(left: DataFrame, keys: list[str], a: str, right: DataFrame, names: list[str], b: str, subject: str, most: int = CATALOG) -> DataFrame:
     """JN5, MA4: (keys..., names..., common, n_a, n_b) of every pair of equal ``subject``, zeros included.
 
-    Common elements are counted through an inverted index: elements meet on (subject,
-    element), occurrences of one element dealt over ``TOKEN_PARTS``, and only pairs that
-    share one are counted. The other pairs follow from the set sizes. ``left`` is large,
-    ``right`` a catalog; keys and names are unique and not null, sets hold no element twice.
+    ``left`` is large, ``right`` a catalog; keys and names are unique and not null, sets
+    hold no element twice. Rows of ``left`` stay where they are and meet an inverted index of
+    the catalog; nothing is shuffled. A catalog of more than ``most`` elements in all meets
+    them by joins on (subject, element), occurrences of one element dealt over
+    ``TOKEN_PARTS``; only pairs that share one are counted, the others follow from the sizes.
     """
+    made = [f for n in keys for f in left.schema if f.name == n] + [f for n in names for f in right.schema if f.name == n]
+    if shared := _catalog(right, names, b, subject, most):
+        sizes = [T.StructField("common", T.LongType()), T.StructField("n_a", T.IntegerType()), T.StructField("n_b", T.IntegerType())]
+        return left.select(*keys, subject, a).mapInArrow(_overlaps(shared, keys, a, subject, lambda common, n_a, n_b: {"common": common, "n_a": (n_a + 0 * common).astype(np.int32), "n_b": (n_b + 0 * common).astype(np.int32)}), T.StructType([*made, *sizes]))
     post = left.select(*keys, subject, F.explode(a).alias("_element"))
     met = meet(post, right.select(*names, subject, F.explode(b).alias("_element")), [subject, "_element"], keys, TOKEN_PARTS)
     counted = met.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("common"))
@@ -49,6 +57,92 @@ def set_overlap(left: DataFrame, keys: list[str], a: str, right: DataFrame, name
     return pairs.join(counted, [*keys, *names], "left").select(*keys, *names, F.coalesce("common", F.lit(0)).alias("common"), "n_a", "n_b")
 
 
+def overlap_scores(left: DataFrame, keys: list[str], a: str, right: DataFrame, names: list[str], b: str, subject: str, normed: bool = False, most: int = CATALOG) -> DataFrame:
+    """(keys..., names..., lda_score, lsa_score): Jaccard similarity and share of the catalog's set, of the pairs of ``set_overlap``.
+
+    With ``normed`` they are lda_norm and lsa_norm instead, min-max over each row of ``left``:
+    its pairs are made together, so no window has to gather them.
+    """
+    out = [f"{c}_{'norm' if normed else 'score'}" for c in ("lda", "lsa")]
+    if shared := _catalog(right, names, b, subject, most):
+        made = [f for n in keys for f in left.schema if f.name == n] + [f for n in names for f in right.schema if f.name == n]
+
+        def scored(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> dict[str, np.ndarray]:
+            union = n_a + n_b - common
+            alike = np.divide(common, union, out=np.zeros(common.shape), where=(n_a > 0) & (n_b > 0))
+            share = np.divide(common, n_b + 0 * common, out=np.zeros(common.shape), where=n_b > 0)
+            if normed:
+                alike, share = _minmax_rows(alike), _minmax_rows(share)
+            return dict(zip(out, (alike, share)))
+
+        return left.select(*keys, subject, a).mapInArrow(_overlaps(shared, keys, a, subject, scored), T.StructType([*made, *(T.StructField(c, T.DoubleType()) for c in out)]))
+    met = set_overlap(left, keys, a, right, names, b, subject, most)
+    union = F.col("n_a") + F.col("n_b") - F.col("common")
+    alike = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise(F.col("common") / union)
+    found = [alike, safe_divide(F.col("common"), F.col("n_b"))]
+    met = met.select(*keys, *names, *[c.alias(n) for n, c in zip(out, found)])
+    return met.select(*keys, *names, *[minmax(F.col(c), keys).alias(c) for c in out]) if normed else met
+
+
+def _minmax_rows(x: np.ndarray) -> np.ndarray:
+    low, high = x.min(1, keepdims=True), x.max(1, keepdims=True)
+    return np.divide(x - low, high - low, out=np.zeros(x.shape), where=high > low)
+
+
+def _catalog(right: DataFrame, names: list[str], b: str, subject: str, most: int):
+    """A catalog as an inverted index for each subject, broadcast; nothing if it has more than ``most`` elements or rows."""
+    told = right.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(b)), F.lit(0)).alias("elements")).first()
+    if max(told["rows"], told["elements"]) > most:
+        return None
+    rows = right.where(F.col(subject).isNotNull()).select(*names, subject, b).toArrow()  # at most ``most`` elements
+    lists = rows.column(b).combine_chunks()
+    words = pc.unique(lists.flatten())
+    element = np.asarray(pc.index_in(lists.flatten(), value_set=words)) if len(words) else np.zeros(0, int)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row, subjects = np.repeat(np.arange(len(sizes)), sizes), pc.unique(rows.column(subject))
+    of, posts = np.asarray(pc.index_in(rows.column(subject), value_set=subjects)), []
+    for k in range(len(subjects)):
+        mine = np.flatnonzero(of == k)
+        place = np.full(len(sizes), -1)
+        place[mine] = np.arange(len(mine))
+        on = np.flatnonzero(place[row] >= 0)
+        on = on[np.argsort(element[on], kind="stable")]
+        posts.append((mine, sizes[mine].astype(np.int64), np.searchsorted(element[on], np.arange(len(words) + 1)), place[row[on]]))
+    return right.sparkSession.sparkContext.broadcast((rows.select(names).combine_chunks(), words, subjects, posts))
+
+
+def _overlaps(shared, keys: list[str], a: str, subject: str, figures):
+    """Every row with every catalog row of its subject; ``figures(common, n_a, n_b)`` gives the columns, from rows x catalog rows."""
+
+    def run(batches):
+        named, words, subjects, posts = shared.value
+        for batch in batches:
+            lists = batch.column(a)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = pc.index_in(lists.flatten(), value_set=words)
+            on = np.asarray(known.is_valid())
+            row, element = np.repeat(np.arange(len(size)), size)[on], np.asarray(known.drop_null(), np.int64)
+            of = pc.fill_null(pc.index_in(batch.column(subject).cast(subjects.type), value_set=subjects), -1).to_numpy(zero_copy_only=False)
+            for k, (mine, n_b, start, place) in enumerate(posts):
+                every = np.flatnonzero(of == k)
+                step = max(1, PAIRS // len(mine))
+                for low in range(0, len(every), step):
+                    some = every[low : low + step]
+                    at = np.full(len(size), -1)
+                    at[some] = np.arange(len(some))
+                    here = np.flatnonzero(at[row] >= 0)
+                    r, e = at[row[here]], element[here]
+                    times = start[e + 1] - start[e]
+                    to = place[np.repeat(start[e] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                    common = np.bincount(np.repeat(r, times) * len(mine) + to, minlength=len(some) * len(mine)).reshape(len(some), len(mine))
+                    left, right = pa.array(np.repeat(some, len(mine))), pa.array(np.tile(mine, len(some)))
+                    columns = [batch.column(c).take(left) for c in keys] + [named.column(c).combine_chunks().take(right) for c in named.column_names]
+                    told = figures(common, size[some][:, None], n_b[None, :])
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.ravel()) for x in told.values())], [*keys, *named.column_names, *told])
+
+    return run
+
+
 def join_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN2, JN12, SE5: one row of counts: keys, duplicates, one-sided keys.
 

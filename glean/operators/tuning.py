@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glean.functions.numeric import rounded
 from glean.operators.evaluate import confusion, with_rates
-from glean.operators.evidence import AGGREGATIONS, top_sums
+from glean.operators.evidence import AGGREGATIONS
 from glean.operators.ranking import ranked_within
 
 
@@ -59,17 +61,125 @@ def video_scores(scores: DataFrame, by: list[str], video: str, concept: str, alp
     """EV22: (by..., video, concept, alpha, aggregation, score) in units: every fusion weight and aggregation of a long table of chunk scores.
 
     Chunk scores are rounded to four places before they are aggregated, and so are video
-    scores, by ``mode``. Sums, counts and maxima are formed before the shuffle; of the largest scores
-    at most three a group and task are shuffled.
+    scores, by ``mode``. The scores are shuffled once, whatever the number of weights.
     """
-    keys = [*by, video, concept, "alpha"]
-    fused = scores.withColumn("alpha", F.explode(F.array(*[F.lit(float(x)) for x in alphas])))
-    value = F.round(F.col("alpha") * F.col(a) + (1 - F.col("alpha")) * F.col(b), 9)
-    fused = fused.select(*keys, rounded(value * UNIT, 0, mode).cast("long").alias("score"))
-    plain = fused.groupBy(*keys).agg(F.max("score").alias("max"), F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
-    tops = top_sums(fused, keys, "score", (2, 3))
-    wide = plain.join(tops, keys).select(*keys, "max", whole_mean(F.col("sum"), F.col("n"), mode).alias("mean"), whole_mean(F.col("sum2"), F.col("n2"), mode).alias("top2_mean"), whole_mean(F.col("sum3"), F.col("n3"), mode).alias("top3_mean"))
-    return wide.unpivot(keys, ["max", "mean", "top2_mean", "top3_mean"], "aggregation", "score")
+    keys = [*by, video, concept]
+    dealt = _grouped(scores, [*by, video], keys, [a, b])
+
+    def run(batches):
+        for first, found in _settings(batches, keys, a, b, alphas, mode):
+            at = np.repeat(np.arange(len(found)), len(alphas) * len(AGGREGATIONS))
+            yield pa.RecordBatch.from_arrays([*(first.column(c).take(pa.array(at)) for c in keys), *_setting_columns(len(found), alphas), pa.array(found.ravel())], [*keys, "alpha", "aggregation", "score"])
+
+    return dealt.mapInArrow(run, T.StructType([*dealt.select(*keys).schema, *_SETTING, T.StructField("score", T.LongType())]))
+
+
+def setting_counts(scores: DataFrame, by: list[str], video: str, concept: str, truth: str, alphas: list[float], thresholds: list[float], a: str = "lda_norm", b: str = "lsa_norm", mode: str = "half_up") -> DataFrame:
+    """EV22: (by..., video, alpha, aggregation, threshold, tp, fp, fn, tn): ``video_scores`` against the truth at every threshold.
+
+    ``scores``: chunk scores, each with the truth of its video and concept; ``by`` may name
+    what is the same for a whole video. Rows are shuffled once and stream past in the order of
+    (by..., video, concept); a task holds the chunks of one concept and histograms of one
+    batch's videos, so weights, aggregations and thresholds multiply no rows before the counts.
+    """
+    keys, cuts = [*by, video], np.array([round(t * UNIT) for t in sorted(thresholds)])
+    dealt, steps = _grouped(scores, keys, [*keys, concept], [truth, a, b]), len(cuts) + 1
+    settings = len(alphas) * len(AGGREGATIONS)
+
+    def told(videos: pa.RecordBatch, hist: np.ndarray) -> pa.RecordBatch:
+        least = hist[..., ::-1].cumsum(-1)[..., ::-1]  # video, truth, setting, scores of this step or more
+        (fp, tp), (neg, pos) = (np.moveaxis(x, 1, 0) for x in (least[..., 1:], least[..., :1]))
+        n = len(hist)
+        at, levels = np.repeat(np.arange(n), settings * len(cuts)), np.tile(np.array(sorted(thresholds), float), n * settings)
+        setting = [x.take(pa.array(np.repeat(np.arange(n * settings), len(cuts)))) for x in _setting_columns(n, alphas)]
+        counts = [pa.array(x.ravel()) for x in (tp, fp, pos - tp, neg - fp)]
+        return pa.RecordBatch.from_arrays([*(videos.column(c).take(pa.array(at)) for c in keys), *setting, pa.array(levels), *counts], [*keys, "alpha", "aggregation", "threshold", "tp", "fp", "fn", "tn"])
+
+    def run(batches):
+        kept = None  # the last video, which may go on
+        for first, found in _settings(batches, [*keys, concept], a, b, alphas, mode):
+            new = _starts(first, keys)
+            of, n = np.cumsum(new) - 1, int(new.sum())
+            hit = (pc.fill_null(first.column(truth), 0).to_numpy(zero_copy_only=False) == 1).astype(int)
+            step = np.searchsorted(cuts, found, side="right")
+            cell = ((of * 2 + hit)[:, None] * settings + np.arange(settings)) * steps + step
+            hist = np.bincount(cell.ravel(), minlength=n * 2 * settings * steps).reshape(n, 2, settings, steps)
+            videos = first.select(keys).take(pa.array(np.flatnonzero(new)))
+            if kept and all(kept[0].column(c)[0] == videos.column(c)[0] for c in keys):
+                hist[0] += kept[1][0]
+            elif kept:
+                yield told(*kept)
+            if n > 1:
+                yield told(videos.slice(0, n - 1), hist[:-1])
+            kept = videos.slice(n - 1), hist[-1:]
+        if kept:
+            yield told(*kept)
+
+    return dealt.mapInArrow(run, T.StructType([*dealt.select(*keys).schema, *_SETTING, T.StructField("threshold", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn", "tn"))]))
+
+
+_SETTING = [T.StructField("alpha", T.DoubleType()), T.StructField("aggregation", T.StringType())]
+
+
+def _setting_columns(n: int, alphas: list[float]) -> list[pa.Array]:
+    """Weight and aggregation of every setting, n times."""
+    every = pa.array(np.tile(np.repeat(np.array(alphas, float), len(AGGREGATIONS)), n))
+    return [every, pa.array(AGGREGATIONS).take(pa.array(np.tile(np.arange(len(AGGREGATIONS)), n * len(alphas))))]
+
+
+def _grouped(scores: DataFrame, deal: list[str], order: list[str], more: list[str]) -> DataFrame:
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scores.select(*order, *more).repartition(parts, *deal).sortWithinPartitions(*order)
+
+
+def _starts(rows: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a row differs from the last one in any of the keys; the first does."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in keys:
+        code = pc.fill_null(pc.index_in(rows.column(c), value_set=pc.unique(rows.column(c))), -1).to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def _settings(batches, keys: list[str], a: str, b: str, alphas: list[float], mode: str):
+    """(first rows, scores) of the groups of equal keys, which follow each other; scores: groups x settings."""
+    rest = None  # the last group, which may go on
+
+    def found(rows: pa.Table, start: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        x, y = (rows.column(c).to_numpy() for c in (a, b))
+        n, group = np.diff(np.r_[start, len(rows)]), np.cumsum(np.isin(np.arange(len(rows)), start)) - 1
+        out = np.empty((len(start), len(alphas), len(AGGREGATIONS)), np.int64)
+        for i, alpha in enumerate(alphas):
+            units = _whole(np.floor((alpha * x + (1 - alpha) * y) * 1e9 + 0.5) / 1e9 * UNIT, mode)
+            units = units[np.lexsort((-units, group))]
+            best = [np.where(n > k, units[np.minimum(start + k, len(units) - 1)], 0) for k in range(3)]
+            out[:, i, 0] = best[0]
+            for j, (total, of) in enumerate(((np.add.reduceat(units, start), n), (best[0] + best[1], np.minimum(n, 2)), (sum(best), np.minimum(n, 3)))):
+                down = total // of
+                twice = 2 * (total - down * of)
+                out[:, i, j + 1] = down + ((twice > of) | ((twice == of) & ((down % 2 == 1) | (mode != "half_even"))))
+        return rows.take(pa.array(start)).combine_chunks().to_batches()[0], out.reshape(len(start), -1)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rows = rows.combine_chunks()
+        if not len(rows):
+            continue
+        start = np.flatnonzero(_starts(rows, keys))
+        rest = rows.slice(start[-1])
+        if len(start) > 1:
+            yield found(rows.slice(0, start[-1]), start[:-1])
+    if rest is not None and len(rest):
+        yield found(rest, np.array([0]))
+
+
+def _whole(x: np.ndarray, mode: str) -> np.ndarray:
+    """PRJ10 of an array."""
+    if mode not in ("half_up", "half_even"):
+        raise ValueError(f"unknown rounding {mode!r}")
+    down = np.floor(x)
+    return (np.rint(x) if mode == "half_even" else down + (x - down >= 0.5)).astype(np.int64)
 
 
 def threshold_counts(scored: DataFrame, by: list[str], truth: str, thresholds: list[float]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.functions import text as X
-from glean.functions.numeric import safe_divide
 from glean.operators import scoring, temporal
 from glean.plans.config import PILOT
 from glean.plans.registry import query
@@ -87,18 +86,10 @@ def concepts(spark: SparkSession, d: str, mode: str = "name+description") -> Dat
     return table(spark, d, "benchmark").select(F.col("item_id").alias("concept"), (F.col("item_id") % 4).alias("subject"), found.alias("b"))
 
 
-def overlap_scores(chunks: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., concept, lda_score, lsa_score): Jaccard similarity and share of the concept's tokens; ``chunks`` has keys, subject and tokens ``a``."""
-    met = scoring.set_overlap(chunks, keys, "a", catalog, ["concept"], "b", "subject")
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    alike = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise(F.col("common") / union)
-    return met.select(*keys, "concept", alike.alias("lda_score"), safe_divide(F.col("common"), F.col("n_b")).alias("lsa_score"))
-
-
 def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """JN5: chunks meet the concepts of their own subject only, through their common tokens."""
     chunks = _chunks(spark, d).select("video_id", "chunk_id", F.array_distinct(F.split("processed_text", " ")).alias("a"), (F.col("video_id") % 4).alias("subject"))
-    return overlap_scores(chunks, concepts(spark, d), ["video_id", "chunk_id"])
+    return scoring.overlap_scores(chunks, ["video_id", "chunk_id"], "a", concepts(spark, d), ["concept"], "b", "subject")
 
 
 def ranked_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -46,6 +46,41 @@ def test_set_overlap_keeps_pairs_without_common_elements(spark):
     assert got == [(1, 7, 1, 2, 2), (1, 8, 2, 2, 2), (2, 7, 0, 0, 2), (2, 8, 0, 0, 2)]
 
 
+def test_overlap_meets_a_catalog_where_the_rows_are(spark, capsys):
+    """Nothing is shuffled for a catalog; one beyond the bound gives the same pairs and scores by joins."""
+    rng = np.random.default_rng(8)
+    sets = lambda n, low: [(k, None if k == 3 else int(k % 3), [f"e{x}" for x in sorted(set(rng.integers(0, 30, rng.integers(low, 12)).tolist()))]) for k in range(n)]
+    left = spark.createDataFrame(sets(40, 0), "k long, s int, a array<string>").repartition(3)
+    right = spark.createDataFrame(sets(11, 0), "n int, s long, b array<string>")
+    for normed in (False, True):
+        one, other = (sorted(tuple(r) for r in scoring.overlap_scores(left, ["k"], "a", right, ["n"], "b", "s", normed, most).collect()) for most in (1000, 3))
+        assert len(one) > 100 and one == other
+    one, other = (sorted(tuple(r) for r in scoring.set_overlap(left, ["k"], "a", right, ["n"], "b", "s", most).collect()) for most in (1000, 3))
+    assert one == other
+    scoring.overlap_scores(left.coalesce(1), ["k"], "a", right, ["n"], "b", "s", True).explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_counts_of_settings_equal_those_of_scores(spark, capsys, batch):
+    """Groups and videos that go on in the next batch are whole, and no weight is a row before the counts."""
+    rows, truth, _ = searched(np.random.default_rng(5))
+    scores = spark.createDataFrame([(*r, truth[r[0], r[1]]) for r in rows], "video int, concept int, chunk int, lda_norm double, lsa_norm double, y_true int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        alphas, thresholds = [0.0, 0.3, 1.0], [0.2, 0.5, 0.95]
+        got = tuning.setting_counts(scores, [], "video", "concept", "y_true", alphas, thresholds)
+        scored = tuning.video_scores(scores, [], "video", "concept", alphas).join(scores.select("video", "concept", "y_true").distinct(), ["video", "concept"])
+        want = tuning.threshold_counts(scored, ["video", "alpha", "aggregation"], "y_true", thresholds)
+        assert got.columns == want.columns and len(rows) > 100
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+        got.explain()
+        assert "Generate" not in capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def searched(rng):
     """Chunk scores of twelve videos, truth and folds."""
     rows = [(v, k, c, float(rng.choice([0, 0.25, 0.3333, 0.7, 1])), float(rng.random())) for v in range(12) for k in range(4) for c in range(3 + v % 3)]
