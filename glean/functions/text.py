@@ -141,8 +141,8 @@ def tokens(c: Column) -> Column:
 
 def content_tokens(c: Column, stop_words: Iterable[str]) -> Column:
     """TX2: drop stop words and single characters."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    stop = sorted(set(stop_words))
+    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(stop))
 
 
 def preprocess(c: Column, stop_words: Iterable[str]) -> Column:
@@ -225,7 +225,7 @@ def replace_counting(df: DataFrame, column: str, counter: str, rules: Iterable[t
     """
     df = df.withColumn(counter, F.lit(0))
     for pattern, to in rules:
-        df = df.select(*[c for c in df.columns if c not in (column, counter)], (F.col(counter) + F.regexp_count(column, F.lit(pattern))).alias(counter), F.regexp_replace(column, pattern, to).alias(column))
+        df = df.select(*[c for c in df.columns if c not in (column, counter)], (F.col(counter) + F.regexp_count(column, F.lit(pattern))).alias(counter), F.when(F.regexp_count(column, F.lit(pattern)) > 0, F.regexp_replace(column, pattern, to)).otherwise(F.col(column)).alias(column))
     return df
 
 
@@ -288,8 +288,9 @@ def token_set(c: Column) -> Column:
 def ngrams(words: Column, least: int = 2) -> Column:
     """TX26: words of at least two characters and their neighbouring pairs."""
     kept = F.filter(words, lambda w: F.length(w) >= least)
-    pairs = F.zip_with(kept, F.slice(kept, F.lit(2), F.greatest(F.size(kept), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    return F.concat(kept, F.filter(pairs, lambda p: p.isNotNull()))
+    rest = lambda k: F.greatest(F.size(k) - 1, F.lit(0))
+    both = lambda k: F.concat(k, F.zip_with(F.slice(k, F.lit(1), rest(k)), F.slice(k, F.lit(2), rest(k)), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.transform(F.array(kept), both)[0]  # bound to a name, so that the words are made once
 
 
 def contexts(text: Column, patterns: dict[str, list[str]], least: int = 2) -> Column:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,15 +77,15 @@ def ocr_clean_v1(spark: SparkSession, d: str) -> DataFrame:
     return screens(spark, d).select("page_id", X.clean_screen_v1(F.col("screen")).alias("cleaned"))
 
 
-@F.pandas_udf(T.BooleanType())
-def near_menu_word(words: pd.Series) -> pd.Series:
-    """TX14: a menu word, or one of four letters or more that is 0.82 alike to a menu word by the matching-blocks ratio."""
+def _nearness():
+    """TX14: a test for a menu word, or a word of four letters or more that is 0.82 alike to a menu word by the matching-blocks ratio."""
     known = [difflib.SequenceMatcher(None, "", w) for w in X.UI_TOKENS if len(w) >= 4]  # each keeps what it needs of its menu word
+    longest = max(len(m.b) for m in known)
 
     def near(word: str) -> bool:
         if word in X.UI_TOKENS:
             return True
-        if not word or len(word) < 4:
+        if not word or len(word) < 4 or 2 * longest < 0.82 * (len(word) + longest):
             return False
         for m in known:
             m.set_seq1(word)
@@ -90,7 +94,12 @@ def near_menu_word(words: pd.Series) -> pd.Series:
                 return True
         return False
 
-    return words.map(near)
+    return near
+
+
+@F.pandas_udf(T.BooleanType())
+def near_menu_word(words: pd.Series) -> pd.Series:
+    return words.map(_nearness())
 
 
 def menu_words(words: DataFrame, column: str) -> DataFrame:
@@ -114,39 +123,64 @@ def fuzzy_ui_tokens(spark: SparkSession, d: str) -> DataFrame:
     return menu_words(_screen_words(spark, d), "words")
 
 
-def flagged_words(words: DataFrame, key: str) -> DataFrame:
-    """Words with a flag for each: (key, words, flags), from unique keys with their ``words``.
+#: Words whose nearness a task remembers; menus are searched in windows of so many words, with so many menu words.
+REMEMBERED, WINDOW, LEAST = 1 << 18, 8, 4
 
-    Words are exploded with their places, looked up, and gathered again, so the
-    list of menu words may grow with the corpus.
-    """
-    each = words.select(key, F.posexplode("words").alias("at", "w")).withColumn("word", F.regexp_replace("w", r"[^a-z0-9_]+", ""))
-    known = menu_words(words, "words").withColumn("flag", F.lit(True))
-    found = each.join(known, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "w", F.coalesce("flag", F.lit(False)).alias("flag")))).alias("x"))
-    return found.select(key, F.col("x.w").alias("words"), F.col("x.flag").alias("flags"))
 
+def without_menus(df: DataFrame, words: str, counter: str, left: str) -> DataFrame:
+    """TX15: ``df`` with the words that stay, joined by spaces, instead of ``words`` (lower case), and how many went.
 
-def drop_menus(df: DataFrame, key: str, text: str, counter: str) -> DataFrame:
+    ``X.menu_cluster`` for many rows at once: a batch's distinct words are judged once, and windows
+    are differences of running sums. Rows stay where they are; nothing is shuffled or joined.
+    """
+    rest = [c for c in df.columns if c not in (words, counter, left)]
+    anchors, guarded = set(X.UI_ANCHORS), set(X.PROTECTED_TERMS)
+
+    def run(batches):
+        near, judged, foreign = _nearness(), {}, re.compile("[^a-z0-9_]+")
+
+        def judge(word: str) -> tuple[bool, bool, bool]:
+            bare = foreign.sub("", word)
+            return near(bare), bare in anchors, bare in guarded
+
+        for batch in batches:
+            lists = batch.column(words)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            if len(judged) > REMEMBERED:
+                judged.clear()
+            for w in (distinct := coded.dictionary.to_pylist()):
+                if w not in judged:
+                    judged[w] = judge(w)
+            of = np.array([judged[w] for w in distinct], bool).reshape(-1, 3)[np.asarray(coded.indices)]
+            upto = np.vstack([np.zeros((1, 3), int), of.cumsum(0)])
+            end, at = np.repeat(size.cumsum(), size), np.arange(len(of))
+            count = upto[np.minimum(at + WINDOW, end)] - upto[at]
+            menus = np.r_[0, ((count[:, 0] >= LEAST) & (count[:, 1] > 0) & (count[:, 2] == 0)).cumsum()]
+            gone = of[:, 0] & (menus[at + 1] > menus[np.maximum(at - WINDOW + 1, end - np.repeat(size, size))])
+            removed = np.bincount(np.repeat(np.arange(len(size)), size)[gone], minlength=len(size))
+            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, (size - removed).cumsum()], pa.int32()), lists.flatten().filter(pa.array(~gone)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pc.binary_join(kept, " "), pa.array(removed, pa.int32())], [*rest, left, counter])
+
+    return df.select(*rest, words).mapInArrow(run, T.StructType([*df.select(*rest).schema, T.StructField(left, T.StringType()), T.StructField(counter, T.IntegerType())]))
+
+
+def drop_menus(df: DataFrame, text: str, counter: str) -> DataFrame:
     """TX15 on a text column: the menu words of menu clusters go, and ``counter`` tells how many."""
-    words = df.select(key, X.tokens(F.col(text)).alias("words"))
-    found = flagged_words(words, key).withColumn("_places", X.menu_cluster(F.col("words"), F.col("flags")))
-    found = found.select(F.col(key).alias("_key"), F.size("_places").alias(counter), F.array_join(X.without_places(F.col("words"), F.col("_places")), " ").alias("_left"))
-    rest = [c for c in df.columns if c not in (text, counter)]
-    return df.join(found, F.col(key) == F.col("_key"), "left").select(*rest, F.coalesce("_left", F.lit("")).alias(text), F.coalesce(counter, F.lit(0)).alias(counter))
+    return without_menus(df.withColumn("_words", X.tokens(F.col(text))), "_words", counter, text).select(*[c for c in df.columns if c not in (text, counter)], text, counter)
 
 
 @query()
 def menu_cluster(spark: SparkSession, d: str) -> DataFrame:
     """TX15."""
-    found = flagged_words(_screen_words(spark, d), "page_id").withColumn("places", X.menu_cluster(F.col("words"), F.col("flags")))
-    return found.select("page_id", F.size("places").alias("removed"), F.array_join(X.without_places(F.col("words"), F.col("places")), " ").alias("kept"))
+    return without_menus(_screen_words(spark, d), "words", "removed", "kept").select("page_id", "removed", "kept")
 
 
 def clean_screen_v2(df: DataFrame, key: str, text: str) -> DataFrame:
     """TX11-TX15: ``df`` with ``cleaned`` and a count of each kind of removal; ``key`` is unique and not null."""
     made = X.correct(df.withColumn("t", F.lower(X.text_or_empty(F.col(text)))), "t", "ocr_corrections")
     made = X.drop_phrases(made.withColumn("t", X.strip_links(F.col("t"))), "t", "ui_phrase_removals")
-    made = drop_menus(stored(made, "screens"), key, "t", "ui_cluster_tokens_removed")
+    made = drop_menus(made, "t", "ui_cluster_tokens_removed")
     made = made.withColumn("t", F.regexp_replace("t", X.CODE_CHARSET, " "))
     made = made.withColumn("long_numbers_removed", F.regexp_count("t", F.lit(X.LONG_NUMBER)))
     return made.withColumn("cleaned", X.finish(F.regexp_replace("t", X.LONG_NUMBER, " "))).drop("t")
@@ -197,8 +231,10 @@ def term_presence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, term FROM (SELECT doc_id, text, array_to_string({TOKENS_SQL.format('text')}, ' ') AS k FROM documents), {_TERM_ROWS_SQL} WHERE {_HAS_SQL.format('text')} AND NOT {_HAS_SQL.format('k')}")
 def term_loss(spark: SparkSession, d: str) -> DataFrame:
     """TX18: terms that the raw text has and the processed text lacks."""
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("raw"), X.preprocess(F.col("text"), STOP_WORDS).alias("clean"), F.explode(F.array(*[F.lit(x) for x in TERMS])).alias("term"))
-    return docs.where(X.has_term(F.col("raw"), F.col("term")) & ~X.has_term(F.col("clean"), F.col("term"))).select("doc_id", "term")
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("raw"), X.preprocess(F.col("text"), STOP_WORDS).alias("clean"))
+    # each text is cleaned once: exploded terms would each clean it again, and so would the filter that is inferred from explode
+    lost = [F.when(X.has_term(F.col("raw"), F.lit(t)) & ~X.has_term(F.col("clean"), F.lit(t)), F.lit(t)) for t in TERMS]
+    return docs.select("doc_id", F.array_compact(F.array(*lost)).alias("terms")).select("doc_id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
 
 
 _ALIAS_SQL = r"regexp_matches(text, '(?i)(^|\W)la(\W|$)')"
@@ -294,8 +330,8 @@ def ngrams(spark: SparkSession, d: str) -> DataFrame:
     """TX26."""
     plain = X.squeeze(F.regexp_replace(F.lower(X.text_or_empty(F.col("text"))), r"[^a-z0-9\s]", " "))
     made = table(spark, d, "documents").select("doc_id", X.ngrams(X.tokens(plain)).alias("g"))
-    pairs = F.filter("g", lambda x: x.contains(" "))
-    return made.select("doc_id", (F.size("g") - F.size(pairs)).alias("n_words"), F.size(pairs).alias("n_pairs"), F.get(pairs, F.lit(0)).alias("first_pair"))
+    made = made.withColumn("pairs", F.filter("g", lambda x: x.contains(" ")))
+    return made.select("doc_id", (F.size("g") - F.size("pairs")).alias("n_words"), F.size("pairs").alias("n_pairs"), F.get("pairs", F.lit(0)).alias("first_pair"))
 
 
 @query("SELECT n_nationkey AS id, lower(trim(' ' || n_name || ' ')) AS key_text, CASE WHEN n_nationkey % 4 = 0 THEN 'c++' WHEN n_nationkey % 4 = 1 THEN 'c++' ELSE 'sql' END AS subject, 'v' || n_nationkey AS video_id, n_nationkey::int AS video_no FROM nation")

@@ -244,3 +244,38 @@ def test_exact_vector_search_in_blocks(spark, monkeypatch):
             want += [(rows[q][0], n, -s + 0.0, r) for r, (s, n) in enumerate(sorted(scores)[:5], 1)]
         assert [tuple(r) for r in got] == want
     assert scoring.cosine_nearest(df.limit(0), df, 5).isEmpty() and scoring.cosine_nearest(df, df.limit(0), 5).isEmpty()
+
+
+def test_menus_of_many_rows_equal_those_of_each(spark, capsys):
+    """Rows of any length in one batch against the expression on one row; no shuffle, no join."""
+    import random
+
+    from glean.plans import text_queries
+
+    made = random.Random(3)
+    pool = [*X.UI_TOKENS, "filee", "vieew", "select", "table", "xx", "12", "(file)", "windowsx", "a-b"]
+    rows = [(k, [made.choice(pool[: made.choice([8, 28, 38])]) for _ in range(made.choice([0, 1, 3, 7, 8, 9, 30]))]) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, words array<string>").coalesce(1)
+    near = text_queries._nearness()
+    flags = spark.createDataFrame([(k, [near("".join(c for c in w if c.isalnum() or c == "_")) for w in ws]) for k, ws in rows if ws is not None], "k int, flags array<boolean>")
+    want = df.join(flags, "k").withColumn("p", X.menu_cluster(F.col("words"), F.col("flags"))).select("k", F.array_join(X.without_places(F.col("words"), F.col("p")), " ").alias("kept"), F.size("p").alias("n"))
+    found = text_queries.without_menus(df, "words", "n", "kept")
+    got, want = ({r["k"]: (r["kept"], r["n"]) for r in x.collect()} for x in (found, want))
+    assert got == want | {99: ("", 0)} and sum(n for _, n in got.values()) > 50
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_texts_are_cleaned_once(spark, capsys):
+    """Lost terms are exploded above the cleaning; the words of pairs are made once; rules without a match leave a text."""
+    from glean.plans import text_queries
+
+    text_queries.term_loss(spark, "/root/testdata/sf0.001").explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("http") == 1 and plan.index("Generate") < plan.index("http")
+    text_queries.ngrams(spark, "/root/testdata/sf0.001").explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("[^a-z0-9") == 1
+    words = lambda *ws: value(spark, X.ngrams(F.array(*[F.lit(w) for w in ws])))
+    assert words("ab", "c", "de", "fg") == ["ab", "de", "fg", "ab de", "de fg"] and words("ab") == ["ab"] and words("a") == []
