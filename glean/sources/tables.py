@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_by_size(df: DataFrame, mb: int) -> int:
+    """Partitions that hold about ``mb`` MB of the files read each, so that a task's memory does not grow with the tables; at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, **options) -> DataFrame:
     """SRC1, SRC4: CSV with a header and a given schema; globs and lists are one table."""
     return spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE", **options).schema(schema).csv(path)
