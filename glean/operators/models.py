@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glean.functions.numeric import clip01, safe_divide
+from glean.sources.scratch import stored
+from glean.sources.tables import parts_by_size
+
+#: MB of the documents' file whose terms one task counts and weights.
+PART_MB = 32
 
 
 def vocabulary(docs: DataFrame, terms: str, size: int, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
@@ -33,13 +38,15 @@ def vocabulary(docs: DataFrame, terms: str, size: int, min_df: int = 1, max_df:
 def tfidf(docs: DataFrame, key: str, terms: str, chosen: DataFrame | None = None) -> DataFrame:
     """ML7: (key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each document of length 1.
 
-    Without ``chosen`` all terms count. Document frequencies come from the counts
-    per document, so the token table is read once.
+    Without ``chosen`` all terms count. Term lists are dealt out by key, so counts, weights and
+    lengths of a document follow in the same task. Document frequencies are written; while the
+    vocabulary is below Spark's broadcast threshold they meet the counts where those are.
     """
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = docs.select(key, terms).repartition(parts_by_size(docs, PART_MB), key)
+    tf = dealt.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     if chosen is not None:
         tf = tf.join(chosen.select("term"), "term")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     n = docs.agg(F.count_distinct(key).alias("n"))
     weighted = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))

@@ -279,3 +279,16 @@ def test_texts_are_cleaned_once(spark, capsys):
     assert plan.count("[^a-z0-9") == 1
     words = lambda *ws: value(spark, X.ngrams(F.array(*[F.lit(w) for w in ws])))
     assert words("ab", "c", "de", "fg") == ["ab", "de", "fg", "ab de", "de fg"] and words("ab") == ["ab"] and words("a") == []
+
+
+def test_scores_are_dealt_once_in_parts_of_the_file(spark, capsys):
+    from glean.plans import model_queries, score_queries
+    from glean.sources.tables import parts_by_size, table
+
+    lines = table(spark, "/root/testdata/sf0.01", "lineitem")
+    assert parts_by_size(lines, 8) == 4 and parts_by_size(lines.unionAll(lines).unionAll(lines).unionAll(lines).unionAll(lines), 1) == 5
+    for name, most in (("audit_ledger", 2), ("score_join_audit", 3)):  # the last one gathers the totals
+        getattr(score_queries, name)(spark, "/root/testdata/sf0.001").explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") <= most - 1, name
+    model_queries.tfidf_weights(spark, "/root/testdata/sf0.001").explain()
+    assert "Exchange hashpartitioning(term" not in capsys.readouterr().out
