@@ -7,9 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import LDA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,43 +52,73 @@ def tfidf(docs: DataFrame, key: str, terms: str, chosen: DataFrame | None = None
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
-def count_vectors(docs: DataFrame, terms: str, words: list[str], out: str = "features") -> DataFrame:
-    model = CountVectorizerModel.from_vocabulary(words, inputCol=terms, outputCol=out)
-    return model.transform(docs)
+#: The schedule of the online updates, the mean change at which a document's topics stand, words of documents inferred together.
+DELAY, DECAY, CLOSE, CELLS = 1024, 0.51, 1e-3, 1 << 16
+#: Keeps a quotient finite.
+TINY = 1e-100
 
 
 @dataclass
 class TopicModel:
     """ML2-ML6: topics with the affinity of each to each concept."""
 
-    model: LDAModel
     words: list[str]
+    weights: np.ndarray  # topics x words
+    prior: np.ndarray  # of each topic in a document
 
     @classmethod
     def fit(cls, docs: DataFrame, terms: str, words: list[str], topics: int = 6, iterations: int = 50, seed: int = 42) -> TopicModel:
-        """ML2: online variational Bayes over whole passes, priors 1 / topics."""
-        lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, docConcentration=[1 / topics] * topics, topicConcentration=1 / topics)
-        counted = count_vectors(docs, terms, words).select("features").persist()  # read in every pass
-        try:
-            return cls(lda.fit(counted), words)
-        finally:
-            counted.unpersist()
+        """ML2 on all of ``docs``."""
+        return cls.fit_folds(docs.withColumn("_fold", F.lit(None).cast("int")), terms, "_fold", [words], topics, iterations, seed)[0]
+
+    @classmethod
+    def fit_folds(cls, docs: DataFrame, terms: str, fold: str, words: list[list[str]], topics: int = 6, iterations: int = 50, seed: int = 42) -> list[TopicModel]:
+        """ML2, ML10: online variational Bayes, priors 1 / topics; fit k sees every row whose fold is not k, in ``words[k]``.
+
+        Starts and updates are those of MLlib's LDA, but a pass takes every document once, where MLlib draws as
+        many with replacement. All fits share each pass over counts that are written once; a task holds a number for
+        each topic, word and fit, and their sums stream through one task for each topic and fit.
+        """
+        every = sorted(set().union(*words))
+        place = {w: i for i, w in enumerate(every)}
+        at = [np.array([place[w] for w in known], np.int64) for known in words]
+        spark = docs.sparkSession
+        counted = stored(_counted(docs.select(F.col(fold).cast("int").alias("fold"), F.col(terms).alias("terms")), every), "counted")
+        parts = spark.sparkContext.defaultParallelism
+        weights, priors = [_first_weights(spark, topics, len(known), seed) for known in words], [np.full(topics, 1 / topics) for _ in words]
+        for step in range(1, iterations + 1):
+            betas = []
+            for here, lam in zip(at, weights):
+                betas.append(np.zeros((topics, len(every) + 1)))  # the last is no word
+                betas[-1][:, here] = np.exp(_digamma(lam) - _digamma(lam.sum(1, keepdims=True)))
+            shared = spark.sparkContext.broadcast(list(zip(betas, priors)))
+            dealt = counted.mapInArrow(_expected(shared), "fit int, block int, part binary").repartition(parts, "fit", "block").sortWithinPartitions("fit", "block")
+            totals = [np.zeros((topics, len(every) + 2)) for _ in words]
+            for r in dealt.mapInArrow(_summed, "fit int, block int, part binary").collect():  # topics x words numbers for each fit
+                totals[r["fit"]][r["block"]] = np.frombuffer(r["part"])
+            shared.destroy()
+            rate = (DELAY + step) ** -DECAY
+            for k, total in enumerate(totals):
+                n = total[0, -1]
+                if n:
+                    weights[k] = (1 - rate) * weights[k] + rate * (total[:, at[k]] * betas[k][:, at[k]] + 1 / topics)
+                    priors[k] = _next_prior(priors[k], total[:, -2] / n, n, rate)
+        return [cls(known, lam, prior) for known, lam, prior in zip(words, weights, priors)]
 
     def transform(self, docs: DataFrame, terms: str) -> DataFrame:
         """ML10, ML12: ``topics`` (array), ``dominant_topic`` and its score, for any documents."""
-        found = self.model.transform(count_vectors(docs, terms, self.words)).withColumn("topics", vector_to_array("topicDistribution"))
+        found = topics_of(docs, terms, [self], None)
         top = F.array_max("topics")
-        return found.withColumn("dominant_topic", (F.array_position("topics", top) - 1).cast("int")).withColumn("dominant_score", top).drop("features", "topicDistribution")
+        return found.withColumn("dominant_topic", (F.array_position("topics", top) - 1).cast("int")).withColumn("dominant_score", top)
 
     def distribution(self) -> np.ndarray:
         """ML4: topics x words, rows summing to 1."""
-        made = self.model.topicsMatrix().toArray().T
-        total = made.sum(1, keepdims=True)
-        return made / np.where(total == 0, 1, total)
+        total = self.weights.sum(1, keepdims=True)
+        return self.weights / np.where(total == 0, 1, total)
 
     def top_words(self, n: int = 12) -> list[list[str]]:
         """ML3, ST5."""
-        return [[self.words[i] for i in r["termIndices"]] for r in self.model.describeTopics(n).select("termIndices").collect()]
+        return [[self.words[i] for i in np.argsort(-row, kind="stable")[:n]] for row in self.weights]
 
     def affinity(self, concepts: list[tuple[str, list[str]]]) -> dict[str, np.ndarray]:
         """ML5: cosine of each topic with each concept's term counts; both sides are of fixed size."""
@@ -114,6 +143,155 @@ class TopicModel:
         return concepts.select(*keys).join(met, keys, "left").select(*keys, F.array(*shares).alias("affinity"))
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of log gamma: six steps up, then the series."""
+    y, low = x + 6, _steps(x)
+    return np.log(y) - _series(y) - low
+
+
+def _exp_digamma(x: np.ndarray) -> np.ndarray:
+    y, low = x + 6, _steps(x)
+    return y * np.exp(-_series(y) - low)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """1 / x + ... + 1 / (x + 5), with two terms to a quotient."""
+    u = x * (x + 5)
+    return (2 * x + 5) * (1 / u + 1 / (u + 4) + 1 / (u + 6))
+
+
+def _series(y: np.ndarray) -> np.ndarray:
+    i = 1 / (y * y)
+    return 0.5 / y + i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    y = x + 6
+    i = 1 / (y * y)
+    return sum(1 / (x + k) ** 2 for k in range(6)) + (1 + 0.5 / y + i * (1 / 6 - i * (1 / 30 - i * (1 / 42 - i / 30)))) / y
+
+
+def _first_weights(spark, topics: int, n: int, seed: int) -> np.ndarray:
+    """MLlib's random start, which depends on the sizes and the seed alone."""
+    one = spark.range(0, 1, 1, 1).select(array_to_vector(F.array_repeat(F.lit(1.0), max(n, 1))).alias("features"))
+    return LDA(k=topics, maxIter=0, seed=seed, optimizer="online").fit(one).topicsMatrix().toArray().T[:, :n].copy()
+
+
+def _next_prior(prior: np.ndarray, logs: np.ndarray, n: float, rate: float) -> np.ndarray:
+    """A Newton step of the documents' prior towards the mean expected logs of their topics; none that would leave the positive."""
+    slope = n * (_digamma(prior.sum()) - _digamma(prior) + logs)
+    c, q = n * _trigamma(prior.sum()), -n * _trigamma(prior)
+    b = (slope / q).sum() / (1 / c + (1 / q).sum())
+    made = prior - rate * (slope - b) / q
+    return made if (made > 0).all() else prior
+
+
+def _counted(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(fold, term, count): places of the known words of each document and how often it has them."""
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(words, pa.string()))
+
+    def run(batches):
+        for batch in batches:
+            row, at, count = sparse_rows(batch.column("terms"), shared.value)
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("fold"), *lists], ["fold", "term", "count"])
+
+    return docs.mapInArrow(run, "fold int, term array<int>, count array<int>")
+
+
+def _side_by_side(n: np.ndarray, at: np.ndarray, count: np.ndarray, none: int):
+    """(documents, words, counts): documents of like size in columns of equal length; ``none`` and 0 fill them up. Empty ones are left out."""
+    start = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    while len(order):
+        most = n[order[0]]
+        docs, order = np.split(order, [max(1, CELLS // most)])
+        line = np.arange(most)[:, None]
+        full = line < n[docs]
+        place = np.where(full, start[docs] + line, 0)
+        yield docs, np.where(full, at[place], none), np.where(full, count[place], 0).astype(float)
+
+
+def _inferred(word: np.ndarray, count: np.ndarray, beta: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The variational topics (topics x documents) of documents in columns, and each word's part in them (topics x words x documents) without the factor beta.
+
+    A document stands where its topics change by at most CLOSE on average; the others go on without it.
+    """
+    known = beta.take(word, axis=1)
+    k, _, n = known.shape
+    out, live = np.empty((k, n)), np.arange(n)
+    b, c, now = known, count, np.ones((k, n))
+    share, open_ = _exp_digamma(now), np.ones(n, bool)  # the factor that makes shares sum to 1 cancels
+    while open_.any():
+        if 4 * open_.sum() < 3 * len(live):
+            live, b, c, now, share = live[open_], b[:, :, open_], c[:, open_], now[:, open_], share[:, open_]
+            open_ = np.ones(len(live), bool)
+        ratio = c / (np.einsum("kwd,kd->wd", b, share) + TINY)
+        new = share * np.einsum("kwd,wd->kd", b, ratio) + prior[:, None]
+        stands = open_ & (np.abs(new - now).sum(0) <= CLOSE * k)
+        out[:, live[stands]] = new[:, stands]
+        open_ &= ~stands
+        now, share = new, _exp_digamma(new)
+    share = _exp_digamma(out)
+    return out, share[:, None, :] * (count / (np.einsum("kwd,kd->wd", known, share) + TINY))
+
+
+def _expected(shared):
+    """Each fit's expected counts of the task's words in each topic, without the factor beta; then the topics' expected logs, and the number of documents."""
+
+    def run(batches):
+        fits = shared.value
+        totals = [np.zeros((len(beta), beta.shape[1] + 1)) for beta, _ in fits]
+        for batch in batches:
+            fold = pc.fill_null(batch.column("fold"), -1).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(batch.column("term")).to_numpy(zero_copy_only=False)
+            at, count = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("term", "count"))
+            for docs, word, times in _side_by_side(n, at, count, fits[0][0].shape[1] - 1):
+                for k, ((beta, prior), total) in enumerate(zip(fits, totals)):
+                    here = times * beta.any(0)[word] * (fold[docs] != k)
+                    some = here.any(0)
+                    if not some.any():
+                        continue
+                    w, here = word[:, some], here[:, some]
+                    found, part = _inferred(w, here, beta, prior)
+                    for j, x in enumerate(part):
+                        total[j, :-2] += np.bincount(w.ravel(), weights=x.ravel(), minlength=beta.shape[1])[:-1]
+                    total[:, -2] += (_digamma(found) - _digamma(found.sum(0))).sum(1)
+                    total[:, -1] += some.sum()
+        rows = [(k, j, line.tobytes()) for k, total in enumerate(totals) for j, line in enumerate(total)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["fit", "block", "part"])
+
+    return run
+
+
+def topics_of(docs: DataFrame, terms: str, models: list[TopicModel], fold: str | None, out: str = "topics") -> DataFrame:
+    """ML10: every row's topic shares by the model of its fold (by the only one without ``fold``); 0 for a row without known words."""
+    told = []
+    for m in models:
+        beta = np.exp(_digamma(m.weights) - _digamma(m.weights.sum(1, keepdims=True)))
+        told.append((pa.array(m.words, pa.string()), np.hstack([beta, np.zeros((len(beta), 1))]), m.prior))
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+
+    def run(batches):
+        for batch in batches:
+            of = batch.column(fold).to_numpy(zero_copy_only=False) if fold else np.zeros(batch.num_rows, int)
+            found = np.zeros((batch.num_rows, len(shared.value[0][2])))
+            for k, (words, beta, prior) in enumerate(shared.value):
+                mine = np.flatnonzero(of == k)
+                if not len(mine):
+                    continue
+                row, at, count = sparse_rows(batch.column(terms).take(pa.array(mine)), words)
+                for some, word, times in _side_by_side(np.bincount(row, minlength=len(mine)), at, count, len(words)):
+                    topics = _inferred(word, times, beta, prior)[0]
+                    found[mine[some]] = (topics / topics.sum(0)).T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
 def topic_scores(topics: Column, affinity: np.ndarray, clip: bool = True) -> Column:
     """ML6, MA7: topic shares times affinities."""
     total = F.aggregate(F.zip_with(topics, F.lit([float(x) for x in affinity]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,15 +155,10 @@ def fold_spaces(docs: DataFrame, concepts: DataFrame) -> list[models.LatentSpace
 
 
 def fold_topics(docs: DataFrame) -> list[models.TopicModel]:
-    """A topic model for each fold, fitted on the other folds' turns in their words; the fits run side by side."""
+    """A topic model for each fold, fitted on the other folds' turns in their words; the fits share each pass."""
     sizes, found = _fold_sizes(docs), stored(models.fold_terms(docs, "terms", "fold", FOLDS), "found")
-
-    def fit(k: int) -> models.TopicModel:
-        words = [r["term"] for r in models.fold_vocabulary(found, sizes, k, TOPIC_WORDS).collect()]  # TOPIC_WORDS rows
-        return models.TopicModel.fit(docs.where(F.col("fold") != k), "terms", words, TOPICS, iterations=PASSES)
-
-    with ThreadPoolExecutor(FOLDS) as side_by_side:
-        return list(side_by_side.map(fit, range(FOLDS)))
+    words = [[r["term"] for r in models.fold_vocabulary(found, sizes, k, TOPIC_WORDS).collect()] for k in range(FOLDS)]  # TOPIC_WORDS rows each
+    return models.TopicModel.fit_folds(docs, "terms", "fold", words, TOPICS, iterations=PASSES)
 
 
 @query()
@@ -188,12 +182,10 @@ def _scores_of_folds(spark: SparkSession, d: str) -> DataFrame:
     of_fold = F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))
     left = models.project(docs, "terms", spaces, "fold", "x")
     right = models.project(concepts.withColumn("fold", of_fold), "terms", spaces, "fold", "y").select("concept", "subject", "fold", "y")
-    shares, affinity = [], []
-    for k, model in enumerate(topics):
-        shares.append(model.transform(left.where(F.col("fold") == k), "terms").select("doc_id", "conv_id", "subject", "fold", "x", "topics"))
-        affinity.append(model.affinity_table(concepts, ["concept", "subject"], "terms").withColumn("fold", F.lit(k)))
+    shares = models.topics_of(left, "terms", topics, "fold").select("doc_id", "conv_id", "subject", "fold", "x", "topics")
+    affinity = [model.affinity_table(concepts, ["concept", "subject"], "terms").withColumn("fold", F.lit(k)) for k, model in enumerate(topics)]
     right = right.join(reduce(DataFrame.unionByName, affinity), ["concept", "subject", "fold"])
-    joined = scoring.meet(reduce(DataFrame.unionByName, shares), right, ["subject", "fold"], "doc_id")
+    joined = scoring.meet(shares, right, ["subject", "fold"], "doc_id")
     return joined.select("doc_id", "conv_id", "concept", "fold", _latent_score(), _topic_score())
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,59 @@ def test_topics_are_distributions(spark):
     assert (affinity["none"] == 0).all() and (affinity["loops"] > 0).all()
 
 
+def plain_topics(docs, words, start, iterations, close=1e-10):
+    """Online variational Bayes over whole passes, one document after the other."""
+    psi = np.vectorize(lambda x: (math.lgamma(x + 1e-5) - math.lgamma(x - 1e-5)) / 2e-5)
+    k, lam, prior = len(start), start.copy(), np.full(len(start), 1 / len(start))
+    counts = [np.array([d.count(w) for w in words]) for d in docs]
+    counts = [c for c in counts if c.any()]
+    for step in range(1, iterations + 1):
+        beta, stats, logs = np.exp(psi(lam) - psi(lam.sum(1))[:, None]), np.zeros_like(lam), np.zeros(k)
+        for c in counts:
+            gamma, change = np.ones(k), 1.0
+            while change > close:
+                share = np.exp(psi(gamma))
+                new = share * (beta @ (c / (share @ beta))) + prior
+                gamma, change = new, np.abs(new - gamma).mean()
+            share = np.exp(psi(gamma))
+            stats += share[:, None] * beta * (c / (share @ beta))
+            logs += (psi(gamma) - psi(gamma.sum())) / len(counts)
+        rate = (1024 + step) ** -0.51
+        lam = (1 - rate) * lam + rate * (stats + 1 / k)
+        prime = lambda x: (psi(x + 1e-3) - psi(x - 1e-3)) / 2e-3
+        slope, c, q = logs + psi(prior.sum()) - psi(prior), prime(prior.sum()), -prime(prior)
+        prior = prior - rate * (slope - (slope / q).sum() / (1 / c + (1 / q).sum())) / q
+    return lam, prior
+
+
+def test_topics_take_every_document_once_a_pass(spark):
+    docs, texts = corpus(spark).withColumn("fold", F.col("doc_id") % 2), [t.split(" ") for _, t in DOCS]
+    words = [sorted({w for i, t in enumerate(texts) if i % 2 != k for w in t}) for k in range(2)]
+    found = models.TopicModel.fit_folds(docs, "terms", "fold", words, topics=2, iterations=6)
+    alone = models.TopicModel.fit(docs.where("fold <> 1"), "terms", words[1], topics=2, iterations=6)
+    for k, model in [*enumerate(found), (1, alone)]:
+        start = models._first_weights(spark, 2, len(words[k]), 42)
+        lam, prior = plain_topics([t for i, t in enumerate(texts) if i % 2 != k], words[k], start, 6)
+        assert model.words == words[k] and np.abs(model.weights - lam).max() < 0.01 and np.abs(model.prior - prior).max() < 0.001
+        rate = [(1024 + s) ** -0.51 for s in range(1, 7)]
+        whole = start.sum()
+        for r in rate:  # the weights gain every occurrence of every pass
+            whole = (1 - r) * whole + r * (sum(len(t) for i, t in enumerate(texts) if i % 2 != k) + len(words[k]))
+        assert model.weights.sum() == pytest.approx(whole, rel=1e-6)
+
+
+def test_topics_of_a_row_are_those_of_its_fold(spark):
+    docs = corpus(spark).withColumn("fold", F.col("doc_id") % 2)
+    docs = docs.unionByName(spark.createDataFrame([(9, "zzz", ["zzz"], 1), (10, None, None, 0)], docs.schema))
+    words = [["select", "rows", "while"], ["loop", "while", "break", "rows"]]
+    found = models.TopicModel.fit_folds(docs, "terms", "fold", words, topics=2, iterations=3)
+    got = {r["doc_id"]: r["topics"] for r in models.topics_of(docs, "terms", found, "fold").collect()}
+    assert len(got) == 7 and got[9] == got[10] == [0, 0]
+    for k, model in enumerate(found):
+        for r in model.transform(docs.where(F.col("fold") == k), "terms").collect():
+            assert got[r["doc_id"]] == pytest.approx(r["topics"]) and r["dominant_score"] == max(r["topics"])
+
+
 def test_latent_space_separates_subjects(spark):
     docs = corpus(spark)
     words = [r["term"] for r in models.vocabulary(docs, "terms", 50).collect()]
