@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glean.functions.numeric import safe_divide
+from glean.functions.numeric import cosine, dot, safe_divide
+from glean.sources.scratch import stored
 
 #: Vectors and queries that meet in one task of an exact search.
 SHARD, BLOCK = 1 << 16, 1 << 11
@@ -143,6 +144,65 @@ def _overlaps(shared, keys: list[str], a: str, subject: str, figures):
     return run
 
 
+def vector_scores(left: DataFrame, keys: list[str], right: DataFrame, names: list[str], on: list[str], figures: dict[str, tuple[str, str, bool]], most: int = CATALOG) -> DataFrame:
+    """MA6, MA7: (keys..., names..., one column for each of ``figures``) of every pair of equal ``on``.
+
+    ``figures``: name -> (vector of ``left``, vector of ``right``, whether the cosine, else the
+    product). ``right`` is a catalog: rows of ``left`` stay where they are and meet it as
+    matrices; one of more than ``most`` numbers meets them by a join.
+    """
+    right = stored(right, "catalog")
+    told = right.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum(F.size(b) for _, b, _ in figures.values())), F.lit(0)).alias("numbers")).first()
+    if max(told["rows"], told["numbers"]) > most:
+        met = meet(left, right, on, keys)
+        return met.select(*keys, *names, *[(cosine if alike else dot)(F.col(a), F.col(b)).alias(n) for n, (a, b, alike) in figures.items()])
+    rows = right.dropna(subset=on).toArrow().combine_chunks()  # at most ``most`` numbers
+    groups = {}
+    for i, key in enumerate(zip(*(rows.column(c).to_pylist() for c in on))):
+        groups.setdefault(key, []).append(i)
+    vectors = {n: _dense(rows.column(b)) for n, (_, b, _) in figures.items()}
+    named = [rows.column(c).combine_chunks() for c in names]
+    shared = right.sparkSession.sparkContext.broadcast((named, {k: np.array(v) for k, v in groups.items()}, vectors))
+
+    def run(batches):
+        named, groups, vectors = shared.value
+        for batch in batches:
+            mine = {n: _dense(batch.column(a)) for n, (a, _, _) in figures.items()}
+            for key, of in groups.items():
+                same = np.ones(batch.num_rows, bool)
+                for c, value in zip(on, key):
+                    same &= pc.fill_null(pc.equal(batch.column(c), value), False).to_numpy(zero_copy_only=False)
+                every, step = np.flatnonzero(same), max(1, PAIRS // len(of))
+                for low in range(0, len(every), step):
+                    some = every[low : low + step]
+                    at, to = pa.array(np.repeat(some, len(of))), pa.array(np.tile(of, len(some)))
+                    found = [_products(mine[n][some], vectors[n][of], alike) for n, (_, _, alike) in figures.items()]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), *(c.take(to) for c in named), *(pa.array(x.ravel()) for x in found)], [*keys, *names, *figures])
+
+    fields = [left.schema[c] for c in keys] + [right.schema[c] for c in names] + [T.StructField(n, T.DoubleType()) for n in figures]
+    needed = [*keys, *on, *(a for a, _, _ in figures.values())]
+    return left.select(*dict.fromkeys(needed)).mapInArrow(run, T.StructType(fields))
+
+
+def _dense(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists as rows, filled up with zeros; nulls are zero."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(n), n.max(initial=0)))
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _products(x: np.ndarray, y: np.ndarray, alike: bool) -> np.ndarray:
+    width = min(x.shape[1], y.shape[1])
+    out = x[:, :width] @ y[:, :width].T
+    if alike:
+        size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        out = np.divide(out, size, out=np.zeros(out.shape), where=size > 0)
+    return out
+
+
 def join_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN2, JN12, SE5: one row of counts: keys, duplicates, one-sided keys.
 

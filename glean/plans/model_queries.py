@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glean.functions import text as X
-from glean.functions.numeric import argmax_place, cosine
+from glean.functions.numeric import argmax_place
 from glean.operators import audit, models, scoring, tuning
 from glean.plans.chunk_queries import STOP_WORDS
 from glean.plans.config import LOCKED, PILOT, PipelineConfig
@@ -86,12 +86,15 @@ def _latent(docs: DataFrame, concepts: DataFrame) -> models.LatentSpace:
 
 
 def _topic_score() -> F.Column:
-    score = F.aggregate(F.zip_with("topics", "affinity", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("lda_score")
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("lda"))), 6).alias("lda_score")
 
 
 def _latent_score() -> F.Column:
-    return F.round(cosine(F.col("x"), F.col("y")), 4).alias("lsa_score")
+    return F.round("lsa", 4).alias("lsa_score")
+
+
+#: Name, vectors of a turn and of a concept, and whether their cosine counts, else their product.
+_TOPIC, _SPACE = {"lda": ("topics", "affinity", False)}, {"lsa": ("x", "y", True)}
 
 
 @query()
@@ -108,8 +111,8 @@ def lda_concept_scores(spark: SparkSession, d: str) -> DataFrame:
     docs, concepts = _corpus(spark, d)
     model = _topics(docs)
     left = model.transform(docs, "terms").select("doc_id", "subject", "topics")
-    joined = scoring.meet(left, model.affinity_table(concepts, ["concept", "subject"], "terms"), ["subject"], "doc_id")
-    return joined.select("doc_id", "concept", _topic_score())
+    scored = scoring.vector_scores(left, ["doc_id"], model.affinity_table(concepts, ["concept", "subject"], "terms"), ["concept"], ["subject"], _TOPIC)
+    return scored.select("doc_id", "concept", _topic_score())
 
 
 def model_scores(spark: SparkSession, d: str, config: PipelineConfig) -> DataFrame:
@@ -121,8 +124,8 @@ def _scores_of_all(spark: SparkSession, d: str) -> DataFrame:
     docs, concepts = _corpus(spark, d)
     space = _latent(docs, concepts)
     left = space.transform(docs, "terms", "x").select("doc_id", "subject", "x")
-    joined = scoring.meet(left, space.transform(concepts, "terms", "y").select("concept", "subject", "y"), ["subject"], "doc_id")
-    return joined.select("doc_id", "concept", _latent_score())
+    scored = scoring.vector_scores(left, ["doc_id"], space.transform(concepts, "terms", "y").select("concept", "subject", "y"), ["concept"], ["subject"], _SPACE)
+    return scored.select("doc_id", "concept", _latent_score())
 
 
 def video_folds(docs: DataFrame) -> DataFrame:
@@ -185,8 +188,8 @@ def _scores_of_folds(spark: SparkSession, d: str) -> DataFrame:
     shares = models.topics_of(left, "terms", topics, "fold").select("doc_id", "conv_id", "subject", "fold", "x", "topics")
     affinity = [model.affinity_table(concepts, ["concept", "subject"], "terms").withColumn("fold", F.lit(k)) for k, model in enumerate(topics)]
     right = right.join(reduce(DataFrame.unionByName, affinity), ["concept", "subject", "fold"])
-    joined = scoring.meet(shares, right, ["subject", "fold"], "doc_id")
-    return joined.select("doc_id", "conv_id", "concept", "fold", _latent_score(), _topic_score())
+    scored = scoring.vector_scores(shares, ["doc_id", "conv_id", "fold"], right, ["concept"], ["subject", "fold"], _SPACE | _TOPIC)
+    return scored.select("doc_id", "conv_id", "concept", "fold", _latent_score(), _topic_score())
 
 
 @query(f"WITH {_VIDEO_FOLDS_SQL}, ro AS (SELECT conv_id, fold FROM conversations JOIN vf USING (conv_id)) SELECT f.fold, count(DISTINCT r.conv_id) FILTER (r.fold <> f.fold) AS train, count(DISTINCT r.conv_id) FILTER (r.fold = f.fold) AS test, (SELECT count(*) FROM (SELECT conv_id FROM ro GROUP BY 1 HAVING count(DISTINCT fold) > 1)) AS overlap FROM (SELECT DISTINCT fold FROM vf) f, ro r GROUP BY f.fold")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glean.operators import audit, models
+from glean.operators import audit, models, scoring
 from glean.plans import model_queries
 from glean.sources import adapters, tables
 from glean.streaming.windows import chunk_counts, read_stream
@@ -176,6 +176,17 @@ def test_topics_of_a_row_are_those_of_its_fold(spark):
             assert got[r["doc_id"]] == pytest.approx(r["topics"]) and r["dominant_score"] == max(r["topics"])
 
 
+def test_vector_scores_meet_a_catalog_where_they_are(spark):
+    made = np.random.default_rng(3).standard_normal((40, 3)).round(3).tolist()
+    left = spark.createDataFrame([(i, i % 3 if i % 7 else None, [0.0] * 3 if i == 5 else v, v) for i, v in enumerate(made)], "id long, g int, x array<double>, t array<double>")
+    right = spark.createDataFrame([(i, i % 2 if i else None, [0.0] * 3 if i == 3 else v, v[::-1]) for i, v in enumerate(made[:9])], "concept long, g int, y array<double>, s array<double>")
+    figures = {"a": ("x", "y", True), "b": ("t", "s", False)}
+    both = [scoring.vector_scores(left, ["id"], right, ["concept"], ["g"], figures, most) for most in (1000, 10)]
+    assert ["Join" in df._jdf.queryExecution().toString() for df in both] == [False, True]
+    near, joined = ({(r["id"], r["concept"]): (r["a"], r["b"]) for r in df.collect()} for df in both)
+    assert len(near) == 92 and near.keys() == joined.keys() and all(near[k] == pytest.approx(joined[k]) for k in near)
+
+
 def test_latent_space_separates_subjects(spark):
     docs = corpus(spark)
     words = [r["term"] for r in models.vocabulary(docs, "terms", 50).collect()]
