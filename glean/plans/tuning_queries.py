@@ -66,6 +66,16 @@ def truth(spark: SparkSession, d: str, mode: str = "name+description") -> DataFr
     return met.select("video_id", "concept", covered.cast("int").alias("y_true"))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Join with rows that tasks made, one for each pair. Spark takes them for as few as the rows they were made of, so it may not choose to broadcast them."""
+    return left.join(right.hint("merge"), on)
+
+
+def _folded_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The truth with the fold of each video."""
+    return _met(truth(spark, d), _folds(spark, d), "video_id")
+
+
 def _folds(spark: SparkSession, d: str) -> DataFrame:
     videos = segments(spark, d).select(F.col("video_id").alias("conv_id"), (F.col("video_id") % 4).alias("subject"))
     return video_folds(videos).withColumnRenamed("conv_id", "video_id")
@@ -78,13 +88,13 @@ def normed_scores(spark: SparkSession, d: str, sizes: list[int], mode: str = "na
 
 def _counts(spark: SparkSession, d: str, sizes: list[int], known: DataFrame, of_video: list[str], alphas: list[float], thresholds: list[float]) -> DataFrame:
     """Counts of every setting and video; ``known``: the truth, with the columns ``of_video`` of each video."""
-    scored = normed_scores(spark, d, sizes).join(known, ["video_id", "concept"])
+    scored = _met(normed_scores(spark, d, sizes), known, ["video_id", "concept"])
     return tuning.setting_counts(scored, ["chunk_seconds", *of_video], "video_id", "concept", "y_true", alphas, thresholds)
 
 
 def _sums(spark: SparkSession, d: str, sizes: list[int], more: DataFrame | None = None) -> DataFrame:
     """Sums of rates and counts of every setting and fold; written once, as each search reads them several times."""
-    counts = _counts(spark, d, sizes, truth(spark, d).join(_folds(spark, d), "video_id"), ["fold"], ALPHAS, THRESHOLDS)
+    counts = _counts(spark, d, sizes, _folded_truth(spark, d), ["fold"], ALPHAS, THRESHOLDS)
     return stored(tuning.fold_sums(counts, ["chunk_seconds", "alpha", "aggregation", "threshold"], "fold"), "search")
 
 
@@ -193,7 +203,7 @@ def plateau(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized_predictions(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_seconds, video_id, fold, subject, tp, fp, fn, tn) at the pilot's setting."""
-    known = truth(spark, d).join(_folds(spark, d), "video_id").withColumn("subject", F.col("video_id") % 4)
+    known = _folded_truth(spark, d).withColumn("subject", F.col("video_id") % 4)
     return _counts(spark, d, SIZES, known, ["fold", "subject"], [PILOT.alpha], [PILOT.threshold]).where(F.col("aggregation") == PILOT.aggregation)
 
 
@@ -281,7 +291,7 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 def predictions(spark: SparkSession, d: str, config: PipelineConfig) -> DataFrame:
     """(video_id, concept, score, y_true, y_pred): a whole run under one configuration, every field of which counts but the fit's scope."""
     found = tuning.video_scores(normed_scores(spark, d, [config.chunk_seconds], config.concept_text_mode), [], "video_id", "concept", [config.alpha], mode=config.round_mode)
-    found = found.where(F.col("aggregation") == config.aggregation).join(truth(spark, d, config.concept_text_mode), ["video_id", "concept"])
+    found = _met(found.where(F.col("aggregation") == config.aggregation), truth(spark, d, config.concept_text_mode), ["video_id", "concept"])
     return found.select("video_id", "concept", (F.col("score") / tuning.UNIT).alias("score"), "y_true", (F.col("score") >= round(config.threshold * tuning.UNIT)).cast("int").alias("y_pred"))
 
 

@@ -160,6 +160,21 @@ def test_bootstrap_draws_are_no_rows(spark, capsys):
     assert "explode(sequence(0, 449" not in optimized and "md5" not in optimized
 
 
+def test_pairs_of_videos_and_concepts_are_not_broadcast(spark, capsys):
+    """Their number is not in Spark's estimates, so no side of them may go through the driver."""
+    d = "/root/testdata/sf0.001"
+    known = tuning_queries.truth(spark, d)
+    for found in (tuning_queries._counts(spark, d, [60], known, [], [0.5], [0.4]), tuning_queries._sized_predictions(spark, d), tuning_queries.predictions(spark, d, tuning_queries.PILOT)):
+        found.explain()
+        plan, below = capsys.readouterr().out.splitlines(), None  # the column of the broadcast that a line is part of
+        assert sum("MapInArrow" in line for line in plan) >= 3
+        for line in plan:
+            at = len(line) - len(line.lstrip(" :+-"))
+            below = None if below is not None and at <= below else below
+            assert below is None or "MapInArrow" not in line, line
+            below = at if below is None and "BroadcastExchange" in line else below
+
+
 #: True positives, false positives and false negatives of forty videos, ten of each of four subjects in turn, under two settings.
 TUNED = [
     [(4, 0, 2), (4, 1, 1), (2, 2, 0), (4, 1, 0), (4, 1, 2), (2, 0, 4), (8, 2, 1), (9, 1, 0), (2, 0, 8), (1, 0, 3)],
