@@ -8,18 +8,21 @@ piece; everything is counted per language.
 2. A sketch counts all phrases; its cells give upper bounds. The cells that reach
    ``LEAST`` go into a filter of bounded size.
 3. Of each text only the runs remain in which every pair of neighbours passes the
-   filter; no candidate lies elsewhere. The runs are written once.
-4. Phrases of the runs that pass the filter are candidates. They are dealt into rounds
-   of bounded size; each round compiles its candidates into one automaton a language,
-   every phrase guarded by the delimiter on both sides, and scans all runs, counting
-   overlapping matches. Sums over the shards are exact.
+   filter; no candidate lies elsewhere. From each of their words on, the longest phrase
+   whose beginnings of two words and more all pass is its window; the windows of a task
+   are told once each, with how often they occur, and dealt out by language and first pair.
+4. All beginnings of a window are candidates, and every occurrence of a candidate begins
+   one window. The candidates of one deal are compiled into automata of bounded size,
+   every phrase guarded by the mark of a window in front and by the delimiter behind,
+   which scan the windows of the deal. So no text is scanned again for more candidates,
+   and sums are exact.
 5. Thresholds. A candidate with ``a`` occurrences, cut after its first k words into
    parts with ``l`` and ``r``, scores floor(SCALE * a / (l + r)); its lowest cut counts,
    the shorter first part on ties. It goes if a longer candidate that holds it has at
    least ``SHARE`` per cent of its occurrences.
 
 False positives of sketch and filter cost time only: what the automata count under
-``LEAST`` is dropped. Phrases are kept apart by 64-bit hashes up to the candidates,
+``LEAST`` is dropped. Within a slice of text phrases are kept apart by 64-bit hashes,
 by their words from there on.
 
 Null texts are empty, null languages are ``und``. Repeated rows count each time. Ties
@@ -30,9 +33,9 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
-import uuid
+from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +52,13 @@ LEAST = 30
 SHARE = 80
 SCALE = 2_000_000
 TOP = 2000
-#: Characters of the phrases in the automata of one round.
+#: Characters of the windows that one automaton is compiled from.
 ROUND = 3_000_000
-#: Parts into which a language's candidates are dealt to be told apart.
+#: Parts into which a language's windows are dealt by their first pair.
 BUCKETS = 1 << 10
-SLICE = 4 << 20
+#: Rows that a task gathers before it adds up equal ones, and cells of the sketch that it holds.
+HELD, CELLS = 1 << 18, 1 << 21
+SLICE = 2 << 20
 STOP = "."
 _PIECES = r"[.,;:!?\n\x0b\x0c\r]+"
 
@@ -84,18 +89,53 @@ class Tokens:
         self.breaks |= ~frequent.has(mix(self.hashes ^ self.lang[self.row]))
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches with equal rows made one, ``n`` added up; rows that are not held together stay apart."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def together() -> pa.Table:
+        table = pa.concat_tables(held)
+        keys = [c for c in table.column_names if c != "n"]
+        return table.group_by(keys, use_threads=False).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= HELD:
+            held = [together()]
+            size = held[0].num_rows
+            if size >= HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield together()
+    pa.default_memory_pool().release_unused()
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, key, n), slice by slice."""
-    for batch in slices(batches, "text", SLICE):
-        t = Tokens(_normal(batch.column("text")), batch.column("lang"))
-        names = one_array(pc.dictionary_encode(batch.column("lang")))
-        size = len(t.words.vocab)
-        of = np.asarray(names.indices, dtype=np.int64)[t.row] * size + t.words.codes
-        found, n = np.unique(of[~t.breaks], return_counts=True)
-        word = t.words.vocab.take(pa.array(found % max(size, 1)))
-        lang = names.dictionary.take(pa.array(found // max(size, 1)))
-        key = mix(hash_strings(word) ^ mix(hash_strings(lang)))
-        yield pa.RecordBatch.from_arrays([lang, word, pa.array(key.view(np.int64)), pa.array(n)], ["lang", "word", "key", "n"])
+    """(lang, word, n), about once a task."""
+
+    def sliced() -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            t = Tokens(_normal(batch.column("text")), batch.column("lang"))
+            names = one_array(pc.dictionary_encode(batch.column("lang")))
+            size = len(t.words.vocab)
+            of = np.asarray(names.indices, dtype=np.int64)[t.row] * size + t.words.codes
+            found, n = np.unique(of[~t.breaks], return_counts=True)
+            word = t.words.vocab.take(pa.array(found % max(size, 1)))
+            lang = names.dictionary.take(pa.array(found // max(size, 1)))
+            yield pa.RecordBatch.from_arrays([lang, word, pa.array(n)], ["lang", "word", "n"])
+
+    for table in _added(sliced()):
+        yield from table.to_batches()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``key`` of each word and language, as ``Tokens.drop`` asks for it."""
+    for batch in batches:
+        key = mix(hash_strings(batch.column("word")) ^ mix(hash_strings(batch.column("lang"))))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
 
 def _sketched(frequent, bits: int):
@@ -107,116 +147,92 @@ def _sketched(frequent, bits: int):
                 for k in range(2, LONGEST + 1):
                     yield t.phrases(k)[1]
 
-        yield from blocks_of(hashes(), bits)
+        yield from blocks_of(hashes(), bits, CELLS)
 
     return run
 
 
-def _runs(frequent, hot, bits: int):
-    """(lang, text): the runs of each text, ``STOP`` before each."""
+def _windows(frequent, hot, bits: int):
+    """(lang, bucket, windows, times): the windows of each text's runs, about once a task, packed by language and first pair."""
+    cells = np.uint64((1 << bits) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             t = Tokens(_normal(batch.column("text")), batch.column("lang"))
             t.drop(frequent.value)
-            at, pair = t.phrases(2)
-            tied = np.zeros(len(t.row) + 1, bool)  # whether a word and the next one pass
-            tied[at[hot.value.has(pair & np.uint64((1 << bits) - 1))]] = True
-            before = np.r_[False, tied[:-1]]
-            inside = np.flatnonzero((tied | before)[:-1])
-            first = np.flatnonzero(~before[inside])
-            vocab = pa.concat_arrays([t.words.vocab.cast(pa.string()), pa.array([STOP])])
-            codes = np.insert(t.words.codes[inside], first, len(vocab) - 1)
-            row = np.insert(t.row[inside], first, t.row[inside][first])
-            n = np.bincount(row, minlength=batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), vocab.take(pa.array(codes)))
-            some = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").filter(some), pc.binary_join(lists, " ").filter(some)], ["lang", "text"])
-
-    return run
-
-
-def _candidates(hot, bits: int):
-    """(lang, bucket, phrases): phrases of the runs that pass the filter, each about once a task, packed by their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = np.zeros(0, np.uint64)
-        for batch in slices(batches, "text", SLICE):
-            t = Tokens(batch.column("text"), batch.column("lang"))
             names = one_array(pc.dictionary_encode(batch.column("lang")))
             of = np.asarray(names.indices, dtype=np.int64)
-            keys, phrases = [], []
+            long = np.ones(len(t.row), np.int8)  # words of the window that begins here
+            value, pair = np.zeros(len(t.row), np.uint64), np.zeros(len(t.row), np.uint64)
             for k in range(2, LONGEST + 1):
-                at, value = t.phrases(k)
-                value, first = np.unique(value, return_index=True)
-                new = np.flatnonzero(hot.value.has(value & np.uint64((1 << bits) - 1)))
-                new = new[~np.isin(value[new], told, assume_unique=True)]
-                told = np.sort(np.r_[told, value[new]]) if len(told) < 1 << 21 else value[new]
-                start = at[first[new]]
-                words = [t.words.vocab.take(pa.array(t.words.codes[start + j])) for j in range(k)]
-                phrases.append(pc.binary_join_element_wise(*words, " ").cast(pa.string()))
-                keys.append(of[t.row[start]] * BUCKETS + (value[new] % np.uint64(BUCKETS)).astype(np.int64))
-            key = np.concatenate(keys)
+                at, found = t.phrases(k)
+                some = np.flatnonzero(long[at] == k - 1)
+                some = some[hot.value.has(found[some] & cells)]
+                long[at[some]], value[at[some]] = k, found[some]
+                if k == 2:
+                    pair = value.copy()
+            begun = np.flatnonzero(long > 1)
+            _, first, n = np.unique(value[begun], return_index=True, return_counts=True)
+            start = begun[first]
+            windows, order = [], []
+            for k in range(2, LONGEST + 1):
+                mine = np.flatnonzero(long[start] == k)
+                words = [t.words.vocab.take(pa.array(t.words.codes[start[mine] + j])) for j in range(k)]
+                windows.append(pc.binary_join_element_wise(*words, " ").cast(pa.string()))
+                order.append(mine)
+            order = np.concatenate(order)
+            lang = names.dictionary.take(pa.array(of[t.row[start[order]]]))
+            bucket = (pair[start[order]] % np.uint64(BUCKETS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([lang, pa.array(bucket), pa.concat_arrays(windows), pa.array(n[order])], ["lang", "bucket", "window", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _added(sliced(batches)):
+            names = one_array(pc.dictionary_encode(one_array(table["lang"])))
+            key = np.asarray(names.indices, dtype=np.int64) * BUCKETS + table["bucket"].to_numpy()
             order = np.argsort(key, kind="stable")
             found, n = np.unique(key, return_counts=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.concat_arrays(phrases).take(pa.array(order)))
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found // BUCKETS)), pa.array((found % BUCKETS).astype(np.int32)), lists], ["lang", "bucket", "phrases"])
+            ends = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, one_array(table[c]).take(pa.array(order))) for c in ("window", "n")]
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found // BUCKETS)), pa.array((found % BUCKETS).astype(np.int32)), *lists], ["lang", "bucket", "windows", "times"])
 
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase): the distinct phrases of equal (lang, bucket), which follow each other."""
-    now, held = None, set()
-    told = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.string()), pa.array(sorted(held), pa.string())], ["lang", "phrase"])
-    for batch in batches:
-        for lang, bucket, phrases in zip(batch.column("lang").to_pylist(), batch.column("bucket").to_pylist(), batch.column("phrases")):
-            if now != (lang, bucket):
-                if now:
-                    yield told()
-                now, held = (lang, bucket), set()
-            held.update(phrases.values.to_pylist())
-    if now:
-        yield told()
-
-
-#: The automata of the present round, in each Python worker.
-_BUILT: dict[str, dict] = {}
+def _matches(windows: list[str], times: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Each beginning of the windows and how often it occurs: one automaton of all beginnings scans the windows."""
+    import ahocorasick
 
+    words = [w.split(" ") for w in windows]
+    phrases = list({" ".join(ws[:k]) for ws in words for k in range(2, len(ws) + 1)})
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        automaton.add_word(f"{STOP} {phrase} ", i)
+    automaton.make_automaton()
+    hits = np.fromiter(chain.from_iterable(automaton.iter(f"{STOP} {f' {STOP} '.join(windows)} ")), np.int64).reshape(-1, 2)
+    ends = np.cumsum([len(w) + len(STOP) + 2 for w in windows])
+    total = np.zeros(len(phrases), np.int64)
+    np.add.at(total, hits[:, 1], times[np.searchsorted(ends, hits[:, 0], "right")])
+    return zip(phrases, total.tolist())
 
-def _automata(name: str, phrases) -> dict:
-    """{language: (automaton, ids)}."""
-    if name not in _BUILT:
-        import ahocorasick
 
-        _BUILT.clear()
-        made = {}
-        for lang, phrase, at in phrases:
-            found = made.setdefault(lang, (ahocorasick.Automaton(ahocorasick.STORE_INTS), []))
-            found[0].add_word(f" {phrase} ", len(found[1]))
-            found[1].append(at)
-        for found in made.values():
-            found[0].make_automaton()
-        _BUILT[name] = {lang: (found, np.array(ids)) for lang, (found, ids) in made.items()}
-    return _BUILT[name]
-
-
-def _scan(name: str, phrases):
-    """(id, n): overlapping matches of the round's candidates in the runs of a shard."""
+def _scan(least: int):
+    """(lang, phrase, a): the candidates of equal (lang, bucket), which follow each other, that occur at least ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _automata(name, phrases.value)
-        total = {lang: np.zeros(len(ids), np.int64) for lang, (_, ids) in found.items()}
-        for batch in slices(batches, "text", SLICE):
-            langs = batch.column("lang")
-            for lang in langs.unique().to_pylist():
-                if lang in found:
-                    texts = batch.column("text").filter(pc.equal(langs, lang)).to_pylist()
-                    hits = found[lang][0].iter(f" {f' {STOP} '.join(texts)} ")
-                    total[lang] += np.bincount(np.fromiter(map(itemgetter(1), hits), np.int64), minlength=len(total[lang]))
-        for lang, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(found[lang][1][some], pa.int64()), pa.array(n[some])], ["id", "n"])
+        rows = ((batch, i) for batch in batches for i in range(batch.num_rows))
+        for (lang, _), some in groupby(rows, lambda r: (r[0].column("lang")[r[1]].as_py(), r[0].column("bucket")[r[1]].as_py())):
+            times: Counter = Counter()
+            for batch, i in some:
+                for window, n in zip(batch.column("windows")[i].values.to_pylist(), batch.column("times")[i].values.to_pylist()):
+                    times[window] += n
+            windows, total = sorted(times), Counter()
+            size = np.cumsum([len(w) for w in windows])
+            for _, part in groupby(range(len(windows)), lambda j: int(size[j]) // ROUND):
+                mine = [windows[j] for j in part]
+                for phrase, n in _matches(mine, np.array([times[w] for w in mine], np.int64)):
+                    total[phrase] += n
+            often = sorted(p for p, n in total.items() if n >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(often), pa.string()), pa.array(often, pa.string()), pa.array([total[p] for p in often], pa.int64())], ["lang", "phrase", "a"])
 
     return run
 
@@ -225,30 +241,16 @@ def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     """(lang, word, n) of all words, and (lang, phrase, a) of all phrases that occur at least ``least`` times."""
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL")
-    words = docs.mapInArrow(_word_counts, "lang string, word string, key long, n long")
-    words = written(words.groupBy("lang", "word", "key").agg(F.sum("n").alias("n")), "words")
-    frequent = spark.sparkContext.broadcast(Filter.of(words.where(F.col("n") >= least), "key"))
+    words = docs.mapInArrow(_word_counts, "lang string, word string, n long")
+    words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    frequent = spark.sparkContext.broadcast(Filter.of(words.where(F.col("n") >= least).mapInArrow(_keyed, "key long"), "key"))
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = max(16, int(total).bit_length())
     parts = docs.mapInArrow(_sketched(frequent, bits), "block long, cells binary, times binary")
     hot = spark.sparkContext.broadcast(Filter.of(written(summed(parts, least), "hot"), "cell"))
-    runs = written(docs.mapInArrow(_runs(frequent, hot, bits), "lang string, text string"), "runs")
-    packed = runs.mapInArrow(_candidates(hot, bits), "lang string, bucket int, phrases array<string>")
+    packed = docs.mapInArrow(_windows(frequent, hot, bits), "lang string, bucket int, windows array<string>, times array<long>")
     packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "bucket").sortWithinPartitions("lang", "bucket")
-    candidates = written(packed.mapInArrow(_distinct, "lang string, phrase string").withColumn("id", F.monotonically_increasing_id()), "candidates")  # the ids are fixed once written
-    size = candidates.agg(F.sum(F.char_length("phrase"))).first()[0] or 0
-    rounds = -(-size // ROUND)
-    sums = []
-    for k in range(rounds):
-        mine = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(rounds)) == k).select("lang", "phrase", "id").toArrow()  # about ROUND characters
-        phrases = spark.sparkContext.broadcast(list(zip(*(mine.column(c).to_pylist() for c in ("lang", "phrase", "id")))))
-        found = runs.mapInArrow(_scan(uuid.uuid4().hex, phrases), "id long, n long").groupBy("id").agg(F.sum("n").alias("a"))
-        sums.append(written(found.where(F.col("a") >= least), "sums"))
-        phrases.destroy()
-    every = sums[0] if sums else spark.createDataFrame([], "id long, a long")
-    for more in sums[1:]:
-        every = every.unionByName(more)
-    return words.drop("key"), written(candidates.join(every, "id").select("lang", "phrase", "a"), "phrases")
+    return words, written(packed.mapInArrow(_scan(least), "lang string, phrase string, a long"), "phrases")
 
 
 def mine(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, share: int = SHARE) -> DataFrame:

@@ -26,17 +26,17 @@ MOST = (1 << 16) - 1
 SPACE, PROBES, MOST_BITS = 32, 3, 1 << 28
 
 
-def blocks_of(values: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """(block, cells, times) of the hashes in ``values``."""
+def blocks_of(values: Iterator[np.ndarray], bits: int, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(block, cells, times) of the hashes in ``values``; about ``most`` cells are held."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for x in values:
         held.append(np.unique(x & np.uint64((1 << bits) - 1), return_counts=True))
         size += len(held[-1][0])
-        if size >= HELD:
+        if size >= most:
             held = [_merged(held)]
             size = len(held[0][0])
-            if size >= HELD // 2:
+            if size >= most // 2:
                 yield _packed(*held[0])
                 held, size = [], 0
     if size:
@@ -44,8 +44,12 @@ def blocks_of(values: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatc
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    cells, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-    return cells, np.bincount(at, np.concatenate([n for _, n in held]), len(cells)).astype(np.int64)
+    cells, n = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    return cells[first], np.add.reduceat(n, first)
 
 
 def _packed(cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:

@@ -84,3 +84,18 @@ def test_sketch_bounds_from_above_and_filter_keeps_all(spark):
     kept = Filter.of(df.distinct(), "v")
     assert kept.has(np.array(sorted(set(values)), np.uint64)).all()
     assert kept.has(np.arange(1, 100_001, dtype=np.uint64) * np.uint64(7_777_777)).mean() < 0.01
+
+
+def test_more_candidates_take_no_further_pass(spark, monkeypatch):
+    """Tables written and jobs run are the same whatever the candidates an automaton holds; a crowded sketch changes no count."""
+    made, write, tracker = [], collocations.written, spark.sparkContext.statusTracker()
+    monkeypatch.setattr(collocations, "written", lambda df, name: made.append(name) or write(df, name))
+    found = []
+    for k, round_ in enumerate((3_000_000, 40)):
+        monkeypatch.setattr(collocations, "ROUND", round_)
+        spark.sparkContext.setJobGroup(f"op12-{k}", "")
+        got = plain(collocations.top(collocations.mine(spark.createDataFrame(rows(), SCHEMA).repartition(3))))
+        found.append((made[:], len(tracker.getJobIdsForGroup(f"op12-{k}")), got))
+        made.clear()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0][0]) == 3 and found[0][2] == brute(rows())
