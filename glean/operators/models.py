@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 
 from glean.functions.numeric import clip01, safe_divide
 from glean.sources.scratch import stored
-from glean.sources.tables import parts_by_size
 
-#: MB of the documents' file whose terms one task counts and weights.
-PART_MB = 32
+#: Terms of documents counted at once, and terms whose frequencies are broadcast; the others meet theirs by a shuffle.
+TERMS, FREQUENT = 1 << 19, 1 << 18
 
 
 def vocabulary(docs: DataFrame, terms: str, size: int, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
@@ -37,19 +36,98 @@ def vocabulary(docs: DataFrame, terms: str, size: int, min_df: int = 1, max_df:
 def tfidf(docs: DataFrame, key: str, terms: str, chosen: DataFrame | None = None) -> DataFrame:
     """ML7: (key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each document of length 1.
 
-    Without ``chosen`` all terms count. Term lists are dealt out by key, so counts, weights and
-    lengths of a document follow in the same task. Document frequencies are written; while the
-    vocabulary is below Spark's broadcast threshold they meet the counts where those are.
+    Without ``chosen`` all terms count. Terms are counted where a document is read and written once; rows of
+    one key are put together. A document stays one row up to its weights: the ``FREQUENT`` most frequent terms
+    are broadcast; beyond them a document's rarer terms, which are few and in few documents, meet their frequencies
+    by a shuffle and the document by another, in which its frequent terms are numbers.
     """
-    dealt = docs.select(key, terms).repartition(parts_by_size(docs, PART_MB), key)
-    tf = dealt.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if chosen is not None:
-        tf = tf.join(chosen.select("term"), "term")
-    df = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    n = docs.agg(F.count_distinct(key).alias("n"))
-    weighted = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
+    kind = docs.schema[key].dataType.simpleString()
+    counted = stored(docs.select(F.col(key).alias("key"), F.col(terms).alias("terms")).mapInArrow(_term_counts, f"key {kind}, term array<string>, tf array<bigint>"), "counted")
+    again = stored(counted.groupBy("key").count().where("count > 1").select("key"), "again")
+    if not again.isEmpty():
+        same = counted["key"].eqNullSafe(again["key"])
+        each = counted.join(again, same, "left_semi").select("key", F.explode(F.arrays_zip("term", "tf")).alias("t")).groupBy("key", F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("tf"))
+        whole = each.groupBy("key").agg(F.collect_list(F.struct("term", "tf")).alias("t")).select("key", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
+        counted = stored(counted.join(again, same, "left_anti").unionByName(whole), "counted")
+    df = counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(df if chosen is None else df.join(chosen.select("term"), "term", "left_semi"), "df")
+    top = df.orderBy(F.col("df").desc(), "term").limit(FREQUENT).toArrow()  # at most FREQUENT rows
+    n = docs.agg(F.count_distinct(key)).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast((top["term"].combine_chunks(), np.log((1 + n) / (1 + top["df"].to_numpy())) + 1, n))
+    told = counted.mapInArrow(_numbered(shared), f"key {kind}, at array<int>, tf array<bigint>, rare array<string>, rare_tf array<bigint>")
+    more = F.lit(None).cast("array<struct<term:string,tf:bigint,df:bigint>>")
+    if len(top) < FREQUENT:
+        whole = told.select("key", "at", "tf", more.alias("more"))
+    else:
+        rare = told.select("key", F.explode(F.arrays_zip("rare", "rare_tf")).alias("t")).select("key", F.col("t.rare").alias("term"), F.col("t.rare_tf").alias("tf")).join(df, "term")
+        rare = rare.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("term", "tf", "df")).alias("more"))
+        whole = told.join(rare, F.col("key").eqNullSafe(F.col("of")), "left").select("key", "at", "tf", "more")
+    return whole.mapInArrow(_weighed(shared), f"key {kind}, term string, weight double").withColumnRenamed("key", key)
+
+
+def _in_parts(batches, column: str):
+    """Pieces of the batches with about ``TERMS`` elements of a list column each."""
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // TERMS)) + 1
+        for low, high in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            yield batch.slice(int(low), int(high - low))
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """The row of each element."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists of n rows; ``row`` rises."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+
+def _term_counts(batches):
+    """(key, term, tf): the distinct terms of each row and how often it has them."""
+    for batch in _in_parts(batches, "terms"):
+        row, flat = _rows(batch.column("terms")), batch.column("terms").flatten()
+        known = np.asarray(flat.is_valid())
+        coded = flat.drop_null().dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        cell, n = np.unique(row[known] * size + np.asarray(coded.indices, np.int64), return_counts=True)
+        lists = [_lists(cell // size, batch.num_rows, x) for x in (coded.dictionary.take(pa.array(cell % size)), pa.array(n))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], ["key", "term", "tf"])
+
+
+def _numbered(shared):
+    """(key, at, tf, rare, rare_tf): places of the broadcast terms with their counts, and the terms that are not among them."""
+
+    def run(batches):
+        words = shared.value[0]
+        for batch in _in_parts(batches, "term"):
+            row, flat, tf = _rows(batch.column("term")), batch.column("term").flatten(), batch.column("tf").flatten()
+            at = pc.index_in(flat, value_set=words)
+            known, rare = at.is_valid(), at.is_null()
+            here, there = row[np.asarray(known)], row[np.asarray(rare)]
+            lists = [_lists(r, batch.num_rows, x) for r, x in ((here, at.drop_null()), (here, tf.filter(known)), (there, flat.filter(rare)), (there, tf.filter(rare)))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], ["key", "at", "tf", "rare", "rare_tf"])
+
+    return run
+
+
+def _weighed(shared):
+    """(key, term, weight) of whole documents."""
+
+    def run(batches):
+        words, idf, n = shared.value
+        for batch in _in_parts(batches, "at"):
+            at = batch.column("at").flatten()
+            row, weight = _rows(batch.column("at")), batch.column("tf").flatten().to_numpy() * idf[at.to_numpy()]
+            rare, some = _rows(batch.column("more")), batch.column("more").flatten()
+            told = some.field("tf").to_numpy() * (np.log((1 + n) / (1 + some.field("df").to_numpy())) + 1)
+            row, weight = np.r_[row, rare], np.r_[weight, told]
+            length = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            term = pa.concat_arrays([words.take(at), some.field("term").cast(words.type)])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), term, pa.array(weight / length[row])], ["key", "term", "weight"])
+
+    return run
 
 
 #: The schedule of the online updates, the mean change at which a document's topics stand, words of documents inferred together.

@@ -44,8 +44,7 @@ _TERMS_SQL = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower
 
 
 def _terms() -> F.Column:
-    plain = X.squeeze(F.regexp_replace(F.lower(X.text_or_empty(F.col("text"))), r"[^a-z0-9\s]", " "))
-    return F.filter(X.tokens(plain), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(X.text_or_empty(F.col("text"))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 @query(

@@ -112,6 +112,30 @@ def test_tfidf_has_unit_length_and_smooth_idf(spark):
     assert got.where("doc_id = 0 AND term = 'id'").first()["weight"] == pytest.approx(raw["id"] / norm)
 
 
+@pytest.mark.parametrize("frequent,terms", [(1 << 18, 1 << 19), (3, 2), (1, 1)])
+def test_tfidf_puts_rows_of_a_key_together_and_needs_no_window(spark, monkeypatch, frequent, terms):
+    """Whether terms are broadcast or not; documents of one key, without a key, without terms and in pieces."""
+    monkeypatch.setattr(models, "FREQUENT", frequent)
+    monkeypatch.setattr(models, "TERMS", terms)
+    rows = [(1, ["a", "b", "a"]), (2, ["a", "c"]), (1, ["b", "d"]), (None, ["a", "e e"]), (None, ["e e"]), (3, []), (4, None), (5, ["ü", "b", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(3)
+
+    def brute(known):
+        tf = {}
+        for key, found in rows:
+            for t in found or []:
+                if t in known:
+                    tf[key, t] = tf.get((key, t), 0) + 1
+        raw = {(k, t): n * (math.log((1 + 5) / (1 + sum(u == t for _, u in tf))) + 1) for (k, t), n in tf.items()}
+        return {(k, t): w / math.sqrt(sum(x * x for (j, _), x in raw.items() if j == k)) for (k, t), w in raw.items()}
+
+    for known, chosen in (({"a", "b", "c", "d", "e e", "ü"}, None), ({"b", "e e"}, spark.createDataFrame([("b",), ("e e",), ("z",)], "term string"))):
+        got = models.tfidf(docs, "doc_id", "terms", chosen)
+        assert "Window" not in got._jdf.queryExecution().toString()
+        found = got.collect()
+        assert len(found) == len(brute(known)) and {(r["doc_id"], r["term"]): r["weight"] for r in found} == pytest.approx(brute(known))
+
+
 def test_topics_are_distributions(spark):
     docs = corpus(spark)
     words = [r["term"] for r in models.vocabulary(docs, "terms", 50).collect()]
