@@ -132,6 +132,8 @@ def _weighed(shared):
 
 #: The schedule of the online updates, the mean change at which a document's topics stand, words of documents inferred together.
 DELAY, DECAY, CLOSE, CELLS = 1024, 0.51, 1e-3, 1 << 16
+#: Leaps of a document's topics before updates alone go on.
+LEAPS = 30
 #: Keeps a quotient finite.
 TINY = 1e-100
 
@@ -295,23 +297,34 @@ def _side_by_side(n: np.ndarray, at: np.ndarray, count: np.ndarray, none: int):
 def _inferred(word: np.ndarray, count: np.ndarray, beta: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The variational topics (topics x documents) of documents in columns, and each word's part in them (topics x words x documents) without the factor beta.
 
-    A document stands where its topics change by at most CLOSE on average; the others go on without it.
+    Two updates tell how fast a document's topics still move and how that slows down; from there a leap goes along this
+    course (SQUAREM), and updates go on. A document stands where an update changes its topics by at most CLOSE on average,
+    as without leaps; the others go on without it, after LEAPS leaps by updates alone.
     """
     known = beta.take(word, axis=1)
     k, _, n = known.shape
     out, live = np.empty((k, n)), np.arange(n)
-    b, c, now = known, count, np.ones((k, n))
-    share, open_ = _exp_digamma(now), np.ones(n, bool)  # the factor that makes shares sum to 1 cancels
+    b, c, now, open_ = known, count, np.ones((k, n)), np.ones(n, bool)
+    leaps = 0
+
+    def updated(x: np.ndarray) -> np.ndarray:
+        share = _exp_digamma(x)  # the factor that makes shares sum to 1 cancels
+        new = share * np.einsum("kwd,wd->kd", b, c / (np.einsum("kwd,kd->wd", b, share) + TINY)) + prior[:, None]
+        stands = open_ & (np.abs(new - x).sum(0) <= CLOSE * k)
+        out[:, live[stands]] = new[:, stands]
+        open_[stands] = False
+        return new
+
     while open_.any():
         if 4 * open_.sum() < 3 * len(live):
-            live, b, c, now, share = live[open_], b[:, :, open_], c[:, open_], now[:, open_], share[:, open_]
+            live, b, c, now = live[open_], b[:, :, open_], c[:, open_], now[:, open_]
             open_ = np.ones(len(live), bool)
-        ratio = c / (np.einsum("kwd,kd->wd", b, share) + TINY)
-        new = share * np.einsum("kwd,wd->kd", b, ratio) + prior[:, None]
-        stands = open_ & (np.abs(new - now).sum(0) <= CLOSE * k)
-        out[:, live[stands]] = new[:, stands]
-        open_ &= ~stands
-        now, share = new, _exp_digamma(new)
+        one = updated(now)
+        two = updated(one)
+        move, turn = one - now, two - 2 * one + now
+        far = np.maximum(1, np.sqrt((move * move).sum(0) / ((turn * turn).sum(0) + TINY))) if leaps < LEAPS else 1
+        now = np.maximum(now + 2 * far * move + far * far * turn, prior[:, None])  # with far = 1 the second update
+        leaps += 1
     share = _exp_digamma(out)
     return out, share[:, None, :] * (count / (np.einsum("kwd,kd->wd", known, share) + TINY))
 
@@ -378,6 +391,8 @@ def topic_scores(topics: Column, affinity: np.ndarray, clip: bool = True) -> Col
 
 #: Terms of one block of a sum, entries of sparse rows worked on at once, spare directions of a block, its passes.
 BLOCK, ENTRIES, SPARE, PASSES = 256, 20_000, 10, 5
+#: The most frequent terms, whose part of a product is dense, and rows of such a part.
+DENSE, ROWS = 768, 2048
 
 
 def fold_terms(docs: DataFrame, terms: str, fold: str, folds: int) -> DataFrame:
@@ -527,21 +542,28 @@ def _beyond(basis: np.ndarray, image: np.ndarray) -> np.ndarray:
 
 
 def _products(shared):
-    """Each fit's cross product of the task's rows with its basis, in blocks of terms."""
+    """Each fit's cross product of the task's rows with its basis, in blocks of terms; the most frequent terms go as dense matrices."""
 
     def run(batches):
         words, idf, basis = shared.value
         totals = [np.zeros_like(q) for q in basis]
-        for batch in batches:
+        places = [_frequent(w) for w in idf]
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             row, at, count = sparse_rows(batch.column("terms"), words)
             fold = pc.fill_null(batch.column("fold"), -1).to_numpy(zero_copy_only=False)
-            for k, (w, q, total) in enumerate(zip(idf, basis, totals)):
+            for k, (w, q, total, place) in enumerate(zip(idf, basis, totals, places)):
                 if not q.shape[1]:
                     continue
                 on = (fold[row] != k) & (w[at] > 0)
                 r, a = row[on], at[on]
                 v = _unit(r, count[on] * w[a])
-                told = _times(r, a, v, q, batch.num_rows)
+                often = place[a] >= 0
+                top = np.flatnonzero(place >= 0)
+                some = np.zeros((batch.num_rows, len(top)))
+                some[r[often], place[a[often]]] = v[often]
+                r, a, v = r[~often], a[~often], v[~often]
+                told = _times(r, a, v, q, batch.num_rows) + some @ q[top]
+                total[top] += some.T @ told
                 order = np.argsort(a, kind="stable")
                 r, a, v = r[order], a[order], v[order]
                 for low in range(0, len(a), ENTRIES):
@@ -557,6 +579,15 @@ def _products(shared):
     return run
 
 
+def _frequent(idf: np.ndarray) -> np.ndarray:
+    """Places, in the order of the terms, of the DENSE terms of least weight (the most frequent); -1 for the others."""
+    known = np.flatnonzero(idf > 0)
+    top = np.sort(known[np.argsort(idf[known], kind="stable")[:DENSE]])
+    place = np.full(len(idf), -1)
+    place[top] = np.arange(len(top))
+    return place
+
+
 def _summed(batches):
     """Sums of equal (fit, block), which follow each other."""
     now, total = None, None

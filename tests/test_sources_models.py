@@ -262,3 +262,31 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     q.awaitTermination(120)
     ours = {tuple(r) for r in spark.table("counts").collect()}
     assert ours == {tuple(r) for r in chunk_counts(events).collect()}
+
+
+def test_inference_of_slow_documents_takes_few_updates(spark, monkeypatch):
+    """Topics that differ little: updates alone creep; leaps end at the same topics, and go on by updates if they run out."""
+    made, calls, plain = np.random.default_rng(5), [0], models._exp_digamma
+    beta = np.hstack([made.gamma(100, 0.01, (6, 40)) / 40, np.zeros((6, 1))])
+    n = made.integers(1, 30, 50)
+    at = np.concatenate([np.sort(made.choice(40, x, replace=False)) for x in n])
+    (docs, word, count), = models._side_by_side(n, at, np.ones(len(at), int), 40)
+    monkeypatch.setattr(models, "_exp_digamma", lambda x: calls.__setitem__(0, calls[0] + 1) or plain(x))
+    found, part = models._inferred(word, count, beta, np.full(6, 1 / 6))
+    assert calls[0] < 60 and found.sum(0) == pytest.approx(n[docs] + 1)
+    assert np.einsum("kwd,kwd->d", part, beta.take(word, axis=1)) == pytest.approx(n[docs])
+    monkeypatch.setattr(models, "CLOSE", 1e-9)
+    exact = models._inferred(word, count, beta, np.full(6, 1 / 6))[0]
+    monkeypatch.setattr(models, "LEAPS", 0)
+    assert models._inferred(word, count, beta, np.full(6, 1 / 6))[0] == pytest.approx(exact, abs=1e-4)
+
+
+def test_latent_space_is_the_same_whatever_is_dense(spark, monkeypatch):
+    docs = corpus(spark)
+    words = [r["term"] for r in models.vocabulary(docs, "terms", 50).collect()]
+    found = []
+    for dense in (0, 4, 768):
+        monkeypatch.setattr(models, "DENSE", dense)
+        c = models.LatentSpace.fit(docs, "terms", words, 3).components
+        found.append(c @ c.T)
+    assert np.abs(found[1] - found[0]).max() < 1e-9 and np.abs(found[2] - found[0]).max() < 1e-9
